@@ -1,10 +1,12 @@
-"""The operators of this package applied to whole tables: ``queries()`` and ``oracle_sql()``."""
+"""The operators of this package applied to whole tables: ``QUERIES`` and ``SQL``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dijkstone.llm import chat, decontaminate, language, pieces, simhash, toxicity
+from dijkstone.llm.common import in_fold
 from dijkstone.llm.substring_dedup import remove_repeats
 
 
@@ -18,5 +20,114 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = in_fold("doc_id", 4) == 2
+    model = toxicity.fit(docs, labels.where(~held_out).select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.read_back(chat.format_chats(turns.unionByName(more)))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.judge(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", *decontaminate.RESULTS)
+
+
+#: Place of the vocabulary file; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.round_trip(docs, pieces.Vocabulary.load(VOCABULARY)).select("doc_id", "n_ids", "ids", "exact")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = in_fold("doc_id", 5) == 0
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_decontamination": op7_decontamination,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op10_language_id": op10_language_id,
+}
+
 SQL: dict[str, str] = {}
+SQL["op6_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h') AS r1,
+         contains(text, '### ') OR contains(text, '</turn>') AS esc,
+         replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h') AS et
+  FROM t
+), p AS (
+  SELECT *, '### ' || replace(replace(replace(r1, ':', '\c'), '*', '\s'), chr(10), '\n')
+            || CASE WHEN esc THEN '*' ELSE '' END || ': ' || CASE WHEN esc THEN et ELSE text END || '</turn>' || chr(10) AS piece
+  FROM e
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(piece))::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+SQL["op7_decontamination"] = r"""
+WITH items AS (
+  SELECT DISTINCT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM benchmark WHERE text IS NOT NULL
+), listed AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size, array_to_string(w[s : s + least(len(w), 13) - 1], ' ') AS win
+  FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 12, 1))) AS s FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+'), []) AS w
+  FROM documents
+), sizes AS (SELECT DISTINCT size FROM listed),
+spots AS (
+  SELECT doc_id, size, s, array_to_string(w[s : s + size - 1], ' ') AS win
+  FROM (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS s FROM docs, sizes)
+), hits AS (SELECT doc_id, s, size, win FROM spots SEMI JOIN (SELECT DISTINCT win FROM listed) l USING (win)),
+covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + size - 1)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM (SELECT DISTINCT doc_id, win FROM hits) JOIN listed USING (win) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+SQL["op2_substring_dedup"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), spots AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS s FROM docs)
+), later AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY md5(win) ORDER BY doc_id, s) AS n FROM spots) WHERE n > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, s + 19)) AS p FROM later),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM docs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
