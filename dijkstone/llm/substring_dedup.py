@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,13 +86,14 @@ def _first_in_row(row, value):
     return np.flatnonzero(lead == np.arange(len(order))), lead
 
 
-def _window_rows(window: int, seed: int):
-    """Input: doc, text, places. One row per text and distinct window of a repeated anchor."""
+def _window_rows(window: int, seed: int, text_name: str):
+    """Input: the columns of placed texts. One row per text, but for whole copies, and distinct window of a repeated anchor."""
 
     def rows(batches):
         powers = Powers()
         for batch in batches:
-            doc, text, places = batch.columns
+            batch = batch.filter(pc.invert(batch.column("__copy")))
+            doc, text, places = (batch.column(n) for n in ("__doc", text_name, "__places"))
             for a, b in byte_slices(text):
                 _, _, _, row, _, starts, value = _windows(text, a, b, places, window, seed, powers)
                 if len(starts) == 0:
@@ -172,8 +174,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = copies.groupBy("__doc").agg(F.collect_set("__sha").alias("__copies"))
     placed = keyed.join(places, "__doc", "left").join(copies, "__doc", "left").withColumn("__copy", F.coalesce(F.array_contains("__copies", F.col("__sha")), F.lit(False)))
 
-    extended = placed.where("__places is not null and not __copy").select("__doc", text_col, "__places")
-    windows = extended.mapInArrow(_window_rows(window, seed), "window long, doc long")
+    placed = placed.select(*keyed.columns, "__places", "__copy")
+    # All columns are handed over, and rows are dropped in the function, so that this and the last step share one shuffle of the texts.
+    windows = placed.mapInArrow(_window_rows(window, seed, text_col), "window long, doc long")
     least = windows.groupBy("window").agg(F.min("doc").alias("least"))
     later = windows.join(least, "window").where("doc > least")
     marked = later.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("window").alias("__marked"))
