@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dijkstone.llm import chat, decontaminate, language, pieces, simhash, toxicity
+from dijkstone.llm import chat, decontaminate, embeddings, language, pieces, sharding, simhash, toxicity, url_filter
 from dijkstone.llm.common import in_fold
 from dijkstone.llm.substring_dedup import remove_repeats
 
@@ -14,6 +14,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHARDS = [f"shard-{i:02d}" for i in range(16)]
+#: A prime of more than a hundred times the number of shards.
+SHARD_TABLE = 2_039
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sharding.assign(docs, "doc_id", SHARDS, SHARD_TABLE)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs, "doc_id", "text")
@@ -31,6 +41,16 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    # A page is the document of its id; it is bad if that is labelled toxic or of low quality.
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
+    return url_filter.judge(pages, labels, RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit(r"\### Assistant: </turn> ok")
@@ -52,6 +72,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(docs, pieces.Vocabulary.load(VOCABULARY)).select("doc_id", "n_ids", "ids", "exact")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return embeddings.near_duplicates(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = in_fold("doc_id", 5) == 0
@@ -60,12 +85,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_url_filter": op5_url_filter,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_decontamination": op7_decontamination,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
@@ -131,3 +159,29 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
+SQL["op1_sharding"] = r"""
+WITH RECURSIVE shards AS (
+  SELECT list('shard-' || lpad(i::VARCHAR, 2, '0') ORDER BY i) AS names FROM range(16) t(i)
+), seeds AS (
+  SELECT names, 2039 AS m,
+         list_transform(names, lambda s: ('0x' || substr(md5(s || '/offset'), 1, 15))::BIGINT % 2039) AS off,
+         list_transform(names, lambda s: ('0x' || substr(md5(s || '/skip'), 1, 15))::BIGINT % 2038 + 1) AS skip
+  FROM shards
+), turns(t, owner, nxt) AS (
+  SELECT 0, list_transform(range(2039), lambda x: -1), list_transform(range(16), lambda x: 0::BIGINT)
+  UNION ALL
+  SELECT t + 1,
+         list_concat(list_concat(owner[1 : p], [(t % 16)::INTEGER]), owner[p + 2 : 2039]),
+         list_concat(list_concat(nxt[1 : t % 16], [j + 1]), nxt[t % 16 + 2 : 16])
+  FROM (
+    SELECT *, (off[t % 16 + 1] + j * skip[t % 16 + 1]) % 2039 AS p
+    FROM (
+      SELECT t, owner, nxt, off, skip,
+             list_filter(range(nxt[t % 16 + 1], 2039), lambda k: owner[(off[t % 16 + 1] + k * skip[t % 16 + 1]) % 2039 + 1] = -1)[1] AS j
+      FROM turns, seeds WHERE t < 2039
+    )
+  )
+), filled AS (SELECT owner FROM turns WHERE t = 2039),
+placed AS (SELECT doc_id, source, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 2039)::INTEGER AS slot FROM documents)
+SELECT doc_id, source, slot, 'shard-' || lpad((owner[slot + 1])::VARCHAR, 2, '0') AS shard FROM placed, filled
+"""
