@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Reading, upserting and incremental loads."""
