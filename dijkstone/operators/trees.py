@@ -1,25 +1,34 @@
 """Trees as adjacency lists: ancestors, nearest kinds, subtrees, paths.
 
-The closure is built by pointer jumping: each round joins every node's known ancestor to that ancestor's own, so a tree of
-depth d takes log2(d) joins on the parent key, whatever its size. Rounds are bounded by ``max_depth``, which also ends cycles.
+The closure is built by pointer jumping: each round joins every node's farthest known ancestor to that ancestor's own, so a
+tree of depth d takes log2(d) joins on the parent key, whatever its size. A round is written to the shared folder, which
+cuts the lineage; rounds end when nothing new is found, and at ``max_depth``, which also ends cycles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dijkstone.sources.storage import materialize
+
 
 def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 25) -> DataFrame:
     """(id, ancestor, depth): every ancestor of every node up to ``max_depth`` levels, the parent at depth 1."""
-    out = nodes.where(F.col(parent_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(parent_col).alias("ancestor"), F.lit(1).alias("depth"))
-    reach = 1
+    first = nodes.where(F.col(parent_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(parent_col).alias("ancestor"), F.lit(1).alias("depth"))
+    known, reach = [materialize(first, "ancestors")], 1
     while reach < max_depth:
-        far = out.where(F.col("depth") == reach).join(out.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("depth").alias("__d")), "ancestor")
+        every = reduce(DataFrame.unionByName, known)
+        beyond = every.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("__a"), F.col("depth").alias("__d"))
+        far = every.where(F.col("depth") == reach).join(beyond, "ancestor")
         more = far.select("id", F.col("__a").alias("ancestor"), (F.col("depth") + F.col("__d")).alias("depth")).where(F.col("depth") <= max_depth)
-        out = out.unionByName(more)
+        known.append(materialize(more, "ancestors"))
+        if known[-1].isEmpty():
+            break
         reach *= 2
-    return out
+    return reduce(DataFrame.unionByName, known)
 
 
 def nearest_of_kind(nodes: DataFrame, kinds: list[str], keep: list[str], id_col: str = "id", parent_col: str = "parent_id", kind_col: str = "kind", max_depth: int = 20) -> DataFrame:

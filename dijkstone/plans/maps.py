@@ -1 +1,131 @@
-"""To come."""
+"""Geometry over points and polygons that are derived from keys of the tables."""
+
+from pyspark.sql import functions as F
+
+from dijkstone.operators import geo as G
+from dijkstone.plans.registry import query
+
+#: Places of customers and boxes of nations, as both engines compute them.
+POINTS_SQL = "points AS (SELECT c_custkey, c_nationkey, (c_custkey * 7919 % 10007)::DOUBLE AS x, (c_custkey * 104729 % 10009)::DOUBLE AS y FROM customer)"
+AREAS_SQL = "areas AS (SELECT n_nationkey, (n_nationkey * 613 % 8000)::DOUBLE AS x0, (n_nationkey * 1453 % 8000)::DOUBLE AS y0, (600 + n_nationkey * 40)::DOUBLE AS w FROM nation)"
+
+
+def points(t):
+    return t.customer.select("c_custkey", "c_nationkey", (F.col("c_custkey") * 7919 % 10007).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 10009).cast("double").alias("y"))
+
+
+def areas(t):
+    """Squares with a square hole in the middle third."""
+    n = t.nation.select("n_nationkey", (F.col("n_nationkey") * 613 % 8000).cast("double").alias("x0"), (F.col("n_nationkey") * 1453 % 8000).cast("double").alias("y0"), (600 + F.col("n_nationkey") * 40).cast("double").alias("w"))
+
+    def square(a, b):
+        lo_x, lo_y, hi_x, hi_y = F.col("x0") + F.col("w") * a, F.col("y0") + F.col("w") * a, F.col("x0") + F.col("w") * b, F.col("y0") + F.col("w") * b
+        return F.array(*[F.struct(p.alias("x"), q.alias("y")) for p, q in ((lo_x, lo_y), (hi_x, lo_y), (hi_x, hi_y), (lo_x, hi_y))])
+
+    return n.withColumn("rings", F.array(square(0.0, 1.0), square(0.25, 0.5)))
+
+
+IN = "x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + w AND NOT (x > x0 + w * 0.25 AND x < x0 + w * 0.5 AND y > y0 + w * 0.25 AND y < y0 + w * 0.5)"
+
+
+@query("geo01_point_in_polygon", f"WITH {POINTS_SQL}, {AREAS_SQL} SELECT c_custkey, n_nationkey FROM points, areas WHERE {IN}")
+def _(t):
+    return G.points_in_polygons(points(t), areas(t).select("n_nationkey", "rings")).select("c_custkey", "n_nationkey")
+
+
+@query(
+    "geo01_strictly_inside",
+    f"WITH {POINTS_SQL}, {AREAS_SQL} SELECT c_custkey, n_nationkey FROM points, areas WHERE x > x0 AND x < x0 + w AND y > y0 AND y < y0 + w AND NOT (x >= x0 + w * 0.25 AND x <= x0 + w * 0.5 AND y >= y0 + w * 0.25 AND y <= y0 + w * 0.5)",
+)
+def _(t):
+    return G.points_in_polygons(points(t), areas(t).select("n_nationkey", "rings"), boundary=False).select("c_custkey", "n_nationkey")
+
+
+@query("geo02_cell_cover", f"WITH {AREAS_SQL} SELECT n_nationkey, cx::INTEGER AS cx, cy::INTEGER AS cy FROM areas, range(0, 20) a(cx), range(0, 20) b(cy) WHERE cx BETWEEN floor(x0 / 500) AND floor((x0 + w) / 500) AND cy BETWEEN floor(y0 / 500) AND floor((y0 + w) / 500)")
+def _(t):
+    return G.cover(G.with_box(areas(t), "rings"), 500.0).select("n_nationkey", "cx", "cy")
+
+
+@query("geo03_box_overlap", f"WITH {AREAS_SQL} SELECT n_nationkey FROM areas WHERE x0 <= 4000 AND x0 + w >= 1000 AND y0 <= 5000 AND y0 + w >= 2000")
+def _(t):
+    from dijkstone.operators.predicates import Box
+
+    return G.with_box(areas(t), "rings").where(Box(1000, 2000, 4000, 5000).overlaps("min_x", "min_y", "max_x", "max_y")).select("n_nationkey")
+
+
+@query(
+    "geo04_nearest_within",
+    f"""WITH {POINTS_SQL}, s AS (SELECT s_suppkey, (s_suppkey * 7919 % 9973)::DOUBLE AS rx, (s_suppkey * 6997 % 9967)::DOUBLE AS ry FROM supplier),
+        d AS (SELECT c_custkey, min(sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry))) AS distance FROM points, s WHERE sqrt((x - rx) * (x - rx) + (y - ry) * (y - ry)) <= 600 GROUP BY 1)
+        SELECT c_custkey, round(distance, 6) AS distance, CASE WHEN distance = 0 THEN 'inside' WHEN distance <= 250 THEN 'stop' ELSE 'warn' END AS band FROM d""",
+)
+def _(t):
+    s = t.supplier.select("s_suppkey", (F.col("s_suppkey") * 7919 % 9973).cast("double").alias("rx"), (F.col("s_suppkey") * 6997 % 9967).cast("double").alias("ry"))
+    return G.nearest_band(G.within_distance(points(t), s, 600.0), "c_custkey").withColumn("distance", F.round("distance", 6))
+
+
+@query("geo05_share_of_area", f"WITH {AREAS_SQL} SELECT n_regionkey, round(sum(w * w), 2) AS part_area, round(100 * sum(w * w) / 25e6, 2) AS pct FROM areas JOIN nation USING (n_nationkey) GROUP BY 1")
+def _(t):
+    parts = areas(t).withColumn("area", G.area(F.col("rings")[0])).join(t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey")
+    owners = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.lit(25e6).alias("area"))
+    return G.share_of_area(parts, owners, "n_regionkey").select("n_regionkey", F.round("part_area", 2).alias("part_area"), "pct")
+
+
+@query("geo06_group_geometry", "SELECT n_regionkey, (2 * count(*))::INTEGER AS n_rings FROM nation GROUP BY 1")
+def _(t):
+    from dijkstone.sources.tables import group_geometry
+
+    members = areas(t).join(t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey")
+    return group_geometry(members, "n_regionkey", "rings").select("n_regionkey", F.size("rings").alias("n_rings"))
+
+
+@query("geo07_extent", f"WITH {POINTS_SQL} SELECT c_nationkey, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM points GROUP BY 1")
+def _(t):
+    return points(t).groupBy("c_nationkey").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
+
+
+@query(
+    "geo08_tiles",
+    f"""WITH {POINTS_SQL}, p AS (SELECT *, c_custkey % 15 AS z, 3440.640 * 256 / power(2.0, c_custkey % 15) AS width FROM points)
+        SELECT c_custkey, floor((x + 100000 - -285401.92) / width)::INTEGER AS tx, floor((903401.92 - y - 400000) / width)::INTEGER AS ty, CASE WHEN z <= 6 THEN 6 WHEN z <= 8 THEN 8 WHEN z <= 10 THEN 10 END::INTEGER AS level,
+        round(-285401.92 + floor((x + 100000 - -285401.92) / width) * width, 4) AS min_x FROM p""",
+)
+def _(t):
+    p = points(t).withColumn("z", (F.col("c_custkey") % 15).cast("int")).withColumn("tile", G.tile_of(F.col("z"), F.col("x") + 100000, F.col("y") + 400000))
+    box = G.tile_envelope(F.col("z"), F.col("tile.tx"), F.col("tile.ty"))
+    return p.select("c_custkey", "tile.tx", "tile.ty", G.level_for_zoom(F.col("z")).alias("level"), F.round(box["min_x"], 4).alias("min_x"))
+
+
+@query("geo09_visible", f"WITH {AREAS_SQL} SELECT n_nationkey, 4::INTEGER AS n_points FROM areas WHERE w >= 900")
+def _(t):
+    seen = G.visible_at(G.with_box(areas(t), "rings"), 900.0)
+    return seen.select("n_nationkey", F.size(G.simplify(F.col("rings")[0], 10.0)).alias("n_points"))
+
+
+@query("geo12_wkt_centres", f"WITH {POINTS_SQL} SELECT c_custkey, x + 1 AS mx, y + 1 AS my FROM points")
+def _(t):
+    at = lambda c, d: (F.col(c) + d).cast("string")
+    wkt = F.concat(F.lit("POLYGON(("), at("x", 0), F.lit(" "), at("y", 0), F.lit(", "), at("x", 2), F.lit(" "), at("y", 0), F.lit(", "), at("x", 2), F.lit(" "), at("y", 2), F.lit(", "), at("x", 0), F.lit(" "), at("y", 2), F.lit(", "), at("x", 0), F.lit(" "), at("y", 0), F.lit("))"))
+    return points(t).withColumn("c", G.centroid(G.parse_wkt(wkt))).select("c_custkey", F.col("c.x").alias("mx"), F.col("c.y").alias("my"))
+
+
+@query("geo13_candidates")
+def _(t):
+    p = points(t).groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("c_custkey") % 2 == 0, "Vlak").otherwise("Punt").alias("kind"), "x", "y", "c_custkey"))).alias("all"))
+    some = p.withColumn("all", F.slice("all", 1, 6)).join(G.median_centre(points(t), "c_nationkey"), "c_nationkey")
+    return some.select("c_nationkey", G.choose_candidate(F.col("all"), F.struct(F.col("mx").alias("x"), F.col("my").alias("y")))["c_custkey"].alias("chosen"))
+
+
+@query("geo14_median_centres", f"WITH {POINTS_SQL} SELECT c_nationkey, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM points GROUP BY 1")
+def _(t):
+    return G.median_centre(points(t), "c_nationkey")
+
+
+@query(
+    "geo15_raster_sample",
+    f"""WITH {POINTS_SQL}, raster AS (SELECT p_partkey % 101 AS gx, p_partkey // 101 AS gy, CASE WHEN p_size < 10 THEN -9999.0 ELSE p_retailprice END AS v FROM part)
+        SELECT c_custkey, CASE WHEN v >= 0 THEN v END AS v FROM points LEFT JOIN raster ON round_even(x / 100, 0) = gx AND round_even(y / 100, 0) = gy""",
+)
+def _(t):
+    raster = t.part.select((F.col("p_partkey") % 101).cast("int").alias("gx"), F.expr("cast(p_partkey div 101 as int)").alias("gy"), F.when(F.col("p_size") < 10, -9999.0).otherwise(F.col("p_retailprice")).alias("v"))
+    return G.raster_sample(points(t), raster, "v").select("c_custkey", "v")
