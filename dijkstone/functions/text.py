@@ -45,6 +45,18 @@ def stem_variant(w: Column) -> Column:
     return F.when(F.length(w) < 6, None).when(F.endswith(w, F.lit("en")), F.left(w, F.length(w) - 2)).when(F.endswith(w, F.lit("s")), F.left(w, F.length(w) - 1))
 
 
+def _gram(words: Column, n: int):
+    """The n words from a place on, and their variant with a stemmed last word (or null)."""
+
+    def at(i):
+        part = F.slice(words, i, n)
+        last = stem_variant(F.element_at(part, -1))
+        variant = F.array_join(F.concat(F.slice(part, 1, n - 1), F.array(last)), " ") if n > 1 else last
+        return F.array(F.array_join(part, " "), F.when(last.isNotNull(), variant))
+
+    return at
+
+
 def ngrams(words: Column, longest: int = 3) -> Column:
     """1- to 3-grams, longest first, each followed by its variant with a stemmed last word, then the parts of hyphened words;
     each once, at its first place."""
@@ -52,13 +64,7 @@ def ngrams(words: Column, longest: int = 3) -> Column:
     for n in range(longest, 0, -1):
         starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
 
-        def gram(i, n=n):
-            part = F.slice(words, i, n)
-            last = stem_variant(F.element_at(part, -1))
-            variant = F.array_join(F.concat(F.slice(part, 1, n - 1), F.array(last)), " ") if n > 1 else last
-            return F.array(F.array_join(part, " "), F.when(last.isNotNull(), variant))
-
-        out.append(F.flatten(F.transform(starts, gram)))
+        out.append(F.flatten(F.transform(starts, _gram(words, n))))
     pieces = F.transform(words, lambda w: F.filter(F.split(w, "-"), lambda p: F.length(p) > 1))
     pieces = F.filter(pieces, lambda p: F.size(p) >= 2)
     hyphened = F.flatten(F.transform(pieces, lambda p: F.concat(F.array(F.array_join(p, " ")), F.flatten(F.transform(p, lambda q: F.array(q, stem_variant(q)))))))
@@ -114,7 +120,7 @@ def markdown_chunks(docs: DataFrame, text: str, blacklist: list[str], least: int
     body = F.regexp_replace(F.col(text), r"(?s)\A---\n.*?\n---\n", "")
     parts = docs.select("*", F.posexplode(F.split(body, r"(?m)^## ")).alias("ord", "__part"))
     heading = F.when(F.col("ord") > 0, F.trim(F.substring_index("__part", "\n", 1)))
-    content = F.trim(F.when(F.col("ord") > 0, F.regexp_replace("__part", r"(?s)\A[^\n]*\n?", "")).otherwise(F.col("__part")))
+    content = F.regexp_replace(F.when(F.col("ord") > 0, F.regexp_replace("__part", r"(?s)\A[^\n]*\n?", "")).otherwise(F.col("__part")), r"^\s+|\s+$", "")
     rows = parts.withColumns({"heading": heading, "content": content}).drop("__part")
     return rows.where((F.length("content") >= least) & ~F.coalesce(F.lower("heading").isin([x.lower() for x in blacklist]), F.lit(False)))
 
