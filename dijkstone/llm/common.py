@@ -1,46 +1,14 @@
-"""Helpers shared by the operators: shared storage, tokenising, rolling hashes, connected components."""
+"""Helpers shared by the operators: folds, tokenising, rolling hashes, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------- storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one is made only for local sessions."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._shared_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a materialized table that nothing reads any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+from dijkstone.sources.storage import discard, materialize, shared_dir
+
+__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "materialize", "mix64", "run_hash", "shared_dir", "sliding_argmin", "word_table"]
 
 
 def in_fold(key: str, of: int):

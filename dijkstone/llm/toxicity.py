@@ -19,7 +19,9 @@ through; one that has the name of a result column is replaced.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +29,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_EXAMPLES = 16_000
+from dijkstone.llm.common import discard, materialize
+
+MAX_EXAMPLES = 6_000
 MAX_FEATURES = 8_000
 NEIGHBOURS = 15
 THRESHOLD = 0.3
-#: Least chi-square of a feature against the label in the sample.
-LEAST_CHI2 = 28.0
+#: A feature must be in so many texts of the sample, and so surprising that few of all features would be by chance.
+LEAST_TEXTS, SURPRISE = 4, 2.0
+#: Summed similarity that the prior counts as in a vote.
+SMOOTHING = 1.5
 BLOCK = 64
 
 RESULTS = ("score", "predicted", "evidence")
 _WORD = re.compile(r"[^\W_]+")
-_STEMS = (4, 5, 6)
+_STEMS = (4, 5)
+#: Words whose features, and vectors whose scores, a task remembers.
+_REMEMBERED = 200_000
+
+
+def words(text: str | None) -> Counter:
+    """Counts of the words of a text; case is folded."""
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def features_of(word: str) -> tuple[str, ...]:
+    """A word and, marked by ^, the beginnings of it."""
+    return (word, *("^" + word[:k] for k in _STEMS if len(word) > k))
+
 
+class Features:
+    """Counts of known features in texts, by a bounded memory of words."""
 
-def features(text: str | None) -> dict[str, int]:
-    """Counts of words and, marked by ^, of the beginnings of longer words; case is folded."""
-    out: dict[str, int] = {}
-    for w in _WORD.findall((text or "").lower()):
-        out[w] = out.get(w, 0) + 1
-    for w, n in list(out.items()):
-        for k in _STEMS:
-            if len(w) > k:
-                s = "^" + w[:k]
-                out[s] = out.get(s, 0) + n
-    return out
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary, self.known = vocabulary, {}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        out: dict[int, int] = {}
+        known = self.known
+        for w, n in words(text).items():
+            ids = known.get(w)
+            if ids is None:
+                if len(known) >= _REMEMBERED:
+                    known.clear()
+                ids = known[w] = tuple(self.vocabulary[f] for f in features_of(w) if f in self.vocabulary)
+            for i in ids:
+                out[i] = out.get(i, 0) + n
+        return out
 
 
 class BlockMaxIndex:
@@ -66,6 +91,8 @@ class BlockMaxIndex:
                 at[f].append((place, w))
         self.places = [np.array([p for p, _ in x], np.int64) for x in at]
         self.weights = [np.array([w for _, w in x]) for x in at]
+        edges = np.arange(self.n_blocks + 1) * block
+        self.starts = [np.searchsorted(p, edges).tolist() for p in self.places]
         self.bounds = np.zeros((n_features, self.n_blocks))
         for f in range(n_features):
             np.maximum.at(self.bounds[f], self.places[f] // block, self.weights[f])
@@ -86,12 +113,15 @@ class BlockMaxIndex:
                 break
             scores = np.zeros((len(blocks), self.block))
             for f, w in zip(fs, q):
-                places = self.places[f]
+                places, weights, starts = self.places[f], self.weights[f], self.starts[f]
                 for j, b in enumerate(blocks):
-                    lo, hi = np.searchsorted(places, (b * self.block, (b + 1) * self.block))
-                    scores[j, places[lo:hi] - b * self.block] += w * self.weights[f][lo:hi]
+                    lo, hi = starts[b], starts[b + 1]
+                    if lo < hi:
+                        scores[j, places[lo:hi] - b * self.block] += w * weights[lo:hi]
             j, slot = np.nonzero(scores > 0)
-            found += [(float(scores[a, s]), int(self.ids[blocks[a] * self.block + s])) for a, s in zip(j, slot)]
+            values, numbers = scores[j, slot], self.ids[blocks[j] * self.block + slot]
+            best = np.lexsort((numbers, -values))[:k]
+            found += zip(values[best].tolist(), numbers[best].tolist())
             found.sort(key=lambda x: (-x[0], x[1]))
             del found[k:]
         return found
@@ -105,7 +135,7 @@ class Model:
         self.idf = np.array([idf[f] for f in sorted(idf)])
         self.k, self.ids, self.labels, vectors, bare = k, [], [], [], []
         for doc, label, counts in examples:
-            v = self.vector(counts)
+            v = self.vector({self.vocabulary[f]: n for f, n in counts.items()})
             if v:
                 self.ids.append(doc)
                 self.labels.append(label)
@@ -115,42 +145,54 @@ class Model:
         self.index = BlockMaxIndex(vectors, len(self.vocabulary))
         self.prior = (sum(bare) + 0.5) / (len(bare) + 10) if examples else THRESHOLD / 2
 
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        v = {self.vocabulary[f]: (1 + np.log(n)) for f, n in counts.items() if f in self.vocabulary}
-        v = {f: w * self.idf[f] for f, w in v.items()}
-        norm = np.sqrt(sum(w * w for w in v.values()))
+    def vector(self, counts: dict[int, int]) -> dict[int, float]:
+        v = {f: (1 + math.log(n)) * self.idf[f] for f, n in sorted(counts.items())}
+        norm = math.sqrt(sum(w * w for w in v.values()))
         return {f: w / norm for f, w in v.items()}
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[int]]:
+    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
         near = self.index.search(self.vector(counts), self.k)
         votes, total = sum(s * self.labels[i] for s, i in near), sum(s for s, _ in near)
-        return float((votes + 0.5 * self.prior) / (total + 0.5)), [self.ids[i] for _, i in near]
+        return float((votes + SMOOTHING * self.prior) / (total + SMOOTHING)), [self.ids[i] for _, i in near]
+
+
+def _association_rows(batches):
+    """(feature, n, p): of a task's labelled texts (label, text) how many hold a feature, and how many of those are toxic."""
+    total: dict[str, list[int]] = {}
+    for batch in batches:
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for f in {f for w in words(text) for f in features_of(w)}:
+                x = total.setdefault(f, [0, 0])
+                x[0] += 1
+                x[1] += label
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x[0] for x in total.values()]), pa.array([x[1] for x in total.values()])], names=["feature", "n", "p"])
 
 
-def _feature_rows(vocabulary=None):
-    """(doc, label, feature, n) of labelled texts."""
+def _example_rows(chosen):
+    """(doc, feature, n) of labelled texts (doc, text) over the chosen features."""
 
     def rows(batches):
+        vocabulary = sorted(chosen.value)
+        known = Features({f: i for i, f in enumerate(vocabulary)})
         for batch in batches:
-            doc, label, text = (c.to_pylist() for c in batch.columns)
-            out = [(d, y, f, n) for d, y, t in zip(doc, label, text) for f, n in features(t).items() if vocabulary is None or f in vocabulary]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.string(), pa.int32()))], names=["doc", "label", "feature", "n"]
-            )
+            out = [(d, vocabulary[i], n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, n in known.counts(t).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["doc", "feature", "n"])
 
     return rows
 
 
-def _frequency_rows(vocabulary):
-    """(feature, n): in how many texts of this task's share each feature stands."""
+def _frequency_rows(chosen):
+    """(feature, n): in how many texts of this task's share each feature stands; the empty feature counts the texts."""
 
     def rows(batches):
-        known = {f: i for i, f in enumerate(sorted(vocabulary.value))}
-        total = np.zeros(len(known), np.int64)
+        vocabulary = sorted(chosen.value)
+        known, total, texts = Features({f: i for i, f in enumerate(vocabulary)}), np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                total[[known[f] for f in features(t) if f in known]] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(known), pa.string()), pa.array(total)], names=["feature", "n"])
+                total[list(known.counts(t))] += 1
+                texts += 1
+        yield pa.RecordBatch.from_arrays([pa.array([*vocabulary, ""], pa.string()), pa.array([*total.tolist(), texts])], names=["feature", "n"])
 
     return rows
 
@@ -159,46 +201,52 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from the rows of ``labels``; frequencies are counted over all of ``docs``."""
     spark = docs.sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc")).agg(F.max(label_col).cast("int").alias("label"))
-    n = known.count()
-    share = min(1.0, 0.9 * max_examples / max(n, 1))
+    share = min(1.0, 0.9 * max_examples / max(known.count(), 1))
     sample = known.where(F.pmod(F.xxhash64("doc", F.lit(4)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_examples)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc").select("doc", "label", "text")
-    counted = texts.mapInArrow(_feature_rows(), "doc long, label int, feature string, n int").groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    totals = sample.agg(F.count("*"), F.sum("label")).first()
+    texts = materialize(texts, "examples")
+    totals = texts.agg(F.count("*"), F.sum("label")).first()
     all_n, all_p = totals[0], totals[1] or 0
     if not all_n or all_p in (0, all_n):
+        discard(texts)
         return Model({}, [])
-    # chi-square of feature against label, in one expression
-    n_, p_, t_, y_ = F.col("n").cast("double"), F.col("p").cast("double"), float(all_n), float(all_p)
-    chi2 = t_ * F.pow(p_ * (t_ - y_) - (n_ - p_) * y_, 2) / (n_ * (t_ - n_) * y_ * (t_ - y_) + 1e-9)
-    rate = p_ / n_ > all_p / all_n
-    best = counted.where("n >= 4").where(rate).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "feature").limit(max_features).select("feature").collect()
-    chosen = frozenset(x.feature for x in best)
-    handed = spark.sparkContext.broadcast(chosen)
-    every = docs.select(text_col).mapInArrow(_frequency_rows(handed), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    n_docs = docs.count()
-    idf = {x.feature: float(np.log((1 + n_docs) / (1 + x.n)) + 1) for x in every}
-    held: dict[int, list] = {}
-    for x in texts.mapInArrow(_feature_rows(chosen), "doc long, label int, feature string, n int").collect():
-        held.setdefault(x.doc, [x.label, {}])[1][x.feature] = x.n
-    bare = {x.label: x.n for x in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    for label, _ in held.values():
-        bare[label] -= 1
-    examples = [(d, y, c) for d, (y, c) in sorted(held.items())] + [(-1, y, {}) for y, k in bare.items() for _ in range(k)]
+    counted = texts.select("label", "text").mapInArrow(_association_rows, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    # Log likelihood ratio of a feature's share of toxic texts against the overall one, and the number of features as the bar.
+    rate, n_, p_ = all_p / all_n, F.col("n"), F.col("p")
+    ratio = p_ * F.log(p_ / (n_ * rate)) + F.when(n_ > p_, (n_ - p_) * F.log((n_ - p_) / (n_ * (1 - rate)))).otherwise(0.0)
+    tested = materialize(counted.where(n_ >= LEAST_TEXTS), "tested")
+    bar = math.log(max(tested.count(), 1)) + SURPRISE
+    telling = tested.where((p_ > 0) & (p_ / n_ > rate)).withColumn("ratio", ratio).where(F.col("ratio") >= bar)
+    best = telling.orderBy(F.desc("ratio"), "feature").limit(max_features).select("feature").collect()
+    discard(tested)
+    chosen = spark.sparkContext.broadcast(frozenset(x.feature for x in best))
+    every = {x.feature: x.n for x in docs.select(text_col).mapInArrow(_frequency_rows(chosen), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    n_docs = every.pop("", 0)
+    idf = {f: float(np.log((1 + n_docs) / (1 + n)) + 1) for f, n in every.items()}
+    held: dict[int, dict] = {}
+    for x in texts.select("doc", "text").mapInArrow(_example_rows(chosen), "doc long, feature string, n int").collect():
+        held.setdefault(x.doc, {})[x.feature] = x.n
+    examples = [(x.doc, x.label, held.get(x.doc, {})) for x in texts.select("doc", "label").orderBy("doc").collect()]
+    discard(texts)
     return Model(idf, examples)
 
 
 def _score_rows(model, text_name: str, names: list[str]):
     def rows(batches):
         m = model.value
-        vocabulary = m.vocabulary
+        known, memory = Features(m.vocabulary), {}
         for batch in batches:
             scores, evidence = [], []
             for t in batch.column(text_name).to_pylist():
-                counts = {f: n for f, n in features(t).items() if f in vocabulary}
-                s, e = m.score(counts)
-                scores.append(s)
-                evidence.append(e)
+                counts = known.counts(t)
+                key = frozenset(counts.items())
+                got = memory.get(key)
+                if got is None:
+                    if len(memory) >= _REMEMBERED // 10:
+                        memory.clear()
+                    got = memory[key] = m.score(counts)
+                scores.append(got[0])
+                evidence.append(got[1])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
                 + [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
