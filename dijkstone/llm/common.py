@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dijkstone.sources.storage import discard, materialize, shared_dir
 
-__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "materialize", "mix64", "run_hash", "shared_dir", "sliding_argmin", "word_table"]
+__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "materialize", "mix64", "run_hash", "shared_dir", "sliding_argmin", "splittable_join", "word_table"]
 
 
 def in_fold(key: str, of: int):
@@ -16,6 +16,13 @@ def in_fold(key: str, of: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))
 
 
+def splittable_join(many: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
+    """Inner join to one aggregated row a key. The extra key has both sides shuffled for the join itself (the rows of an
+    aggregate lie by its own keys already); only then can adaptive execution split a key that holds much of ``many``."""
+    extra = F.xxhash64(*keys)
+    return many.withColumn("__extra", extra).join(few.withColumn("__extra", extra), [*keys, "__extra"]).drop("__extra")
+
+
 # ---------------------------------------------------------------- words as arrays
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -132,7 +139,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     def towards(pairs: DataFrame, both: bool) -> DataFrame:
         seen = pairs.union(pairs.select("b", "a")).toDF("a", "b") if both else pairs
         least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return seen.join(least, "a")
+        return splittable_join(seen, least, "a")
 
     now = materialize(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label

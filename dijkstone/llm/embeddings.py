@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dijkstone.llm.common import connected_components, materialize
+from dijkstone.llm.common import connected_components, materialize, splittable_join
 
 LEAST_COSINE = 0.98
 DIRECTIONS = 8
@@ -218,7 +218,7 @@ def near_duplicates(
     parts = connected_components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")), "vectors-cc").select(F.col("id").alias("key"), "component")
     told = classes.select("__class", "key", "id", "many").join(counts, "key", "left").join(parts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least_id = told.groupBy("component").agg(F.min("id").alias("component_id"))
-    told = told.join(least_id, "component").select("__class", "component_id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"))
+    told = splittable_join(told, least_id, "component").select("__class", "component_id", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"))
     out = named.join(told, "__class", "left")
     own = F.col(id_col).cast("long")
     component = F.when(F.col("__class").isNull(), own).otherwise(F.col("component_id"))

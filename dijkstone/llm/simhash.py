@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dijkstone.llm.common import connected_components, materialize
+from dijkstone.llm.common import connected_components, materialize, splittable_join
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -84,7 +84,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links(classes.select("print"), radius), "prints-cc").withColumnRenamed("id", "print")
     named = classes.join(parts, "print", "left").withColumn("component", F.coalesce("component", "print"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("print", "component_id")
+    named = splittable_join(named, least, "component").select("print", "component_id")
     return rows.join(named, "print").select("id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dijkstone.llm.common import Powers, byte_slices, mix64, run_hash, sliding_argmin, word_table
+from dijkstone.llm.common import Powers, byte_slices, mix64, run_hash, sliding_argmin, splittable_join, word_table
 
 #: Words in a seed. The window less this, plus one, is the number of grams that an anchor is chosen from.
 SEED_WORDS = 5
@@ -159,13 +159,6 @@ def _result_rows(window: int, seed: int, text_name: str, names: list[str]):
     return rows
 
 
-def _splittable_join(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """Join to one aggregated row a key. The second key has both sides shuffled for the join itself; only then can adaptive
-    execution split a key that holds much of ``many``."""
-    second = F.xxhash64(key)
-    return many.withColumn("__second", second).join(few.withColumn("__second", second), [key, "__second"]).drop("__second")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed: int = SEED_WORDS) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words joined by one space) and repeats (maximal removed runs)."""
     docs = docs.drop(*(c for c in RESULTS if c not in (id_col, text_col)))
@@ -174,7 +167,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     seeds = keyed.select("__doc", text_col).mapInArrow(_seed_rows(window, seed), "seed long, doc long, at int")
     repeated = seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
-    places = _splittable_join(seeds, repeated, "seed").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("at").alias("__places"))
+    places = splittable_join(seeds, repeated, "seed").groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("at").alias("__places"))
     # Whole copies: of equal texts all but the least id's go whole, so only that one is extended.
     earliest = keyed.groupBy("__sha").agg(F.min("__doc").alias("least"))
     copies = keyed.select("__sha", "__doc").join(earliest, "__sha").where("__doc > least")
@@ -185,7 +178,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # All columns are handed over, and rows are dropped in the function, so that this and the last step share one shuffle of the texts.
     windows = placed.mapInArrow(_window_rows(window, seed, text_col), "window long, doc long")
     least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    later = _splittable_join(windows, least, "window").where("doc > least")
+    later = splittable_join(windows, least, "window").where("doc > least")
     marked = later.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("window").alias("__marked"))
 
     schema = T.StructType(

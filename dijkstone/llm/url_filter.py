@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dijkstone.llm.common import discard, materialize
+from dijkstone.llm.common import materialize, splittable_join
 
 RESULTS = ("host", "path", "rule", "verdict", "template", "purity")
 DEPTH = 8
@@ -74,7 +74,7 @@ def judge(
         here = F.get("segments", F.lit(level))
         child = tree.where(here.isNotNull()).groupBy("host", "template", here.alias("segment")).agg(*sums)
         parent = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
-        both = child.join(parent, ["host", "template"])
+        both = splittable_join(child, parent, "host", "template")
         others, rest = F.col("all_seen") - F.col("seen"), F.col("all_bad") - F.col("bad")
         share = F.try_divide("all_bad", "all_seen")
         spread = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), "seen") + F.try_divide(F.lit(1), others)))
