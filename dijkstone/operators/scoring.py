@@ -25,8 +25,9 @@ def parse_weighted(text: str | None) -> dict[str, float]:
             weight = min(1.0, float(w))
         except ValueError:
             continue
+        term = term.strip(" :").lower()
         if term and weight > 0:
-            out.setdefault(term.strip().lower(), weight)
+            out.setdefault(term, weight)
     return out
 
 

@@ -71,7 +71,7 @@ def test_trees(spark):
 def test_geometry(spark):
     hole = F.array(G.ring([(0, 0), (10, 0), (10, 10), (0, 10)]), G.ring([(4, 4), (6, 4), (6, 6), (4, 6)]))
     ell = F.array(G.ring([(20, 0), (30, 0), (30, 4), (24, 4), (24, 10), (20, 10)]))
-    areas = spark.range(1).select(F.explode(F.array(F.struct(F.lit("hole").alias("n"), hole.alias("rings")), F.struct(F.lit("ell"), ell))).alias("a")).select("a.*")
+    areas = spark.range(1).select(F.explode(F.array(F.struct(F.lit("hole").alias("n"), hole.alias("rings")), F.struct(F.lit("ell").alias("n"), ell.alias("rings")))).alias("a")).select("a.*")
     pts = [(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 0.0, 5.0), (4, 10.0, 10.0), (5, 4.0, 5.0), (6, 25.0, 5.0), (7, 22.0, 9.0), (8, 24.0, 7.0), (9, 50.0, 50.0)]
     points = spark.createDataFrame(pts, "id int, x double, y double")
     assert values(G.points_in_polygons(points, areas, cell=3.0), "id") == [(1,), (3,), (4,), (5,), (7,), (8,)]
