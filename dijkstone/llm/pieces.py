@@ -17,18 +17,21 @@ of rows are nothing special. Extra columns pass through; one that has the name o
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-_REMEMBERED, _LONG, _IDS = 200_000, 64, 1_000_000
+_REMEMBERED, _LONG, _IDS = 250_000, 64, 1_000_000
 
 
 class Vocabulary:
@@ -43,13 +46,40 @@ class Vocabulary:
         self.bytes = {i: b for b, i in enumerate(byte_ids)}
         self.longest = max((len(p) for p in self.ids), default=1)
         self.unknown = min((self.score[i] for i in self.ids.values()), default=0.0) - UNKNOWN_COST
-        self.starts = {p[:k] for p in self.ids for k in range(1, len(p) + 1)}
-        multi = set(chain.from_iterable(p for p in self.ids if len(p) > 1))
-        alone = [c for c in "\n\t\r" if c not in multi] + [SPACE]
-        inside = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        part = "".join(map(re.escape, alone))
-        # Without a piece that has a space after something else, no piece crosses the place before such a space.
-        self.cut = re.compile(f"[{part}]|[^{part}]+" if inside else f"[{part}]| *[^ {part}]+| +")
+        self._tree = None
+        long = [p for p in self.ids if len(p) > 1]
+        multi = set(chain.from_iterable(long))
+        alone = "".join(map(re.escape, [c for c in "\n\t\r" if c not in multi] + [SPACE]))
+        # Without a piece that has a space after something else, no piece crosses the place before such a space; likewise
+        # the place between a letter and a mark that no piece has after a letter.
+        if any(SPACE in p.lstrip(SPACE) for p in long):
+            self.cut = self.fine = re.compile(f"[{alone}]|[^{alone}]+")
+        else:
+            met = {m for p in long for before, m in zip(p, p[1:]) if before.isalpha()}
+            marks = "".join(map(re.escape, (m for m in ".,;:!?" if m not in met)))
+            inner = f"(?:[^ {alone}{marks}]|(?<![^\\W\\d_])[{marks}])" if marks else f"[^ {alone}]"
+            self.cut = re.compile(f"[{alone}]| *[^ {alone}]+| +")
+            self.fine = re.compile(f"[{alone}]| *{inner}+" + (f"|[{marks}]{inner}*" if marks else "") + "| +")
+        # For decoding: the bytes of each id, one after the other.
+        parts = [b"" if i not in self.bytes else bytes([self.bytes[i]]) for i in range(len(pieces))]
+        parts = [x or s.encode() for x, s in zip(parts, self.surface)]
+        self.blob = np.frombuffer(b"".join(parts) + b" ", np.uint8)
+        self.size = np.array([len(x) for x in parts], np.int64)
+        self.at = np.cumsum(self.size) - self.size
+
+    def tree(self) -> dict:
+        """Pieces by their characters, one level of nested maps a character; at "" the id (in a tuple) and the score."""
+        if self._tree is None:
+            self._tree = {}
+            for p, i in self.ids.items():
+                node = self._tree
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[""] = ((i,), self.score[i])
+        return self._tree
+
+    def __getstate__(self):
+        return self.__dict__ | {"_tree": None}  # each task grows its own
 
     @staticmethod
     def load(path: str) -> Vocabulary:
@@ -131,59 +161,69 @@ class StreamingViterbi:
 
 
 def best_ids(v: Vocabulary, text: str) -> tuple[int, ...]:
-    """Ids of a short text at once: the same search without commits, with only matching prefixes tried."""
-    n = len(text)
-    best: list[float | None] = [0.0] + [None] * n
-    back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-    starts, ids, score = v.starts, v.ids, v.score
+    """Ids of a short text at once: the same search without commits, walking the tree of pieces from every boundary."""
+    n, root, unknown = len(text), v.tree(), v.unknown
+    best = [0.0] + [-math.inf] * n
+    back: list = [None] * (n + 1)
     for a in range(n):
-        base = best[a]
-        for b in range(a + 1, min(n, a + v.longest) + 1):
-            p = text[a:b]
-            if p not in starts:
+        base, node = best[a], root
+        for b in range(a, n):
+            node = node.get(text[b])
+            if node is None:
                 break
-            i = ids.get(p)
-            if i is not None and (best[b] is None or base + score[i] > best[b]):
-                best[b], back[b] = base + score[i], (a, i)
-        if text[a] not in ids and (best[a + 1] is None or base + v.unknown > best[a + 1]):
-            best[a + 1], back[a + 1] = base + v.unknown, (a, -1)
+            piece = node.get("")
+            if piece is not None and base + piece[1] > best[b + 1]:
+                best[b + 1], back[b + 1] = base + piece[1], (a, piece[0])
+        if base + unknown > best[a + 1] and text[a] not in v.ids:
+            best[a + 1], back[a + 1] = base + unknown, (a, None)
     parts = []
     while n > 0:
-        a, i = back[n]
-        parts.append((i,) if i >= 0 else tuple(v.byte_ids[b] for b in text[a:n].encode()))
+        a, ids = back[n]
+        parts.append(ids or tuple(v.byte_ids[b] for b in text[a:n].encode()))
         n = a
     return tuple(chain.from_iterable(reversed(parts)))
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of short stretches between certain boundaries."""
+    """Encodes texts, remembering the ids of short stretches between sure boundaries in two generations."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.known = vocabulary, {}
+        self.v, self.young, self.old = vocabulary, {}, {}
 
     def encode(self, text: str) -> array:
-        out = array("i")
+        """The ids of one text."""
         if not text:
-            return out
-        known = self.known
-        for m in self.v.cut.finditer(" " + text):
-            s = m.group()
-            ids = known.get(s)
-            if ids is None:
-                ids = self._stretch(s)
-            out.extend(ids)
-        return out
+            return array("i")
+        find = self.young.get
+        return array("i", chain.from_iterable([find(s) or self._stretch(s) for s in self.v.cut.findall(" " + text)]))
 
     def _stretch(self, s: str):
-        if s == SPACE:
-            return tuple(self.v.byte_ids[b] for b in s.encode())
-        text = s.replace(" ", SPACE)
-        if len(s) > _LONG:
-            stream = StreamingViterbi(self.v)
-            return stream.feed(text) + stream.finish()
-        if len(self.known) >= _REMEMBERED:
-            self.known.clear()
-        ids = self.known[s] = best_ids(self.v, text)
+        """Ids of what is cut at spaces, from the parts between the other sure boundaries."""
+        ids = self.old.get(s)
+        if ids is None:
+            parts = self.v.fine.findall(s)
+            ids = self._part(s) if len(parts) == 1 else tuple(chain.from_iterable([self.young.get(p) or self._part(p) for p in parts]))
+        return self._remember(s, ids)
+
+    def _part(self, s: str):
+        ids = self.old.get(s)
+        if ids is None:
+            if s == SPACE:
+                ids = tuple(self.v.byte_ids[b] for b in s.encode())
+            elif len(s) > _LONG:
+                stream = StreamingViterbi(self.v)
+                text = s.replace(" ", SPACE)
+                ids = tuple(stream.feed(text) + stream.finish())
+            else:
+                ids = best_ids(self.v, s.replace(" ", SPACE))
+        return self._remember(s, ids)
+
+    def _remember(self, s: str, ids):
+        if len(s) <= _LONG:
+            if len(self.young) >= _REMEMBERED:
+                self.old = dict(self.young)
+                self.young.clear()
+            self.young[s] = ids
         return ids
 
 
@@ -200,19 +240,38 @@ def decode(v: Vocabulary, ids) -> str:
     return out.decode("utf-8", "replace")[1:]
 
 
+def decode_flat(v: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Texts of several id lists, given as one array and the places where each begins and the last ends."""
+    size, at = v.size[ids], v.at[ids]
+    filled = ends[:-1][ends[1:] > ends[:-1]]
+    begins_spaced = size[filled] > 0
+    size[filled[begins_spaced]] -= 1  # the prefixed space
+    at[filled[begins_spaced]] += 1
+    total = np.concatenate(([0], np.cumsum(size)))
+    data = v.blob[np.repeat(at - total[:-1], size) + np.arange(total[-1])]
+    edges = total[ends]
+    starts = edges[:-1][edges[1:] > edges[:-1]]
+    raw = data.tobytes()
+    try:
+        raw.decode("utf-8")
+        sound = not ((data[starts] & 0xC0) == 0x80).any()
+    except UnicodeDecodeError:
+        sound = False
+    if not sound:
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:])], pa.string())
+    return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)])
+
+
 def _encode_rows(handed, text_name: str, names: list[str]):
     def batch_of(batch, at, to, flat, ends, missing):
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(missing))
-        n = [b - a for a, b in zip(ends[:-1], ends[1:])]
-        return pa.RecordBatch.from_arrays([batch.column(c)[at:to] for c in names] + [ids, pa.array(n, pa.int64())], names=[*names, "ids", "n_ids"])
+        ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)), mask=pa.array(missing))
+        return pa.RecordBatch.from_arrays([batch.column(c)[at:to] for c in names] + [ids, pa.array(np.diff(np.array(ends, np.int64)))], names=[*names, "ids", "n_ids"])
 
     def rows(batches):
         encoder = Encoder(handed.value)
         for batch in batches:
-            column = batch.column(text_name)
             at, flat, ends, missing = 0, array("i"), [0], []
-            for i in range(len(column)):
-                t = column[i].as_py()
+            for i, t in enumerate(batch.column(text_name).to_pylist()):
                 flat.extend(encoder.encode(t or ""))
                 ends.append(len(flat))
                 missing.append(t is None)
@@ -220,7 +279,7 @@ def _encode_rows(handed, text_name: str, names: list[str]):
                     yield batch_of(batch, at, i + 1, flat, ends, missing)
                     at, flat, ends, missing = i + 1, array("i"), [0], []
             if missing:
-                yield batch_of(batch, at, len(column), flat, ends, missing)
+                yield batch_of(batch, at, batch.num_rows, flat, ends, missing)
 
     return rows
 
@@ -229,8 +288,18 @@ def _decode_rows(handed, ids_name: str, result: str, names: list[str]):
     def rows(batches):
         v = handed.value
         for batch in batches:
-            got = [None if x is None else decode(v, x) for x in (s.as_py() for s in batch.column(ids_name))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(got, pa.string())], names=[*names, result])
+            lists = batch.column(ids_name)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            at = 0
+            while at < batch.num_rows:  # a bounded number of ids at once
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + _IDS, side="right")) - 1)
+                part = lists[at:to]
+                flat = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                got = decode_flat(v, flat, ends[at : to + 1] - ends[at])
+                got = pc.if_else(part.is_valid(), got, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[at:to] for c in names), got], names=[*names, result])
+                at = to
 
     return rows
 

@@ -49,7 +49,7 @@ def test_streaming_equals_whole(real):
 def test_cuts_change_nothing(real):
     r = random.Random(4)
     for _ in range(60):
-        text = "".join(r.choice(["the ", "Wörter", " ", "   ", "\n", "\t", "▁", "naïve", "x" * 90, "国語", "a b", "é"]) for _ in range(r.randint(0, 40)))
+        text = "".join(r.choice(["the ", "Wörter", " ", "   ", "\n", "\t", "▁", "naïve", "x" * 90, "国語", "a b", "é", ".com", "x.y,", "?!", "a. ", "..."]) for _ in range(r.randint(0, 40)))
         ids = list(pieces.Encoder(real).encode(text))
         assert pieces.decode(real, ids) == text
         if pieces.SPACE not in text and text:
@@ -63,3 +63,13 @@ def test_columns(spark, real):
     assert len(out) == 5 and all(x.exact for x in out)
     assert sorted((x.doc_id or 0, x.n_ids == 0, x.ids is None) for x in out) == [(0, False, False), (1, False, False), (2, True, False), (3, True, True), (3, True, True)]
     assert pieces.round_trip(df.limit(0), real).collect() == []
+
+
+def test_decoding_of_any_ids(real):
+    import numpy as np
+
+    lists = [[], real.byte_ids[0xE2:0xE3], [5, 6, 7], [real.byte_ids[0xFF], real.ids["a"]], list(pieces.Encoder(real).encode("é 国.com a.b"))]
+    ends = np.cumsum([0, *map(len, lists)])
+    got = pieces.decode_flat(real, np.array(sum(lists, []), np.int64), ends).to_pylist()
+    assert got[0] == "" and got[4] == "é 国.com a.b" and len(got) == 5
+    assert pieces.decode_flat(real, np.array(lists[4], np.int64), np.array([0, len(lists[4])])).to_pylist() == [got[4]]
