@@ -114,7 +114,7 @@ def _(t):
     return t.documents.select("doc_id", hits.alias("hits")).orderBy(F.desc("hits"), "doc_id").limit(50)
 
 
-@query("top06_capped_rows", "SELECT o_orderkey, true AS truncated FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderdate DESC, o_orderkey LIMIT 2000")
+@query("top06_capped_rows", "SELECT o_orderkey, (SELECT count(*) FROM orders WHERE o_totalprice > 1000) > 2000 AS truncated FROM orders WHERE o_totalprice > 1000 ORDER BY o_orderdate DESC, o_orderkey LIMIT 2000")
 def _(t):
     rows, more = R.capped(t.orders.where("o_totalprice > 1000"), [F.desc("o_orderdate"), F.col("o_orderkey")], 2000)
     return rows.select("o_orderkey", F.lit(more).alias("truncated"))
