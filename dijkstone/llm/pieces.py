@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-_REMEMBERED, _LONG, _IDS = 250_000, 64, 1_000_000
+_REMEMBERED, _LONG, _IDS = 200_000, 64, 400_000
 
 
 class Vocabulary:
