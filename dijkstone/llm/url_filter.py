@@ -85,10 +85,11 @@ def judge(
         tree = tree.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))).drop("segment", "as")
     tree = materialize(tree, "tree") if deepest else tree
 
-    overall = raw.agg(F.sum("seen").alias("s"), F.sum("bad").alias("b")).select(F.coalesce((F.col("s") - F.col("b") + 1) / (F.col("s") + 1), F.lit(1.0)).alias("overall"))
-    hosts = raw.groupBy("host").agg(F.sum("seen").alias("s"), F.sum("bad").alias("b")).crossJoin(F.broadcast(overall))  # one row
-    hosts = hosts.select("host", ((F.col("s") - F.col("b") + PRIOR_PAGES * F.col("overall")) / (F.col("s") + PRIOR_PAGES)).alias("of_host"))
-    pure = tree.groupBy("host", "template").agg(F.sum("seen").alias("s"), F.sum("bad").alias("b")).join(hosts, "host")
+    sums_ = raw.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    overall = (sums_[0] - sums_[1] + 1) / (sums_[0] + 1)
+    hosts = raw.groupBy("host").agg(F.sum("seen").alias("s"), F.sum("bad").alias("b"))
+    hosts = hosts.select("host", ((F.col("s") - F.col("b") + PRIOR_PAGES * overall) / (F.col("s") + PRIOR_PAGES)).alias("of_host"))
+    pure = splittable_join(tree.groupBy("host", "template").agg(F.sum("seen").alias("s"), F.sum("bad").alias("b")), hosts, "host")
     pure = pure.select("host", "template", ((F.col("s") - F.col("b") + PRIOR_PAGES * F.col("of_host")) / (F.col("s") + PRIOR_PAGES)).alias("purity"))
     verdicts = tree.select("host", "template", F.col("segments").alias("__segments")).join(pure, ["host", "template"])
 
