@@ -84,10 +84,10 @@ def judge(
     found = occurrences(keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("text")), listed, small)
     ends = F.col("start") + F.size("window") - 1
     per_doc = found.groupBy("key").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", ends))))).alias("n_hit")
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", ends))))).alias("n_hit"), F.collect_set("window").alias("windows")
     )
-    items = found.select("key", "window").distinct().join(maybe(listed), "window").groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hits = per_doc.join(items, "key", "left").withColumnRenamed("key", "__key")
+    named = per_doc.select("key", "n_hit", F.explode("windows").alias("window")).join(maybe(listed), "window")
+    hits = named.groupBy(F.col("key").alias("__key")).agg(F.max("n_hit").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(_WORD)).cast("long")
     out = keyed.withColumn("n_words", n_words).join(hits, "__key", "left")
