@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dijkstone.sources.storage import discard, materialize, shared_dir
 
-__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "materialize", "mix64", "run_hash", "shared_dir", "sliding_argmin", "splittable_join", "word_table"]
+__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "in_small_batches", "materialize", "mix64", "run_hash", "shared_dir", "sliding_argmin", "splittable_join", "word_table"]
 
 
 def in_fold(key: str, of: int):
@@ -16,6 +16,18 @@ def in_fold(key: str, of: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(of))
 
 
+#: Rows of an Arrow batch between Spark and Python at most: whole texts are handed over, so a batch of the default 10,000 is large.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches have been bounded to BATCH_ROWS (a smaller setting stays)."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def splittable_join(many: DataFrame, few: DataFrame, *keys: str) -> DataFrame:
     """Inner join to one aggregated row a key. The extra key has both sides shuffled for the join itself (the rows of an
     aggregate lie by its own keys already); only then can adaptive execution split a key that holds much of ``many``."""
@@ -57,7 +69,7 @@ class Powers:
         return self.up, self.down
 
 
-def byte_slices(texts, limit: int = 2_000_000):
+def byte_slices(texts, limit: int = 500_000):
     """Cut an Arrow string array into ranges of rows with about ``limit`` bytes of text (one row at least)."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32 if texts.type == "string" else np.int64)[texts.offset : texts.offset + len(texts) + 1]
     at = 0

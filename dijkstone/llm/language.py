@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dijkstone.llm.common import discard, materialize
+from dijkstone.llm.common import discard, in_small_batches, materialize
 
 MAX_TEXTS = 20_000
 MAX_WORDS = 20_000
@@ -139,7 +139,7 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_texts: int = MAX_TEXTS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Learn from the rows of ``docs`` whose id and language are not null."""
-    labelled = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    labelled = in_small_batches(docs).where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = min(1.0, 0.9 * max_texts / max(labelled.select(id_col).count(), 1))
     drawn = labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(10)), F.lit(1 << 30)) < int(share * (1 << 30)))
     counted = drawn.select(lang_col, text_col).mapInArrow(_count_rows(LONGEST_GRAM), "lang string, gram string, kind int, n long")
@@ -168,6 +168,6 @@ def _predict_rows(model, text_name: str, names: list[str]):
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score."""
-    docs = docs.drop(*(c for c in RESULTS if c != text_col))
+    docs = in_small_batches(docs).drop(*(c for c in RESULTS if c != text_col))
     schema = T.StructType([*docs.schema, *T._parse_datatype_string("lang_pred string, score double")])
     return docs.mapInArrow(_predict_rows(docs.sparkSession.sparkContext.broadcast(model), text_col, docs.columns), schema)

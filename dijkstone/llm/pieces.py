@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dijkstone.llm.common import in_small_batches
+
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-_REMEMBERED, _LONG, _IDS = 200_000, 64, 400_000
+_REMEMBERED, _LONG, _IDS = 150_000, 64, 400_000
 
 
 class Vocabulary:
@@ -306,14 +308,14 @@ def _decode_rows(handed, ids_name: str, result: str, names: list[str]):
 
 def encode_column(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (array of int) and n_ids."""
-    docs = docs.drop(*(c for c in ("ids", "n_ids") if c != text_col))
+    docs = in_small_batches(docs).drop(*(c for c in ("ids", "n_ids") if c != text_col))
     schema = T.StructType([*docs.schema, *T._parse_datatype_string("ids array<int>, n_ids long")])
     return docs.mapInArrow(_encode_rows(docs.sparkSession.sparkContext.broadcast(vocabulary), text_col, docs.columns), schema)
 
 
 def decode_column(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", result: str = "decoded") -> DataFrame:
     """``rows`` with the text of an id column."""
-    rows = rows.drop(*(c for c in (result,) if c != ids_col))
+    rows = in_small_batches(rows).drop(*(c for c in (result,) if c != ids_col))
     schema = T.StructType([*rows.schema, T.StructField(result, T.StringType())])
     return rows.mapInArrow(_decode_rows(rows.sparkSession.sparkContext.broadcast(vocabulary), ids_col, result, rows.columns), schema)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dijkstone.llm.common import connected_components, materialize, splittable_join
+from dijkstone.llm.common import connected_components, in_small_batches, materialize, splittable_join
 
 SHINGLE_WORDS = 3
 RADIUS = 3
@@ -62,7 +62,7 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """(id, print): the fingerprint of each row as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(_fingerprints(shingle), "id long, print long")
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(_fingerprints(shingle), "id long, print long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:

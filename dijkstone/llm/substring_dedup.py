@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dijkstone.llm.common import Powers, byte_slices, mix64, run_hash, sliding_argmin, splittable_join, word_table
+from dijkstone.llm.common import Powers, byte_slices, in_small_batches, mix64, run_hash, sliding_argmin, splittable_join, word_table
 
 #: Words in a seed. The window less this, plus one, is the number of grams that an anchor is chosen from.
 SEED_WORDS = 5
@@ -161,7 +161,7 @@ def _result_rows(window: int, seed: int, text_name: str, names: list[str]):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, seed: int = SEED_WORDS) -> DataFrame:
     """``docs`` with n_words, n_removed, kept_text (kept words joined by one space) and repeats (maximal removed runs)."""
-    docs = docs.drop(*(c for c in RESULTS if c not in (id_col, text_col)))
+    docs = in_small_batches(docs).drop(*(c for c in RESULTS if c not in (id_col, text_col)))
     names = docs.columns
     keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)), "__sha": F.sha2(text_col, 256).substr(1, 32)})
 

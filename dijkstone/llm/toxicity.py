@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dijkstone.llm.common import discard, materialize
+from dijkstone.llm.common import discard, in_small_batches, materialize
 
 MAX_EXAMPLES = 6_000
 MAX_FEATURES = 8_000
@@ -199,7 +199,7 @@ def _frequency_rows(chosen):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
     """Learn from the rows of ``labels``; frequencies are counted over all of ``docs``."""
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc")).agg(F.max(label_col).cast("int").alias("label"))
     share = min(1.0, 0.9 * max_examples / max(known.count(), 1))
     sample = known.where(F.pmod(F.xxhash64("doc", F.lit(4)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_examples)
@@ -258,6 +258,6 @@ def _score_rows(model, text_name: str, names: list[str]):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with score, predicted (score >= 0.3) and evidence (ids of the voters, nearest first)."""
-    docs = docs.drop(*(c for c in RESULTS if c != text_col))
+    docs = in_small_batches(docs).drop(*(c for c in RESULTS if c != text_col))
     schema = T.StructType([*docs.schema, *T._parse_datatype_string("score double, predicted int, evidence array<bigint>")])
     return docs.mapInArrow(_score_rows(docs.sparkSession.sparkContext.broadcast(model), text_col, docs.columns), schema)
