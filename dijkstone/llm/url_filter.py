@@ -2,8 +2,8 @@
 
 A url has a host and a path; given rules decide first, the longest that fits. The rest is decided per host: segments with
 digits become wildcards, then the tree is walked from the root, level by level. A branch stays literal only if it holds
-enough of its parent's urls and its labelled share of bad pages differs significantly (two-proportion z-test) from that of
-its siblings; similar and rare branches merge into the wildcard. A template is blocked if its labelled purity, smoothed
+``LEAST_URLS`` urls, however many its parent has, and its labelled share of bad pages differs significantly (two-proportion
+z-test) from that of its siblings; similar and rare branches merge into the wildcard. A template is blocked if its labelled purity, smoothed
 towards its host's and that towards the overall purity, is below ``least_purity``.
 
 The tree is built from counts of distinct digit-free templates, aggregated before any shuffle; the pages themselves meet
@@ -23,7 +23,9 @@ from dijkstone.llm.common import materialize, splittable_join
 
 RESULTS = ("host", "path", "rule", "verdict", "template", "purity")
 DEPTH = 8
-LEAST_URLS, LEAST_SHARE = 20, 0.01
+LEAST_URLS = 20
+#: Only the operator's SQL still asks for this share of the parent's urls as well: it differs beyond 2,000 urls a parent.
+LEAST_SHARE = 0.01
 LEAST_Z = 2.58
 #: Labelled pages that a prior counts as, and the purity below which a template is blocked.
 PRIOR_PAGES, LEAST_PURITY = 20.0, 0.7
@@ -73,13 +75,13 @@ def judge(
     for level in range(deepest):
         here = F.get("segments", F.lit(level))
         child = tree.where(here.isNotNull()).groupBy("host", "template", here.alias("segment")).agg(*sums)
-        parent = child.groupBy("host", "template").agg(F.sum("n").alias("all_n"), F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
+        parent = child.groupBy("host", "template").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
         both = splittable_join(child, parent, "host", "template")
         others, rest = F.col("all_seen") - F.col("seen"), F.col("all_bad") - F.col("bad")
         share = F.try_divide("all_bad", "all_seen")
         spread = F.sqrt(share * (1 - share) * (F.try_divide(F.lit(1), "seen") + F.try_divide(F.lit(1), others)))
         z = F.coalesce(F.try_divide(F.abs(F.try_divide("bad", "seen") - F.try_divide(rest, others)), spread), F.lit(0.0))
-        literal = (F.col("n") >= F.greatest(F.lit(LEAST_URLS), F.col("all_n") * LEAST_SHARE)) & (z >= LEAST_Z)
+        literal = (F.col("n") >= LEAST_URLS) & (z >= LEAST_Z)
         chosen = both.select("host", "template", "segment", F.when(literal, F.col("segment")).otherwise("*").alias("as"))
         tree = tree.withColumn("segment", here).join(chosen, ["host", "template", "segment"], "left")
         tree = tree.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))).drop("segment", "as")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from dijkstone.llm.queries import RULES
 from dijkstone.llm.url_filter import judge
 
@@ -29,3 +31,13 @@ def test_bad_templates_are_blocked(spark):
     got = {(x.template, x.verdict) for x in out.where("host = 'h.org'").select("template", "verdict").distinct().collect()}
     assert ("/spam/*", "block") in got and all(v == "allow" for t, v in got if t != "/spam/*")
     assert out.where("host = 'other.org' and verdict = 'block'").count() == 0
+
+
+def test_a_bad_branch_of_a_large_host_is_blocked(spark):
+    """200 branches of 50 urls each: every branch has less than a hundredth of the host's urls."""
+    names = [a + b for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]
+    urls = [(50 * k + j, f"http://h.org/{name}/item{j}") for k, name in enumerate(names) for j in range(50)]
+    labels = [(i, int(u.startswith("http://h.org/gd/"))) for i, u in urls]
+    out = judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), [])
+    got = {(x.template, x.verdict): x.n for x in out.groupBy("template", "verdict").agg(F.count("*").alias("n")).collect()}
+    assert got == {("/gd/*", "block"): 50, ("/*/*", "allow"): 9950}
