@@ -88,6 +88,15 @@ def equal_sets(left: DataFrame, left_id: str, right: DataFrame, right_id: str, m
     return a.join(b, "members").select("left_id", "right_id", F.size("members").alias("n_members"))
 
 
+def set_classes(df: DataFrame, owner: str, member: str) -> DataFrame:
+    """One row an owner with the class of its set of members: owners of equal sets share a class, and no pairs are formed.
+
+    The class is a hash of the sorted members, each with its length before it, so that no two sets read alike."""
+    sets = df.groupBy(F.col(owner).alias("id")).agg(F.array_sort(F.collect_set(F.col(member).cast("string"))).alias("members"))
+    said = F.transform("members", lambda m: F.concat(F.char_length(m).cast("string"), F.lit(":"), m))
+    return sets.select("id", F.md5(F.array_join(said, ",").cast("binary")).alias("class_id"), F.size("members").alias("n_members"))
+
+
 def shared_sets(df: DataFrame, scope: str, owner: str, member: str) -> DataFrame:
     """Per scope: how many owners share one and the same set of members."""
     sets = df.groupBy(scope, owner).agg(F.array_sort(F.collect_set(member)).alias("members"))

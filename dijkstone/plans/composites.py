@@ -30,6 +30,12 @@ def _(t):
     return K.names_by_word(d, _names(t).select("name").distinct(), "text", "name").select("doc_id", "name").distinct()
 
 
+@query("txt08_all_name_matches", f"WITH {NAMES_SQL} SELECT DISTINCT doc_id, name FROM documents JOIN (SELECT DISTINCT name FROM names) ON {MATCH}")
+def _(t):
+    """Over all documents; txt08_scoped_name_matches takes those of even ids only."""
+    return K.names_by_word(t.documents.select("doc_id", "text"), _names(t).select("name").distinct(), "text", "name").select("doc_id", "name").distinct()
+
+
 CONSISTENCY_SQL = f"""WITH {NAMES_SQL}, named AS (SELECT doc_id, name FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH}),
   annotated AS (SELECT doc_id, name FROM labels JOIN names ON doc_id % 5 = scope WHERE quality = 1 AND (doc_id + length(name)) % 2 = 0), referenced AS (SELECT doc_id, name FROM documents JOIN names ON doc_id % 5 = scope WHERE (doc_id + length(name)) % 3 = 0),
   k AS (SELECT * FROM named UNION SELECT * FROM annotated UNION SELECT * FROM referenced),
@@ -128,6 +134,16 @@ def _(t):
     return J.equal_sets(s.where("id % 3 = 0"), "id", s.where("id % 3 = 1"), "id", "m")
 
 
+@query(
+    "mv03_place_classes",
+    """WITH s AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT (l_partkey % 4)::VARCHAR)) AS members FROM lineitem WHERE l_quantity > 47 GROUP BY 1)
+       SELECT id, md5(array_to_string(list_transform(members, lambda m: length(m) || ':' || m), ',')) AS class_id, len(members)::INTEGER AS n_members FROM s""",
+)
+def _(t):
+    """The equal places of all owners; mv03_equal_places pairs two thirds of them with each other only."""
+    return J.set_classes(t.lineitem.where("l_quantity > 47").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 4).alias("m")), "id", "m")
+
+
 @query(
     "mv05_health",
     """WITH o AS (SELECT c_nationkey AS n_nationkey, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1), s AS (SELECT s_nationkey AS n_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1)

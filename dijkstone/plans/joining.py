@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dijkstone.operators import consistency as K
 from dijkstone.operators import joins as J
 from dijkstone.plans.registry import query
 
@@ -140,6 +141,18 @@ def _(t):
     return d.join(n, "scope").where(F.contains("text", F.left("name", F.lit(3)))).select("doc_id", "scope", "name").distinct()
 
 
+@query(
+    "jn13_whole_name_in_text",
+    r"""SELECT DISTINCT d.doc_id, n.n_regionkey AS scope, lower(n.n_name) AS name FROM documents d JOIN nation n ON d.doc_id % 5 = n.n_regionkey
+        WHERE contains(lower(d.text), lower(n.n_name)) AND regexp_matches(d.text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(n.n_name) || '($|[^\p{L}\p{N}_])')""",
+)
+def _(t):
+    """Whole names between word boundaries; jn13_name_in_text asks for the first three letters anywhere."""
+    d = t.documents.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("scope"), "text")
+    n = t.nation.select(F.col("n_regionkey").alias("scope"), F.lower("n_name").alias("name"))
+    return K.names_in_texts(d, n, "scope", "text", "name", least=0).select("doc_id", "scope", "name").distinct()
+
+
 SETS = "SELECT l_suppkey AS id, list_sort(list(DISTINCT l_partkey % 7)) AS members FROM lineitem WHERE l_quantity > 44 GROUP BY 1"
 
 
@@ -149,6 +162,16 @@ def _(t):
     return J.equal_sets(s.where("id % 2 = 0"), "id", s.where("id % 2 = 1"), "id", "m")
 
 
+@query(
+    "jn14_set_classes",
+    """WITH s AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT (l_partkey % 7)::VARCHAR)) AS members FROM lineitem WHERE l_quantity > 44 GROUP BY 1)
+       SELECT id, md5(array_to_string(list_transform(members, lambda m: length(m) || ':' || m), ',')) AS class_id, len(members)::INTEGER AS n_members FROM s""",
+)
+def _(t):
+    """The equal sets of all owners; jn14_equal_sets pairs even ones with odd ones only."""
+    return J.set_classes(t.lineitem.where("l_quantity > 44").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 7).alias("m")), "id", "m")
+
+
 @query("jn15_junction", "SELECT DISTINCT o_custkey, l_suppkey FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND l_quantity > 48")
 def _(t):
     c = t.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))

@@ -3,6 +3,7 @@
 import random
 
 import __spark_entry__ as entry
+from dijkstone.operators import joins as J
 
 
 def stem(w):
@@ -28,3 +29,23 @@ def test_ngrams_of_all_words(spark, tmp_path):
     spark.createDataFrame(texts, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {x.item_id: x.grams for x in entry.queries()["txt13_ngrams"](spark, str(tmp_path)).collect()}
     assert got == {i: grams(t.split()) for i, t in texts}
+
+
+def test_names_in_all_documents(spark, tmp_path):
+    docs = [(1, "Some THING here"), (2, "a thing."), (3, "things"), (5, "NATION_10 and nation_1x"), (10, "in Nation_1, yes"), (15, "nat nation")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "NATION_1", 0), (5, "NATION_10", 0), (1, "OTHER", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    of = lambda q: sorted(tuple(x) for x in entry.queries()[q](spark, str(tmp_path)).select("doc_id", "name").collect())
+    assert of("txt08_all_name_matches") == [(1, "thing"), (2, "thing")]
+    assert of("jn13_whole_name_in_text") == [(5, "nation_10"), (10, "nation_1")]
+
+
+def test_set_classes_of_all_owners(spark):
+    sets = {1: "ab", 2: "ab", 3: "abc", 5: "ba", 6: "c", 8: "abc"}
+    df = spark.createDataFrame([(i, m) for i, s in sets.items() for m in s + s[0]] + [(9, "a,1:b"), (10, "a"), (10, "b")], "o int, m string")
+    got = {x.id: (x.class_id, x.n_members) for x in J.set_classes(df, "o", "m").collect()}
+    groups = {}
+    for i, c in got.items():
+        groups.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 5, 10], [3, 8], [6], [9]]
+    assert got[3][1] == 3 and got[9][1] == 1
