@@ -155,10 +155,11 @@ def _distance(a: Column, b: Column) -> Column:
 
 def choose_candidate(candidates: Column, median: Column, spread: float = 1000.0) -> Column:
     """The best of several geometries (struct with kind, x, y): all near together: the first; else an address; else the one
-    nearest to the municipal median, areas first; else the medoid of three or more; else the first."""
+    nearest to the municipal median, areas before others at one distance; else the medoid of three or more; else the first
+    area; else the first. Quadratic in the candidates, which are those of one object (a notice has some 16 at most)."""
     far = F.aggregate(F.flatten(F.transform(candidates, lambda a: F.transform(candidates, lambda b: _distance(a, b)))), F.lit(0.0), lambda s, v: F.greatest(s, v))
     address = F.get(F.filter(candidates, lambda c: c["kind"] == "Adres"), F.lit(0))
-    nearest = F.array_min(F.transform(candidates, lambda c, i: F.struct(F.when(c["kind"] == "Vlak", 0).otherwise(1).alias("k"), _distance(c, median).alias("d"), i.alias("i"))))
+    nearest = F.array_min(F.transform(candidates, lambda c, i: F.struct(_distance(c, median).alias("d"), F.when(c["kind"] == "Vlak", 0).otherwise(1).alias("k"), i.alias("i"))))
     medoid = F.array_min(F.transform(candidates, lambda a, i: F.struct(F.aggregate(candidates, F.lit(0.0), lambda s, b: s + _distance(a, b)).alias("d"), i.alias("i"))))
     first = F.get(candidates, F.lit(0))
     return (
@@ -166,7 +167,7 @@ def choose_candidate(candidates: Column, median: Column, spread: float = 1000.0)
         .when(address.isNotNull(), address)
         .when(median.isNotNull(), F.get(candidates, nearest["i"]))
         .when(F.size(candidates) >= 3, F.get(candidates, medoid["i"]))
-        .otherwise(first)
+        .otherwise(F.coalesce(F.get(F.filter(candidates, lambda c: c["kind"] == "Vlak"), F.lit(0)), first))
     )
 
 

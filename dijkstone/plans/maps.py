@@ -111,9 +111,13 @@ def _(t):
 
 @query("geo13_candidates")
 def _(t):
-    p = points(t).groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("c_custkey") % 2 == 0, "Vlak").otherwise("Punt").alias("kind"), "x", "y", "c_custkey"))).alias("all"))
-    some = p.withColumn("all", F.slice("all", 1, 6)).join(G.median_centre(points(t), "c_nationkey"), "c_nationkey")
-    return some.select("c_nationkey", G.choose_candidate(F.col("all"), F.struct(F.col("mx").alias("x"), F.col("my").alias("y")))["c_custkey"].alias("chosen"))
+    """Objects are customers, their candidates the places of all their orders, in order of the key."""
+    k = F.col("o_orderkey")
+    kind = F.when(k % 13 == 0, "Adres").when(k % 2 == 0, "Vlak").otherwise("Punt")
+    candidate = F.struct(k, kind.alias("kind"), (k * 7919 % 10007).cast("double").alias("x"), (k * 104729 % 10009).cast("double").alias("y"))
+    c = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(candidate)).alias("all"))
+    of = points(t).select("c_custkey", "c_nationkey").join(G.median_centre(points(t), "c_nationkey"), "c_nationkey")
+    return c.join(of, "c_custkey").select("c_custkey", G.choose_candidate(F.col("all"), F.struct(F.col("mx").alias("x"), F.col("my").alias("y")))["o_orderkey"].alias("chosen"))
 
 
 @query("geo14_median_centres", f"WITH {POINTS_SQL} SELECT c_nationkey, quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM points GROUP BY 1")

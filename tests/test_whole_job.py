@@ -1,6 +1,8 @@
 """Queries and operators over all of their input, against brute force."""
 
+import math
 import random
+from statistics import median
 
 import __spark_entry__ as entry
 from dijkstone.operators import joins as J
@@ -49,3 +51,26 @@ def test_set_classes_of_all_owners(spark):
         groups.setdefault(c, set()).add(i)
     assert sorted(map(sorted, groups.values())) == [[1, 2, 5, 10], [3, 8], [6], [9]]
     assert got[3][1] == 3 and got[9][1] == 1
+
+
+def test_candidates_of_an_object(spark, tmp_path):
+    """All candidates count, however late in order, and the nearest to the median wins, area or not."""
+    r, n = random.Random(4), 40
+    orders = [(k, r.randrange(n)) for k in r.sample(range(100_000), 300)]
+    spark.createDataFrame([(i, i % 3) for i in range(n)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {x.c_custkey: x.chosen for x in entry.queries()["geo13_candidates"](spark, str(tmp_path)).collect()}
+    at = lambda k: (k * 7919 % 10007, k * 104729 % 10009)
+    kind = lambda k: "Adres" if k % 13 == 0 else "Vlak" if k % 2 == 0 else "Punt"
+    middle = {c: tuple(median(at(i)[a] for i in range(n) if i % 3 == c) for a in (0, 1)) for c in range(3)}
+
+    def want(i):
+        ks = sorted(k for k, c in orders if c == i)
+        if max((math.dist(at(a), at(b)) for a in ks for b in ks)) < 1000:
+            return ks[0]
+        address = [k for k in ks if kind(k) == "Adres"]
+        return address[0] if address else min(ks, key=lambda k: (math.dist(at(k), middle[i % 3]), kind(k) != "Vlak"))
+
+    assert got == {i: want(i) for i in {c for _, c in orders}}
+    assert any(kind(k) == "Punt" and any(kind(o) == "Vlak" for o, c in orders if c == i) for i, k in got.items())
+    assert any(sorted(k for k, c in orders if c == i).index(k_) >= 6 for i, k_ in got.items())
