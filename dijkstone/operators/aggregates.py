@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
+from itertools import groupby, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dijkstone.operators.predicates import Filters
 
@@ -83,13 +87,88 @@ def rollup_with_parent(facts: DataFrame, key: str, parents: DataFrame, extra: Da
     return parents.join(facts, key, "left").join(more, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+#: Bytes of joined parts in one row: small enough that an Arrow batch of 10,000 rows stays at some 40 MB.
+_CHUNK_BYTES = 4096
+
+
+def _runs(batches, scopes: int):
+    """The rows of sorted Arrow batches by scope, as they come: (scope, rows), and the types of the columns."""
+    types = []
+
+    def rows():
+        for batch in batches:
+            types[:] = batch.schema.types
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    return groupby(rows(), key=lambda r: r[:scopes]), types
+
+
+def _as_batches(rows, types, names: list[str], at_most: int = 1_000):
+    while part := list(islice(rows, at_most)):
+        yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*part), types())], names=names)
+
+
+def _join_parts(scopes: int, names: list[str]):
+    """(scope, key, part) in order to (scope, first key, place, chunk of joined parts or null, rows)."""
+
+    def chunks(runs):
+        for scope, rows in runs:
+            held, size, n, first = [], 0, 0, None
+            place = 0
+            for r in rows:
+                if n == 0:
+                    first = r[scopes]
+                n += 1
+                if r[scopes + 1] is not None:
+                    held.append(r[scopes + 1].encode())
+                    size += len(held[-1]) + 1
+                if size >= _CHUNK_BYTES:
+                    yield *scope, first, place, b"|".join(held), n
+                    held, size, n, place = [], 0, 0, place + 1
+            if n:
+                yield *scope, first, place, b"|".join(held) if held else None, n
+
+    def run(batches):
+        runs, types = _runs(batches, scopes)
+        yield from _as_batches(chunks(runs), lambda: [*types[: scopes + 1], pa.int64(), pa.binary(), pa.int64()], names)
+
+    return run
+
+
+def _hash_chunks(scopes: int, names: list[str]):
+    """Chunks in order to (scope, hash, rows): MD5 takes them one after the other, so no scope is ever held whole."""
+
+    def hashes(runs):
+        for scope, rows in runs:
+            digest, n, any_yet = hashlib.md5(usedforsecurity=False), 0, False
+            for *_, chunk, m in rows:
+                n += m
+                if chunk is not None:
+                    digest.update(b"|" + chunk if any_yet else chunk)
+                    any_yet = True
+            yield *scope, digest.hexdigest(), n
+
+    def run(batches):
+        runs, types = _runs(batches, scopes)
+        yield from _as_batches(hashes(runs), lambda: [*types[:scopes], pa.string(), pa.int64()], names)
+
+    return run
+
+
 def content_hash(df: DataFrame, scope: list[str], key: str, text: str) -> DataFrame:
     """MD5 of ``key:text`` parts joined by a pipe in order of the key, per scope.
 
-    The parts of a scope meet in one row, as the hash demands; a part is itself a hash of a text where texts are long.
+    No row or task holds the parts of a scope: they are dealt out and sorted by ranges of scope and key, neighbours are
+    joined to chunks, and a scope's chunks are hashed as a stream. That stream is one task a scope, as MD5 is sequential.
     """
-    part = F.struct(F.col(key).alias("k"), F.concat(F.col(key).cast("string"), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).alias("v"))
-    return df.groupBy(*scope).agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["v"]), "|").cast("binary")).alias("hash"), F.count("*").alias("n"))
+    k, n = F.col(key).alias("__key"), len(scope)
+    parts = df.select(*scope, k, F.concat(F.col(key).cast("string"), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).alias("__part"))
+    kinds = parts.schema.fields
+    ordered = parts.repartitionByRange(*scope, "__key").sortWithinPartitions(*scope, "__key", "__part")
+    chunked = T.StructType([*kinds[: n + 1], T.StructField("__place", T.LongType()), T.StructField("__chunk", T.BinaryType()), T.StructField("__n", T.LongType())])
+    chunks = ordered.mapInArrow(_join_parts(n, chunked.names), chunked).repartition(*scope).sortWithinPartitions(*scope, "__key", "__place")
+    hashed = T.StructType([*kinds[:n], T.StructField("hash", T.StringType()), T.StructField("n", T.LongType())])
+    return chunks.mapInArrow(_hash_chunks(n, hashed.names), hashed)
 
 
 def notable(df: DataFrame, facts: dict[str, tuple[Column, Column]]) -> DataFrame:

@@ -1,10 +1,12 @@
 """Queries and operators over all of their input, against brute force."""
 
+import hashlib
 import math
 import random
 from statistics import median
 
 import __spark_entry__ as entry
+from dijkstone.operators import aggregates as A
 from dijkstone.operators import joins as J
 
 
@@ -74,3 +76,17 @@ def test_candidates_of_an_object(spark, tmp_path):
     assert got == {i: want(i) for i in {c for _, c in orders}}
     assert any(kind(k) == "Punt" and any(kind(o) == "Vlak" for o, c in orders if c == i) for i, k in got.items())
     assert any(sorted(k for k, c in orders if c == i).index(k_) >= 6 for i, k_ in got.items())
+
+
+def test_content_hash_streams_a_hot_scope(spark):
+    """One scope of 20,000 rows over many chunks and partitions; no aggregate gathers it in one row."""
+    rows = [("hot", i, f"t{i}") for i in range(20_000)] + [(f"s{i % 7}", i, None if i % 5 else "x") for i in range(100)] + [(None, 3, "c"), (None, None, "lost"), ("z", 2, "b"), ("z", 2, "a"), ("none", None, "x")]
+    df = spark.createDataFrame(rows, "scope string, k long, t string").repartition(7)
+    out = A.content_hash(df, ["scope"], "k", "t")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    parts = {}
+    for s, k, t in rows:
+        parts.setdefault(s, []).append((k, t or ""))
+    digest = lambda s: hashlib.md5("|".join(f"{k}:{t}" for k, t in sorted(p for p in s if p[0] is not None)).encode()).hexdigest()
+    assert {x.scope: (x.hash, x.n) for x in out.collect()} == {s: (digest(p), len(p)) for s, p in parts.items()}
+    assert A.content_hash(df.where("false"), ["scope"], "k", "t").collect() == []
