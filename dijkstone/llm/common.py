@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dijkstone.sources.storage import discard, materialize, shared_dir
 
-__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "in_small_batches", "materialize", "mix64", "run_hash", "shared_dir", "sliding_argmin", "splittable_join", "word_table"]
+__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "in_small_batches", "materialize", "mix64", "prefix_ends", "ranges", "run_hash", "shared_dir", "sliding_argmin", "span_hash", "splittable_join", "word_spans", "word_table"]
 
 
 def in_fold(key: str, of: int):
@@ -79,16 +79,16 @@ def byte_slices(texts, limit: int = 500_000):
         at = min(to, len(texts))
 
 
-def word_table(texts, powers: Powers):
-    """Words of an Arrow string array (nulls: none).
+def word_spans(texts, powers: Powers):
+    """Words of an Arrow string array (nulls: none), parted by ASCII white space.
 
-    Returns (data, start, end, row, hash): the bytes, each word's byte span, its row and a 64-bit hash of its bytes.
+    Returns (data, start, end, row, sums): the bytes, each word's byte span, its row, and sums for ``span_hash``.
     """
     kind = np.int32 if texts.type == "string" else np.int64
     offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     if len(texts) == 0 or texts.buffers()[2] is None or offsets[-1] == offsets[0]:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint8), none, none, none, np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint8), none, none, none, np.zeros(1, np.uint64)
     base = offsets[0]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[base : offsets[-1]]
     offsets = offsets - base
@@ -101,10 +101,35 @@ def word_table(texts, powers: Powers):
     ends[:-1] &= ~inside[1:] | edge[1:-1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, side="right") - 1
-    up, down = powers.to(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=sums[1:])
-    return data, start, end, row, mix64((sums[end] - sums[start]) * down[start])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers.to(len(data))[0][: len(data)], dtype=np.uint64, out=sums[1:])
+    return data, start, end, row, sums
+
+
+def span_hash(sums: np.ndarray, powers: Powers, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes of spans; equal bytes have equal hashes, wherever they stand."""
+    return mix64((sums[end] - sums[start]) * powers.to(len(sums))[1][start])
+
+
+def word_table(texts, powers: Powers):
+    """(data, start, end, row, hash): the words of ``word_spans`` with a 64-bit hash of each one's bytes."""
+    data, start, end, row, sums = word_spans(texts, powers)
+    return data, start, end, row, span_hash(sums, powers, start, end)
+
+
+def prefix_ends(data: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """Where the first ``k`` characters of each word end; -1 for words of no more than ``k``."""
+    first = np.flatnonzero((data & 0xC0) != 0x80)  # the first byte of each character
+    at = np.searchsorted(first, start) + k
+    to = np.append(first, len(data))[np.minimum(at, len(first))]
+    return np.where((at < len(first)) & (to < end), to, -1)
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of several ranges one after the other, and for each the number of its range."""
+    size = ends - starts
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + starts[of], of
 
 
 def run_hash(hashes: np.ndarray, n: int) -> np.ndarray:
