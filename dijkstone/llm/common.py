@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dijkstone.sources.storage import discard, materialize, shared_dir
 
-__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "in_small_batches", "materialize", "mix64", "prefix_ends", "ranges", "run_hash", "shared_dir", "sliding_argmin", "span_hash", "splittable_join", "word_spans", "word_table"]
+__all__ = ["Powers", "byte_slices", "connected_components", "discard", "in_fold", "in_small_batches", "materialize", "mix64", "plain_words", "prefix_ends", "ranges", "run_hash", "shared_dir", "sliding_argmin", "span_hash", "splittable_join", "word_spans", "word_table"]
 
 
 def in_fold(key: str, of: int):
@@ -79,8 +80,26 @@ def byte_slices(texts, limit: int = 500_000):
         at = min(to, len(texts))
 
 
-def word_spans(texts, powers: Powers):
-    """Words of an Arrow string array (nulls: none), parted by ASCII white space.
+#: Bytes that part words of letters, and of letters and digits: all other ASCII. Bytes of other characters are within words.
+NO_LETTER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
+NO_LETTER_OR_DIGIT = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def plain_words(texts, digits: bool):
+    """An Arrow string array in lower case with every run of other characters than letters (and digits) as one space, or as
+    it is where the table for ``word_spans``, also returned, parts its words alike."""
+    low = pc.utf8_lower(texts)
+    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)
+    lead = data >= 0xC0
+    # Two-byte letters from U+00C0 to U+024F, but for the signs of multiplication and division.
+    signs = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    if ((data >= 0xC3) & (data <= 0xC8))[lead].all() and not signs.any():
+        return low, NO_LETTER_OR_DIGIT if digits else NO_LETTER
+    return pc.replace_substring_regex(low, r"[^\pL\pN]+" if digits else r"[^\pL]+", " "), _SPACE
+
+
+def word_spans(texts, powers: Powers, apart: np.ndarray = _SPACE):
+    """Words of an Arrow string array (nulls: none), parted by the bytes in ``apart`` (ASCII white space).
 
     Returns (data, start, end, row, sums): the bytes, each word's byte span, its row, and sums for ``span_hash``.
     """
@@ -92,7 +111,7 @@ def word_spans(texts, powers: Powers):
     base = offsets[0]
     data = np.frombuffer(texts.buffers()[2], np.uint8)[base : offsets[-1]]
     offsets = offsets - base
-    inside = ~_SPACE[data]
+    inside = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     begins = inside.copy()
@@ -129,7 +148,7 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """All numbers of several ranges one after the other, and for each the number of its range."""
     size = ends - starts
     of = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + starts[of], of
+    return np.arange(len(of)) + np.repeat(starts - (np.cumsum(size) - size), size), of
 
 
 def run_hash(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -1,262 +1,270 @@
 """Toxicity by nearest labelled examples.
 
-Texts become TF-IDF vectors over features that tell the labels apart: words, and the beginnings of words (so unseen endings
-of a known stem count). Document frequencies for IDF are counted over all documents. A score is a vote of the ``k`` nearest
-labelled examples by exact cosine, each weighted by its similarity, smoothed by the rate among examples that hold no
-feature at all; the ids of the voters are the evidence.
-
-Neighbours come from a block-max inverted index: examples lie in blocks, and for each feature and block the largest weight
-is kept. A text's features give every block an upper bound; blocks are scored best bound first until the k-th similarity
-found is no less than the next bound. That is exact, and skips most blocks.
-
-The classifier is fitted on a bounded sample of the labelled rows (``max_examples``) with at most ``max_features`` features;
-these bounds, whatever the size of the input, are what is collected and broadcast.
-
-Defined results: null and empty texts hold no feature and get the prior. A row with a null id is scored and never learned
-from. Repeated rows get equal scores. If nothing is labelled the score is 0.5 of ``threshold``. Extra columns pass
-through; one that has the name of a result column is replaced.
+Texts become TF-IDF vectors over all words, and beginnings of words (so unseen endings of a known stem count), that the
+examples hold. A term's weight is (1 + log tf) times IDF, counted over all documents, times how far the examples tell it
+apart: ``GENERAL`` plus its log likelihood ratio for the toxic label in units of what the best of so many terms would
+reach by chance. No term is left out. A score is a vote of the ``k`` nearest labelled examples by exact cosine, each
+weighted by its similarity, smoothed by the share of toxic examples; the ids of the voters are the evidence.
+
+Neighbours come from a block-max inverted index: examples lie in blocks, and for each term and block the largest weight is
+kept. The few most frequent terms, which nearly all examples hold, are summed for all at once; with that, the other terms
+give every block an upper bound, and only blocks whose bound reaches the k-th similarity found so far are completed. That is
+exact.
+
+The classifier is fitted on a bounded sample of the labelled rows: at most ``max_examples``, those of the least hashes of
+their ids. What is collected and broadcast are the terms of these examples. Terms are named by 64-bit hashes.
+
+Defined results: null and empty texts hold no term and get the prior, the share of toxic examples, and no evidence. Ids are
+whole numbers. A row with a null id is scored and never learned from. Repeated rows get equal scores; repeated labels of an
+id count once, the greatest. If nothing is labelled the score is half of ``THRESHOLD``. Extra columns pass through; one
+that has the name of a result column is replaced.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dijkstone.llm.common import discard, in_small_batches, materialize
+from dijkstone.llm.common import Powers, byte_slices, in_small_batches, plain_words, prefix_ends, ranges, span_hash, word_spans
 
-MAX_EXAMPLES = 6_000
-MAX_FEATURES = 8_000
+MAX_EXAMPLES = 3_000
 NEIGHBOURS = 15
 THRESHOLD = 0.3
-#: A feature must be in so many texts of the sample, and so surprising that few of all features would be by chance.
-LEAST_TEXTS, SURPRISE = 4, 2.0
-#: Summed similarity that the prior counts as in a vote.
-SMOOTHING = 1.5
-BLOCK = 64
+#: Weight of a term that tells nothing apart, and summed similarity that the prior counts as in a vote.
+GENERAL, SMOOTHING = 0.1, 0.5
+BLOCK, DENSE_TERMS = 64, 384
+#: Terms of texts that are searched together.
+_TOGETHER = 6_000
 
 RESULTS = ("score", "predicted", "evidence")
-_WORD = re.compile(r"[^\W_]+")
 _STEMS = (4, 5)
-#: Words whose features, and vectors whose scores, a task remembers.
-_REMEMBERED = 200_000
 
 
-def words(text: str | None) -> Counter:
-    """Counts of the words of a text; case is folded."""
-    return Counter(_WORD.findall((text or "").lower()))
+def _words_of(texts, powers: Powers):
+    """(row, word, count) by row, and the terms of each word: (word, term). Words are runs of letters and digits in lower
+    case; a beginning of a word is a term of its own."""
+    plain, apart = plain_words(texts, digits=True)
+    data, start, end, row, sums = word_spans(plain, powers, apart)
+    hashes, seen, word = np.unique(span_hash(sums, powers, start, end), return_index=True, return_inverse=True)
+    words, terms = [np.arange(len(hashes))], [hashes]
+    for k in _STEMS:
+        to = prefix_ends(data, start[seen], end[seen], k)
+        longer = np.flatnonzero(to >= 0)
+        words.append(longer)
+        terms.append(span_hash(sums, powers, start[seen[longer]], to[longer]) ^ np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF))
+    cell, n = np.unique(row * len(hashes) + word, return_counts=True)
+    return cell // max(len(hashes), 1), cell % max(len(hashes), 1), n, np.concatenate(words), np.concatenate(terms)
 
 
-def features_of(word: str) -> tuple[str, ...]:
-    """A word and, marked by ^, the beginnings of it."""
-    return (word, *("^" + word[:k] for k in _STEMS if len(word) > k))
+def _by_row(row, word, n, words, numbers, size: int):
+    """(row, number, count) by row and number, where ``words`` have ``numbers`` below ``size``."""
+    order = np.argsort(words, kind="stable")
+    first = np.searchsorted(words[order], np.arange(word.max(initial=-1) + 2))
+    at, of = ranges(first[word], first[word + 1])
+    cell, back = np.unique(row[of] * size + numbers[order][at], return_inverse=True)
+    return cell // max(size, 1), cell % max(size, 1), np.bincount(back, n[of], minlength=len(cell))
 
 
-class Features:
-    """Counts of known features in texts, by a bounded memory of words."""
+def terms_of(texts, powers: Powers):
+    """(row, term, count) of the texts of an Arrow string array, by row and term."""
+    row, word, n, words, terms = _words_of(texts, powers)
+    all_, number = np.unique(terms, return_inverse=True)
+    row, number, n = _by_row(row, word, n, words, number, len(all_))
+    return row, all_[number], n
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        known = self.known
-        for w, n in words(text).items():
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= _REMEMBERED:
-                    known.clear()
-                ids = known[w] = tuple(self.vocabulary[f] for f in features_of(w) if f in self.vocabulary)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
+def known_terms(texts, vocabulary: np.ndarray, powers: Powers):
+    """(row, number of the term in the sorted ``vocabulary``, count), of the terms that are in it, by row and term."""
+    row, word, n, words, terms = _words_of(texts, powers)
+    at = np.minimum(np.searchsorted(vocabulary, terms), max(len(vocabulary) - 1, 0))
+    held = np.flatnonzero(vocabulary[at] == terms) if len(vocabulary) else np.zeros(0, np.int64)
+    return _by_row(row, word, n, words[held], at[held], len(vocabulary))
 
 
-class BlockMaxIndex:
-    """Unit vectors of examples by feature, in blocks, with each block's largest weight for each feature."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_features: int, block: int = BLOCK):
-        # Examples with like features share blocks, which makes the bounds tight.
-        order = sorted(range(len(vectors)), key=lambda i: sorted(vectors[i], key=lambda f: -vectors[i][f])[:3])
-        self.ids, self.block, self.n_blocks = np.array(order, np.int64), block, -(-len(vectors) // block)
-        at: list[list[tuple[int, float]]] = [[] for _ in range(n_features)]
-        for place, i in enumerate(order):
-            for f, w in vectors[i].items():
-                at[f].append((place, w))
-        self.places = [np.array([p for p, _ in x], np.int64) for x in at]
-        self.weights = [np.array([w for _, w in x]) for x in at]
-        edges = np.arange(self.n_blocks + 1) * block
-        self.starts = [np.searchsorted(p, edges).tolist() for p in self.places]
-        self.bounds = np.zeros((n_features, self.n_blocks))
-        for f in range(n_features):
-            np.maximum.at(self.bounds[f], self.places[f] // block, self.weights[f])
-
-    def search(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The k examples of greatest positive cosine, (cosine, number) from the greatest; equal ones by number."""
-        fs = list(query)
-        if not fs or not len(self.ids):
-            return []
-        q = np.array([query[f] for f in fs])
-        bound = q @ self.bounds[fs]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found: list[tuple[float, int]] = []
-        for first in range(0, len(order), 8):
-            blocks = order[first : first + 8]
-            if len(found) >= k and found[k - 1][0] > bound[blocks[0]] * (1 + 1e-9):
-                break
-            scores = np.zeros((len(blocks), self.block))
-            for f, w in zip(fs, q):
-                places, weights, starts = self.places[f], self.weights[f], self.starts[f]
-                for j, b in enumerate(blocks):
-                    lo, hi = starts[b], starts[b + 1]
-                    if lo < hi:
-                        scores[j, places[lo:hi] - b * self.block] += w * weights[lo:hi]
-            j, slot = np.nonzero(scores > 0)
-            values, numbers = scores[j, slot], self.ids[blocks[j] * self.block + slot]
-            best = np.lexsort((numbers, -values))[:k]
-            found += zip(values[best].tolist(), numbers[best].tolist())
-            found.sort(key=lambda x: (-x[0], x[1]))
-            del found[k:]
-        return found
-
-
-class Model:
-    """What is broadcast: vocabulary with IDF, index, labels and ids of the examples, prior."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], k: int = NEIGHBOURS):
-        self.vocabulary = {f: i for i, f in enumerate(sorted(idf))}
-        self.idf = np.array([idf[f] for f in sorted(idf)])
-        self.k, self.ids, self.labels, vectors, bare = k, [], [], [], []
-        for doc, label, counts in examples:
-            v = self.vector({self.vocabulary[f]: n for f, n in counts.items()})
-            if v:
-                self.ids.append(doc)
-                self.labels.append(label)
-                vectors.append(v)
-            else:
-                bare.append(label)
-        self.index = BlockMaxIndex(vectors, len(self.vocabulary))
-        self.prior = (sum(bare) + 0.5) / (len(bare) + 10) if examples else THRESHOLD / 2
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {f: (1 + math.log(n)) * self.idf[f] for f, n in sorted(counts.items())}
-        norm = math.sqrt(sum(w * w for w in v.values()))
-        return {f: w / norm for f, w in v.items()}
-
-    def score(self, counts: dict[int, int]) -> tuple[float, list[int]]:
-        near = self.index.search(self.vector(counts), self.k)
-        votes, total = sum(s * self.labels[i] for s, i in near), sum(s for s, _ in near)
-        return float((votes + SMOOTHING * self.prior) / (total + SMOOTHING)), [self.ids[i] for _, i in near]
-
-
-def _association_rows(batches):
-    """(feature, n, p): of a task's labelled texts (label, text) how many hold a feature, and how many of those are toxic."""
-    total: dict[str, list[int]] = {}
-    for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for f in {f for w in words(text) for f in features_of(w)}:
-                x = total.setdefault(f, [0, 0])
-                x[0] += 1
-                x[1] += label
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x[0] for x in total.values()]), pa.array([x[1] for x in total.values()])], names=["feature", "n", "p"])
+def unit_vectors(row, term, n, weight: np.ndarray, rows: int):
+    """TF-IDF weights of the terms of several texts, at unit length."""
+    w = (1 + np.log(n)) * weight[term]
+    norm = np.sqrt(np.bincount(row, w * w, minlength=rows))
+    return w / norm[row]
 
 
-def _example_rows(chosen):
-    """(doc, feature, n) of labelled texts (doc, text) over the chosen features."""
+class BlockMaxIndex:
+    """Unit vectors of examples by term, in blocks. The most frequent terms are rows of a dense table; for every other term
+    and block the largest weight is kept, and the examples that hold the term. Plain arrays, so that a broadcast of
+    ``state()`` needs no class on the executors."""
+
+    def __init__(self, state: dict):
+        self.__dict__.update(state)
+
+    @staticmethod
+    def build(row, term, weight, rows: int, terms: int, block: int = BLOCK, dense: int = DENSE_TERMS) -> BlockMaxIndex:
+        # Examples with like strongest terms share blocks, which makes the bounds tight.
+        best = np.full(rows, -1, np.int64)
+        by_weight = np.lexsort((term, weight))
+        best[row[by_weight]] = term[by_weight]
+        ids = np.lexsort((np.arange(rows), best))
+        place_of = np.empty(rows, np.int64)
+        place_of[ids] = np.arange(rows)
+        frequent = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:dense]
+        dense_of = np.full(terms, -1, np.int64)
+        dense_of[frequent] = np.arange(len(frequent))
+        blocks = -(-rows // block)
+        table, common = np.zeros((len(frequent), blocks * block)), dense_of[term] >= 0
+        table[dense_of[term[common]], place_of[row[common]]] = weight[common]
+        term, place, weight = term[~common], place_of[row[~common]], weight[~common]
+        order = np.lexsort((place, term))
+        term, place, weight = term[order], place[order], weight[order]
+        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (place[1:] // block != place[:-1] // block))) if len(term) else order
+        return BlockMaxIndex(
+            {
+                "ids": ids, "block": block, "n_blocks": blocks, "dense_of": dense_of, "table": table,
+                "place": place.astype(np.int32), "weight": weight,
+                "entry": np.searchsorted(term[starts], np.arange(terms + 1)),  # of each term: its blocks
+                "entry_block": (place[starts] // block).astype(np.int32),
+                "entry_max": np.maximum.reduceat(weight, starts) if len(starts) else weight,
+                "posting": np.append(starts, len(term)),  # of each entry: its examples
+            }
+        )
+
+    def state(self) -> dict:
+        return self.__dict__
+
+    def search(self, row, term, weight, rows: int, k: int):
+        """Of each of ``rows`` texts, given as (row, term, weight) by row, the k examples of greatest positive cosine:
+        [(similarities, numbers)], greatest first, equal ones by number."""
+        width = self.n_blocks * self.block
+        if not width:
+            return [(np.zeros(0), np.zeros(0, np.int64))] * rows
+        common = self.dense_of[term] >= 0
+        asked = np.zeros((rows, len(self.table)))
+        asked[row[common], self.dense_of[term[common]]] = weight[common]
+        scores = asked @ self.table
+        row, term, weight = row[~common], term[~common], weight[~common]
+        entry, of = ranges(self.entry[term], self.entry[term + 1])
+        cell = row[of] * self.n_blocks + self.entry_block[entry]
+        bound = np.bincount(cell, weight[of] * self.entry_max[entry], minlength=rows * self.n_blocks) + scores.reshape(-1, self.block).max(axis=1)
+        # What the dense part has found already, a block must reach with the best that its other terms may add.
+        alive = bound * (1 + 1e-9) >= np.repeat(self._kth(scores, k), self.n_blocks)
+        if 2 * alive.sum() > len(alive):  # then it costs less to complete all blocks term by term
+            first, last, source = self.posting[self.entry[term]], self.posting[self.entry[term + 1]], np.arange(len(term))
+        else:
+            seen = np.flatnonzero(alive[cell])
+            first, last, source = self.posting[entry[seen]], self.posting[entry[seen] + 1], of[seen]
+        at, size = ranges(first, last)[0], last - first
+        slot = self.place[at] + np.repeat(row[source] * width, size)
+        scores = scores + np.bincount(slot, np.repeat(weight[source], size) * self.weight[at], minlength=rows * width).reshape(rows, width)
+        kth, out = self._kth(scores, k), []
+        for i in range(rows):
+            held = np.flatnonzero((scores[i] > 0) & (scores[i] >= kth[i]))
+            numbers, near = self.ids[held], scores[i][held]
+            best = np.lexsort((numbers, -near))[:k]
+            out.append((near[best], numbers[best]))
+        return out
 
-    def rows(batches):
-        vocabulary = sorted(chosen.value)
-        known = Features({f: i for i, f in enumerate(vocabulary)})
-        for batch in batches:
-            out = [(d, vocabulary[i], n) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, n in known.counts(t).items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.int32()))], names=["doc", "feature", "n"])
+    @staticmethod
+    def _kth(scores, k: int):
+        width = scores.shape[1]
+        return np.partition(scores, width - k, axis=1)[:, width - k] if width > k else np.zeros(len(scores))
 
-    return rows
+
+def _example_rows(batches):
+    """(doc, label, text) to (doc, label, terms, counts)."""
+    powers = Powers()
+    for batch in batches:
+        for a, b in byte_slices(batch.column(2)):
+            row, term, n = terms_of(batch.column(2)[a:b], powers)
+            ends = pa.array(np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(term.view(np.int64)), pa.array(n.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], *lists], names=["doc", "label", "terms", "counts"])
 
 
-def _frequency_rows(chosen):
-    """(feature, n): in how many texts of this task's share each feature stands; the empty feature counts the texts."""
+def _frequency_rows(handed):
+    """(term, n): in how many texts of this task's share each term of the vocabulary stands; number -1 counts the texts."""
 
     def rows(batches):
-        vocabulary = sorted(chosen.value)
-        known, total, texts = Features({f: i for i, f in enumerate(vocabulary)}), np.zeros(len(vocabulary), np.int64), 0
+        vocabulary, powers, texts = handed.value, Powers(), 0
+        total = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                total[list(known.counts(t))] += 1
-                texts += 1
-        yield pa.RecordBatch.from_arrays([pa.array([*vocabulary, ""], pa.string()), pa.array([*total.tolist(), texts])], names=["feature", "n"])
+            texts += len(batch)
+            for a, b in byte_slices(batch.column(0)):
+                total += np.bincount(known_terms(batch.column(0)[a:b], vocabulary, powers)[1], minlength=len(vocabulary))
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(total[held], texts))], names=["term", "n"])
 
     return rows
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
-    """Learn from the rows of ``labels``; frequencies are counted over all of ``docs``."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = MAX_EXAMPLES, k: int = NEIGHBOURS) -> dict:
+    """Learn from the rows of ``labels``; frequencies are counted over all of ``docs``. Returns a dict of arrays."""
     spark = in_small_batches(docs).sparkSession
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc")).agg(F.max(label_col).cast("int").alias("label"))
-    share = min(1.0, 0.9 * max_examples / max(known.count(), 1))
-    sample = known.where(F.pmod(F.xxhash64("doc", F.lit(4)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_examples)
+    sample = known.orderBy(F.xxhash64("doc", F.lit(4)), "doc").limit(max_examples)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc").select("doc", "label", "text")
-    texts = materialize(texts, "examples")
-    totals = texts.agg(F.count("*"), F.sum("label")).first()
-    all_n, all_p = totals[0], totals[1] or 0
-    if not all_n or all_p in (0, all_n):
-        discard(texts)
-        return Model({}, [])
-    counted = texts.select("label", "text").mapInArrow(_association_rows, "feature string, n long, p long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    # Log likelihood ratio of a feature's share of toxic texts against the overall one, and the number of features as the bar.
-    rate, n_, p_ = all_p / all_n, F.col("n"), F.col("p")
-    ratio = p_ * F.log(p_ / (n_ * rate)) + F.when(n_ > p_, (n_ - p_) * F.log((n_ - p_) / (n_ * (1 - rate)))).otherwise(0.0)
-    tested = materialize(counted.where(n_ >= LEAST_TEXTS), "tested")
-    bar = math.log(max(tested.count(), 1)) + SURPRISE
-    telling = tested.where((p_ > 0) & (p_ / n_ > rate)).withColumn("ratio", ratio).where(F.col("ratio") >= bar)
-    best = telling.orderBy(F.desc("ratio"), "feature").limit(max_features).select("feature").collect()
-    discard(tested)
-    chosen = spark.sparkContext.broadcast(frozenset(x.feature for x in best))
-    every = {x.feature: x.n for x in docs.select(text_col).mapInArrow(_frequency_rows(chosen), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    n_docs = every.pop("", 0)
-    idf = {f: float(np.log((1 + n_docs) / (1 + n)) + 1) for f, n in every.items()}
-    held: dict[int, dict] = {}
-    for x in texts.select("doc", "text").mapInArrow(_example_rows(chosen), "doc long, feature string, n int").collect():
-        held.setdefault(x.doc, {})[x.feature] = x.n
-    examples = [(x.doc, x.label, held.get(x.doc, {})) for x in texts.select("doc", "label").orderBy("doc").collect()]
-    discard(texts)
-    return Model(idf, examples)
-
-
-def _score_rows(model, text_name: str, names: list[str]):
+    examples = texts.mapInArrow(_example_rows, "doc long, label int, terms array<long>, counts array<int>").toArrow().sort_by("doc").combine_chunks()
+    label = examples.column("label").to_numpy().astype(np.int64)
+    if not len(label):
+        return {"vocabulary": np.zeros(0, np.uint64), "weight": np.zeros(0), "prior": THRESHOLD / 2, "k": k, "labels": label, "docs": label}
+    lists = examples.column("terms").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    row = np.repeat(np.arange(len(label)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    vocabulary, term = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+    count = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in examples.column("counts").chunks])
+    handed = spark.sparkContext.broadcast(vocabulary)
+    every = docs.select(text_col).mapInArrow(_frequency_rows(handed), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency, at = np.zeros(len(vocabulary) + 1, np.int64), every.column("term").to_numpy()
+    frequency[at] = every.column("n").to_numpy()
+    n_docs, frequency = frequency[-1], frequency[:-1]
+    idf = np.log((1 + n_docs) / (1 + frequency)) + 0.1
+    # Log likelihood ratio of a term's share of toxic examples against the overall one.
+    rate = label.mean()
+    n, p = (np.bincount(term, x, minlength=len(vocabulary)) for x in (None, label[row]))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(p > 0, p * np.log(p / (n * rate)), 0) + np.where(n > p, (n - p) * np.log((n - p) / (n * (1 - rate))), 0)
+    ratio = np.where(p > n * rate, ratio, 0.0)
+    weight = idf * (GENERAL + ratio / np.log(max((n > 1).sum(), 3)))
+    index = BlockMaxIndex.build(row, term, unit_vectors(row, term, count, weight, len(label)), len(label), len(vocabulary))
+    return {"vocabulary": vocabulary, "weight": weight, "prior": float(rate), "k": k, "labels": label, "docs": examples.column("doc").to_numpy(), "index": index.state()}
+
+
+def _score_rows(handed, text_name: str, names: list[str]):
+    def results(model, index, texts, powers):
+        """Scores and evidence of some texts."""
+        rows, prior = len(texts), model["prior"]
+        row, term, n = known_terms(texts, model["vocabulary"], powers)
+        scores, evidence = np.full(rows, prior), [[] for _ in range(rows)]
+        weight = unit_vectors(row, term, n, model["weight"], rows)
+        bounds = np.searchsorted(row, np.arange(rows + 1))
+        at = 0
+        while at < rows:  # a bounded number of terms at once
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + _TOGETHER, side="right")) - 1)
+            part = slice(bounds[at], bounds[to])
+            if bounds[to] > bounds[at]:
+                for i, (near, numbers) in enumerate(index.search(row[part] - at, term[part], weight[part], to - at, model["k"])):
+                    votes = (near * model["labels"][numbers]).sum()
+                    scores[at + i] = (votes + SMOOTHING * prior) / (near.sum() + SMOOTHING)
+                    evidence[at + i] = model["docs"][numbers].tolist()
+            at = to
+        return scores, evidence
+
     def rows(batches):
-        m = model.value
-        known, memory = Features(m.vocabulary), {}
+        model, powers = handed.value, Powers()
+        index = BlockMaxIndex(model["index"]) if "index" in model else None
         for batch in batches:
-            scores, evidence = [], []
-            for t in batch.column(text_name).to_pylist():
-                counts = known.counts(t)
-                key = frozenset(counts.items())
-                got = memory.get(key)
-                if got is None:
-                    if len(memory) >= _REMEMBERED // 10:
-                        memory.clear()
-                    got = memory[key] = m.score(counts)
-                scores.append(got[0])
-                evidence.append(got[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names]
-                + [pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))],
-                names=[*names, *RESULTS],
-            )
+            for a, b in byte_slices(batch.column(text_name)):
+                scores, evidence = results(model, index, batch.column(text_name)[a:b], powers)
+                scores = np.clip(scores, 0.0, 1.0)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c)[a:b] for c in names] + [pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))],
+                    names=[*names, *RESULTS],
+                )
 
     return rows
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with score, predicted (score >= 0.3) and evidence (ids of the voters, nearest first)."""
     docs = in_small_batches(docs).drop(*(c for c in RESULTS if c != text_col))
     schema = T.StructType([*docs.schema, *T._parse_datatype_string("score double, predicted int, evidence array<bigint>")])

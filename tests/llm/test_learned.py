@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -9,15 +12,80 @@ def test_block_max_is_exact():
     r = random.Random(8)
     draw = lambda n: {f: r.random() for f in r.sample(range(40), n)}
     unit = lambda v: {f: w / np.sqrt(sum(x * x for x in v.values())) for f, w in v.items()}
+    flat = lambda vs: tuple(np.array(x) for x in zip(*((i, f, w) for i, v in enumerate(vs) for f, w in sorted(v.items()))))
     vectors = [unit(draw(r.randint(1, 6))) for _ in range(700)]
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
-    for _ in range(60):
-        q = unit(draw(r.randint(1, 8)))
-        want = sorted(((sum(w * v.get(f, 0) for f, w in q.items()), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
-        got = index.search(q, 10)
-        assert np.allclose([s for s, _ in got], [s for s, _ in want[: len(got)] if s > 0])
-        assert len(got) == min(10, sum(s > 0 for s, _ in want))
-    assert index.search({}, 5) == [] and toxicity.BlockMaxIndex([], 3).search({1: 1.0}, 5) == []
+    vectors += vectors[:50]  # ties
+    for dense in (0, 5, 40):
+        index = toxicity.BlockMaxIndex.build(*flat(vectors), len(vectors), 40, block=16, dense=dense)
+        queries = [unit(draw(r.randint(1, 8))) for _ in range(60)]
+        for q, (near, numbers) in zip(queries, index.search(*flat(queries), len(queries), 10)):
+            want = sorted(((sum(w * v.get(f, 0) for f, w in q.items()), i) for i, v in enumerate(vectors)), key=lambda x: (-x[0], x[1]))
+            want = [x for x in want if x[0] > 0]
+            assert np.allclose(near, [x for x, _ in want[:10]]) and len(near) == min(10, len(want))
+            exact = {i: x for x, i in want}
+            assert all(abs(exact[i] - x) < 1e-12 for x, i in zip(near, numbers.tolist()))
+        none = np.zeros(0, np.int64)
+        assert [len(x) for x, _ in index.search(none, none, np.zeros(0), 1, 5)] == [0]
+    assert [len(x) for x, _ in toxicity.BlockMaxIndex.build(none, none, np.zeros(0), 0, 3).search(np.array([0]), np.array([1]), np.ones(1), 1, 5)] == [0]
+
+
+def _words(text):
+    return Counter(re.findall(r"[^\W_]+", (text or "").lower()))
+
+
+def _terms(text):
+    out = Counter()
+    for w, n in _words(text).items():
+        for t in (w, *((k, w[:k]) for k in (4, 5) if len(w) > k)):
+            out[t] += n
+    return out
+
+
+def brute_scores(docs, labels, k):
+    """Scores of all texts by plain loops: TF-IDF times association, cosine with every example, weighted votes."""
+    examples = [(i, _terms(t), labels[i]) for i, t in sorted(x for x in docs if x[0] in labels)]
+    n, p, df = Counter(), Counter(), Counter()
+    for _, c, y in examples:
+        n.update(c.keys())
+        p.update({t: y for t in c})
+    for _, t in docs:
+        df.update(_terms(t).keys())
+    rate, bar = sum(y for *_, y in examples) / len(examples), math.log(max(sum(x > 1 for x in n.values()), 3))
+    weight = {}
+    for t in n:
+        ratio = 0.0
+        if p[t] > n[t] * rate:
+            ratio = p[t] * math.log(p[t] / (n[t] * rate)) + ((n[t] - p[t]) * math.log((n[t] - p[t]) / (n[t] * (1 - rate))) if n[t] > p[t] else 0)
+        weight[t] = (math.log((1 + len(docs)) / (1 + df[t])) + 0.1) * (0.1 + ratio / bar)
+
+    def vector(c):
+        v = {t: (1 + math.log(x)) * weight[t] for t, x in c.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    made, out = [(i, vector(c), y) for i, c, y in examples], []
+    for i, t in docs:
+        q = vector(_terms(t))
+        near = sorted(((-sum(x * v.get(f, 0) for f, x in q.items()), j, y) for j, v, y in made))[:k]
+        near = [(-s, y) for s, _, y in near if s < 0]
+        out.append((i, (sum(s * y for s, y in near) + 0.5 * rate) / (sum(s for s, _ in near) + 0.5)))
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice(["re", "än", "th", "és", "or", "ın", "国"]) for _ in range(r.randint(1, 4)))
+    docs = []
+    for i in range(260):
+        t = [word() for _ in range(r.randint(1, 40))] + r.choices(["Scum", "VILE!", "so-so"], k=r.choice([0, 0, 0, 2]))
+        docs.append((i, r.choice([" ", "\n", ", ", " — "]).join(t)))
+    docs += [(300, None), (301, ""), (302, "— ×, ÷ 12"), (303, "Ünïcode £5 naïve Scum"), (304, docs[3][1])]
+    labels = {i: int("Scum" in t or "VILE" in t) for i, t in docs[:150]}
+    df, known = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {x.doc_id: x for x in toxicity.score(df, toxicity.fit(df, known, k=7)).collect()}
+    for i, s in brute_scores(docs, labels, 7):
+        assert abs(got[i].score - s) < 1e-9, i
+    assert got[300].evidence == got[301].evidence == [] and got[3].score == got[304].score and all(x.evidence for i, x in got.items() if i < 260)
 
 
 def test_toxicity(spark):
