@@ -115,6 +115,50 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def brute_languages(learned, texts):
+    """(language, score) of texts by plain loops."""
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()
+    counts, totals = {}, Counter()
+    for lang, t in learned:
+        for w in letters(t):
+            for kind, g in [(0, w)] + [(k, w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1)]:
+                counts.setdefault((kind, g), Counter())[lang] += 1
+                totals[kind, lang] += 1
+    langs = sorted({lang for lang, _ in learned})
+    logs = lambda key: np.array([math.log((counts[key][x] + 0.1) / (totals[key[0], x] + 1)) for x in langs])
+    out = []
+    for t in texts:
+        total, n = np.zeros(len(langs)), 0
+        for w in letters(t):
+            if (0, w) in counts:
+                total += logs((0, w))
+            else:
+                parts, i = [], 0
+                while i < len(w):
+                    k = next((k for k in range(4, 0, -1) if i + k <= len(w) and (k, w[i : i + k]) in counts), 0)
+                    parts.append(logs((k, w[i : i + k])) if k else np.full(len(langs), math.log(1e-6)))
+                    i += max(k, 1)
+                total += np.mean(parts, axis=0)
+            n += 1
+        out.append((langs[int(total.argmax())], float(1 / np.exp((total - total.max()) / n).sum())) if n else ("und", 0.0))
+    return out
+
+
+def test_language_equals_brute_force(spark):
+    r = random.Random(13)
+    kinds = {"en": ["th", "ing", "er", "wh"], "de": ["sch", "ung", "ei", "ä", "Über"], "el": ["α", "β", "γδ"], "zh": ["国", "語", "人"]}
+    rows = []
+    for i in range(120):
+        k = r.choice(list(kinds))
+        rows.append((i, r.choice([" ", ", ", " — ", "1"]).join("".join(r.choices(kinds[k], k=r.randint(1, 4))) for _ in range(r.randint(1, 12))), k))
+    odd = [(500, "αβ国 zzz thing", None), (501, "½ — ×÷ 12_", None), (502, "ß", None), (503, rows[0][1], None), (504, "", None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").repartition(3)
+    got = {x.doc_id: x for x in language.predict(docs, language.fit(docs.where("doc_id % 3 > 0"))).collect()}
+    texts = rows + odd
+    for (i, *_), (lang, score) in zip(texts, brute_languages([(k, t) for i, t, k in rows if i % 3], [t for _, t, _ in texts])):
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-9, i
+
+
 def test_language(spark):
     r = random.Random(10)
     kinds = {"en": ["th", "ing", "er", "wh", "ly"], "de": ["sch", "ung", "ei", "ä", "ver"], "fr": ["eau", "é", "qu", "tion", "è"]}
