@@ -7,7 +7,8 @@ and forgotten. Of equal sums the path whose last piece is longest wins. A charac
 less ``UNKNOWN_COST`` and becomes its UTF-8 bytes.
 
 A boundary that no piece crosses (before a space after something else, around a character that only stands alone) is such
-a meeting point for certain; texts are cut there first, and a task remembers the pieces of what it has cut lately.
+a meeting point for certain. Texts are fed to the search from one such point to the next, and a task remembers the ids of the
+stretches that it has fed lately.
 
 Spaces are written as U+2581. A literal U+2581 becomes bytes, so decoding gives back every text exactly.
 
@@ -26,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dijkstone.llm.common import in_small_batches
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-_REMEMBERED, _LONG, _IDS = 150_000, 64, 400_000
+#: Stretches that a task remembers, twice, and the most characters of each; ids that are handed on together.
+_REMEMBERED, _LONG, _IDS = 100_000, 64, 200_000
 
 
 class Vocabulary:
@@ -41,6 +42,7 @@ class Vocabulary:
 
     def __init__(self, pieces: list[tuple[str, float]], byte_ids: list[int]):
         """pieces: (text, score) by id, a text of "" for one that never stands in a text. byte_ids: the ids of the 256 bytes."""
+        self.plain = (pieces, byte_ids)  # what is broadcast: executors need no class for it
         self.ids = {p: i for i, (p, _) in enumerate(pieces) if p}
         self.score = [s for _, s in pieces]
         self.surface = [p.replace(SPACE, " ") for p, _ in pieces]
@@ -80,9 +82,6 @@ class Vocabulary:
                 node[""] = ((i,), self.score[i])
         return self._tree
 
-    def __getstate__(self):
-        return self.__dict__ | {"_tree": None}  # each task grows its own
-
     @staticmethod
     def load(path: str) -> Vocabulary:
         """Read the vocabulary of a SentencePiece model file (on the driver)."""
@@ -98,52 +97,65 @@ class StreamingViterbi:
     """Feed characters, take committed ids. ``text``, ``best``, ``back`` hold what lies after the last commit."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.widest = vocabulary, 0
+        self.v, self.root, self.widest = vocabulary, vocabulary.tree(), 0
         self._reset()
 
     def _reset(self):
-        self.text, self.best, self.back = "", [0.0], [(0, -1)]
+        self.text, self.best, self.back, self.left = "", [0.0], [(0, ())], 0
 
     def feed(self, text: str) -> list[int]:
         out: list[int] = []
-        for at in range(0, len(text), self.v.longest):
-            self._extend(text[at : at + self.v.longest])
+        longest = self.v.longest
+        for at in range(0, len(text), longest):
+            self._take(text[at : at + longest])
+            self._leave(len(self.text) - longest + 1)  # the longest piece from there lies within the text
             out += self._commit()
         return out
 
-    def _extend(self, more: str):
-        """Reach every new boundary from those that a piece can start at."""
-        v, old = self.v, len(self.text)
+    def finish(self) -> list[int]:
+        self._leave(len(self.text))
+        ids = self._path(len(self.text))
+        self._reset()
+        return ids
+
+    def _take(self, more: str):
         self.text += more
-        text, best, back = self.text, self.best, self.back
-        for end in range(old + 1, len(text) + 1):
-            top, via = None, None
-            for start in range(max(0, end - v.longest), end):
-                i = v.ids.get(text[start:end])
-                if i is not None:
-                    s = best[start] + v.score[i]
-                    if top is None or s > top:
-                        top, via = s, (start, i)
-            if text[end - 1] not in v.ids:
-                s = best[end - 1] + v.unknown
-                if top is None or s > top:
-                    top, via = s, (end - 1, -1)
-            best.append(top)
-            back.append(via)
+        self.best += [-math.inf] * len(more)
+        self.back += [(0, ())] * len(more)
+
+    def _leave(self, end: int):
+        """Go from every boundary before ``end`` to all that a piece reaches, walking the tree of pieces."""
+        text, best, back, root, unknown = self.text, self.best, self.back, self.root, self.v.unknown
+        n = len(text)
+        for a in range(self.left, end):
+            base, node, alone = best[a], root, True
+            for b in range(a, n):
+                node = node.get(text[b])
+                if node is None:
+                    break
+                piece = node.get("")
+                if piece is not None:
+                    if b == a:
+                        alone = False
+                    if base + piece[1] > best[b + 1]:
+                        best[b + 1], back[b + 1] = base + piece[1], (a, piece[0])
+            if alone and base + unknown > best[a + 1]:
+                best[a + 1], back[a + 1] = base + unknown, (a, None)
+        self.left = max(self.left, end)
 
     def _commit(self) -> list[int]:
-        """Ids up to the boundary where all surviving paths meet."""
-        n = len(self.text)
-        self.widest = max(self.widest, n)
-        open_ = set(range(max(0, n - self.v.longest + 1), n + 1))
+        """Ids up to the boundary where all surviving paths meet: those of the boundaries that aren't left yet."""
+        if self.left <= 0:
+            return []
+        self.widest = max(self.widest, len(self.text))
+        open_ = {e for e in range(self.left, len(self.text) + 1) if self.best[e] > -math.inf}
         while len(open_) > 1:
             last = max(open_)
             open_.remove(last)
             open_.add(self.back[last][0])
         meet = open_.pop()
-        ids = self._path(meet)
-        base = self.best[meet]
-        self.text = self.text[meet:]
+        ids, base = self._path(meet), self.best[meet]
+        self.text, self.left = self.text[meet:], self.left - meet
         self.best = [s - base for s in self.best[meet:]]
         self.back = [(max(0, a - meet), i) for a, i in self.back[meet:]]
         return ids
@@ -151,46 +163,23 @@ class StreamingViterbi:
     def _path(self, end: int) -> list[int]:
         parts = []
         while end > 0:
-            start, i = self.back[end]
-            parts.append([i] if i >= 0 else [self.v.byte_ids[b] for b in self.text[start:end].encode()])
+            start, ids = self.back[end]
+            parts.append([self.v.byte_ids[b] for b in self.text[start:end].encode()] if ids is None else ids)
             end = start
         return [i for part in reversed(parts) for i in part]
 
-    def finish(self) -> list[int]:
-        ids = self._path(len(self.text))
-        self._reset()
-        return ids
-
 
 def best_ids(v: Vocabulary, text: str) -> tuple[int, ...]:
-    """Ids of a short text at once: the same search without commits, walking the tree of pieces from every boundary."""
-    n, root, unknown = len(text), v.tree(), v.unknown
-    best = [0.0] + [-math.inf] * n
-    back: list = [None] * (n + 1)
-    for a in range(n):
-        base, node = best[a], root
-        for b in range(a, n):
-            node = node.get(text[b])
-            if node is None:
-                break
-            piece = node.get("")
-            if piece is not None and base + piece[1] > best[b + 1]:
-                best[b + 1], back[b + 1] = base + piece[1], (a, piece[0])
-        if base + unknown > best[a + 1] and text[a] not in v.ids:
-            best[a + 1], back[a + 1] = base + unknown, (a, None)
-    parts = []
-    while n > 0:
-        a, ids = back[n]
-        parts.append(ids or tuple(v.byte_ids[b] for b in text[a:n].encode()))
-        n = a
-    return tuple(chain.from_iterable(reversed(parts)))
+    """Ids of a text that is fed at once."""
+    stream = StreamingViterbi(v)
+    return tuple(stream.feed(text) + stream.finish())
 
 
 class Encoder:
     """Encodes texts, remembering the ids of short stretches between sure boundaries in two generations."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.young, self.old = vocabulary, {}, {}
+        self.v, self.stream, self.young, self.old = vocabulary, StreamingViterbi(vocabulary), {}, {}
 
     def encode(self, text: str) -> array:
         """The ids of one text."""
@@ -212,12 +201,8 @@ class Encoder:
         if ids is None:
             if s == SPACE:
                 ids = tuple(self.v.byte_ids[b] for b in s.encode())
-            elif len(s) > _LONG:
-                stream = StreamingViterbi(self.v)
-                text = s.replace(" ", SPACE)
-                ids = tuple(stream.feed(text) + stream.finish())
             else:
-                ids = best_ids(self.v, s.replace(" ", SPACE))
+                ids = tuple(self.stream.feed(s.replace(" ", SPACE)) + self.stream.finish())
         return self._remember(s, ids)
 
     def _remember(self, s: str, ids):
@@ -264,31 +249,40 @@ def decode_flat(v: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(ends) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(raw)])
 
 
-def _encode_rows(handed, text_name: str, names: list[str]):
-    def batch_of(batch, at, to, flat, ends, missing):
-        ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32)), mask=pa.array(missing))
-        return pa.RecordBatch.from_arrays([batch.column(c)[at:to] for c in names] + [ids, pa.array(np.diff(np.array(ends, np.int64)))], names=[*names, "ids", "n_ids"])
+def _encode_rows(handed, text_name: str, names: list[str], check: bool):
+    """The columns ``names`` with ids and n_ids, and with ``check`` whether decoding gives the text back."""
+
+    def batch_of(v, batch, at, to, flat, ends, missing):
+        flat, ends = np.frombuffer(flat, np.int32), np.array(ends, np.int64)
+        ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), mask=pa.array(missing))
+        more = [ids, pa.array(np.diff(ends))]
+        if check:
+            same = pc.equal(decode_flat(v, flat.astype(np.int64), ends), batch.column(text_name)[at:to])
+            more.append(pc.fill_null(same, True))  # null ids stand for a null text
+        return pa.RecordBatch.from_arrays([batch.column(c)[at:to] for c in names] + more, names=[*names, "ids", "n_ids", *["exact"][: check]])
 
     def rows(batches):
-        encoder = Encoder(handed.value)
+        v = Vocabulary(*handed.value)
+        encoder = Encoder(v)
         for batch in batches:
             at, flat, ends, missing = 0, array("i"), [0], []
-            for i, t in enumerate(batch.column(text_name).to_pylist()):
+            for i, t in enumerate(batch.column(text_name)):
+                t = t.as_py()
                 flat.extend(encoder.encode(t or ""))
                 ends.append(len(flat))
                 missing.append(t is None)
                 if len(flat) >= _IDS:
-                    yield batch_of(batch, at, i + 1, flat, ends, missing)
+                    yield batch_of(v, batch, at, i + 1, flat, ends, missing)
                     at, flat, ends, missing = i + 1, array("i"), [0], []
             if missing:
-                yield batch_of(batch, at, batch.num_rows, flat, ends, missing)
+                yield batch_of(v, batch, at, batch.num_rows, flat, ends, missing)
 
     return rows
 
 
 def _decode_rows(handed, ids_name: str, result: str, names: list[str]):
     def rows(batches):
-        v = handed.value
+        v = Vocabulary(*handed.value)
         for batch in batches:
             lists = batch.column(ids_name)
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -306,21 +300,25 @@ def _decode_rows(handed, ids_name: str, result: str, names: list[str]):
     return rows
 
 
+def _encoded(docs: DataFrame, vocabulary: Vocabulary, text_col: str, check: bool) -> DataFrame:
+    results = ("ids", "n_ids", "exact") if check else ("ids", "n_ids")
+    docs = in_small_batches(docs).drop(*(c for c in results if c != text_col))
+    schema = T.StructType([*docs.schema, *T._parse_datatype_string("ids array<int>, n_ids long, exact boolean")][: len(docs.columns) + len(results)])
+    return docs.mapInArrow(_encode_rows(docs.sparkSession.sparkContext.broadcast(vocabulary.plain), text_col, docs.columns, check), schema)
+
+
 def encode_column(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """``docs`` with ids (array of int) and n_ids."""
-    docs = in_small_batches(docs).drop(*(c for c in ("ids", "n_ids") if c != text_col))
-    schema = T.StructType([*docs.schema, *T._parse_datatype_string("ids array<int>, n_ids long")])
-    return docs.mapInArrow(_encode_rows(docs.sparkSession.sparkContext.broadcast(vocabulary), text_col, docs.columns), schema)
+    return _encoded(docs, vocabulary, text_col, check=False)
 
 
 def decode_column(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", result: str = "decoded") -> DataFrame:
     """``rows`` with the text of an id column."""
     rows = in_small_batches(rows).drop(*(c for c in (result,) if c != ids_col))
     schema = T.StructType([*rows.schema, T.StructField(result, T.StringType())])
-    return rows.mapInArrow(_decode_rows(rows.sparkSession.sparkContext.broadcast(vocabulary), ids_col, result, rows.columns), schema)
+    return rows.mapInArrow(_decode_rows(rows.sparkSession.sparkContext.broadcast(vocabulary.plain), ids_col, result, rows.columns), schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """``docs`` with ids, n_ids and exact: whether decoding gives the text back."""
-    back = decode_column(encode_column(docs, vocabulary, text_col), vocabulary, result="__decoded")
-    return back.withColumn("exact", F.col("__decoded").eqNullSafe(F.col(text_col))).drop("__decoded")
+    """``docs`` with ids, n_ids and exact: whether decoding, in the same task, gives the text back."""
+    return _encoded(docs, vocabulary, text_col, check=True)
