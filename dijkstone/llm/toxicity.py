@@ -14,8 +14,8 @@ exact.
 The classifier is fitted on a bounded sample of the labelled rows: at most ``max_examples``, those of the least hashes of
 their ids. What is collected and broadcast are the terms of these examples. Terms are named by 64-bit hashes.
 
-Defined results: null and empty texts hold no term and get the prior, the share of toxic examples, and no evidence. Ids are
-whole numbers. A row with a null id is scored and never learned from. Repeated rows get equal scores; repeated labels of an
+Defined results: null and empty texts, and others without a term that an example holds, get no evidence and the share of
+toxic examples, half of ``THRESHOLD`` at most, so that they are never predicted toxic. Ids are whole numbers. A row with a null id is scored and never learned from. Repeated rows get equal scores; repeated labels of an
 id count once, the greatest. If nothing is labelled the score is half of ``THRESHOLD``. Extra columns pass through; one
 that has the name of a result column is replaced.
 """
@@ -234,7 +234,7 @@ def _score_rows(handed, text_name: str, names: list[str]):
         """Scores and evidence of some texts."""
         rows, prior = len(texts), model["prior"]
         row, term, n = known_terms(texts, model["vocabulary"], powers)
-        scores, evidence = np.full(rows, prior), [[] for _ in range(rows)]
+        scores, evidence = np.full(rows, min(prior, THRESHOLD / 2)), [[] for _ in range(rows)]
         weight = unit_vectors(row, term, n, model["weight"], rows)
         bounds = np.searchsorted(row, np.arange(rows + 1))
         at = 0
@@ -243,6 +243,8 @@ def _score_rows(handed, text_name: str, names: list[str]):
             part = slice(bounds[at], bounds[to])
             if bounds[to] > bounds[at]:
                 for i, (near, numbers) in enumerate(index.search(row[part] - at, term[part], weight[part], to - at, model["k"])):
+                    if not len(near):
+                        continue
                     votes = (near * model["labels"][numbers]).sum()
                     scores[at + i] = (votes + SMOOTHING * prior) / (near.sum() + SMOOTHING)
                     evidence[at + i] = model["docs"][numbers].tolist()

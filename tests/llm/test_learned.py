@@ -68,7 +68,7 @@ def brute_scores(docs, labels, k):
         q = vector(_terms(t))
         near = sorted(((-sum(x * v.get(f, 0) for f, x in q.items()), j, y) for j, v, y in made))[:k]
         near = [(-s, y) for s, _, y in near if s < 0]
-        out.append((i, (sum(s * y for s, y in near) + 0.5 * rate) / (sum(s for s, _ in near) + 0.5)))
+        out.append((i, (sum(s * y for s, y in near) + 0.5 * rate) / (sum(s for s, _ in near) + 0.5) if near else min(rate, 0.15)))
     return out
 
 

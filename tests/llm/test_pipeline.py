@@ -77,3 +77,19 @@ def test_stages_keep_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == COLUMNS and out.collect() == []
+
+
+def test_extra_columns_pass(spark, tmp_path):
+    """Columns named like the results of the operators come through all stages unchanged, also on odd rows."""
+    extra = ["score", "predicted", "evidence", "n_words", "n_removed", "kept_text", "repeats", "n_hit", "contaminated", "component_id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    texts = ["a b c", None, "", "idiot scum " * 5, "idiot scum " * 5, "x y z " * 30]
+    rows = [(i, t, "en", None, None, *(f"{c}{i}" for c in extra)) for i, t in enumerate(texts)] + [(None, "p q", None, None, 3, *extra)]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(i, 1, int(bool(t and "scum" in t))) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "u v w")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        got = {x.doc_id: x for x in out.collect()}
+        assert out.columns[: len(docs.columns)] == docs.columns and None in got and 0 in got, name
+        assert all(got[i][c] == (f"{c}{i}" if i is not None else c) for i in got for c in extra), name
