@@ -2,8 +2,8 @@
 
 A text (after one prefixed space) is cut into the pieces of greatest summed score. The search keeps best scores and
 backpointers of a window only: a piece has at most ``longest`` characters, so just the last ``longest`` boundaries can
-still be left from. Whenever the backpointer paths from all of those meet in one boundary, the pieces up to it are committed
-and forgotten. Of equal sums the path whose last piece is longest wins. A character without a piece costs the least score
+still be left from. Whenever the window is full, the boundary where the backpointer paths from all of those meet is found, and
+the pieces up to it are committed and forgotten. Of equal sums the path whose last piece is longest wins. A character without a piece costs the least score
 less ``UNKNOWN_COST`` and becomes its UTF-8 bytes.
 
 A boundary that no piece crosses (before a space after something else, around a character that only stands alone) is such
@@ -72,14 +72,14 @@ class Vocabulary:
         self.at = np.cumsum(self.size) - self.size
 
     def tree(self) -> dict:
-        """Pieces by their characters, one level of nested maps a character; at "" the id (in a tuple) and the score."""
+        """Pieces by their characters: each leads to (what follows, the id in a tuple if a piece ends there, its score)."""
         if self._tree is None:
             self._tree = {}
             for p, i in self.ids.items():
                 node = self._tree
-                for c in p:
-                    node = node.setdefault(c, {})
-                node[""] = ((i,), self.score[i])
+                for c in p[:-1]:
+                    node = node.setdefault(c, [{}, None, 0.0])[0]
+                node.setdefault(p[-1], [{}, None, 0.0])[1:] = (i,), self.score[i]
         return self._tree
 
     @staticmethod
@@ -108,8 +108,9 @@ class StreamingViterbi:
         longest = self.v.longest
         for at in range(0, len(text), longest):
             self._take(text[at : at + longest])
-            self._leave(len(self.text) - longest + 1)  # the longest piece from there lies within the text
-            out += self._commit()
+            if len(self.text) > 4 * longest:  # what the window holds, so that a commit pays
+                self._leave(len(self.text) - longest + 1)  # the longest piece from before there lies within the text
+                out += self._commit()
         return out
 
     def finish(self) -> list[int]:
@@ -125,28 +126,25 @@ class StreamingViterbi:
 
     def _leave(self, end: int):
         """Go from every boundary before ``end`` to all that a piece reaches, walking the tree of pieces."""
-        text, best, back, root, unknown = self.text, self.best, self.back, self.root, self.v.unknown
+        text, best, back, root, known, unknown = self.text, self.best, self.back, self.root, self.v.ids, self.v.unknown
         n = len(text)
         for a in range(self.left, end):
-            base, node, alone = best[a], root, True
-            for b in range(a, n):
-                node = node.get(text[b])
-                if node is None:
+            base, node = best[a], root
+            for b in range(a + 1, n + 1):
+                hit = node.get(text[b - 1])
+                if hit is None:
                     break
-                piece = node.get("")
-                if piece is not None:
-                    if b == a:
-                        alone = False
-                    if base + piece[1] > best[b + 1]:
-                        best[b + 1], back[b + 1] = base + piece[1], (a, piece[0])
-            if alone and base + unknown > best[a + 1]:
+                node, ids, score = hit
+                if ids is not None and base + score > best[b]:
+                    best[b], back[b] = base + score, (a, ids)
+                if not node:
+                    break
+            if base + unknown > best[a + 1] and text[a] not in known:
                 best[a + 1], back[a + 1] = base + unknown, (a, None)
         self.left = max(self.left, end)
 
     def _commit(self) -> list[int]:
         """Ids up to the boundary where all surviving paths meet: those of the boundaries that aren't left yet."""
-        if self.left <= 0:
-            return []
         self.widest = max(self.widest, len(self.text))
         open_ = {e for e in range(self.left, len(self.text) + 1) if self.best[e] > -math.inf}
         while len(open_) > 1:
@@ -161,12 +159,13 @@ class StreamingViterbi:
         return ids
 
     def _path(self, end: int) -> list[int]:
-        parts = []
+        out, back = [], self.back
         while end > 0:
-            start, ids = self.back[end]
-            parts.append([self.v.byte_ids[b] for b in self.text[start:end].encode()] if ids is None else ids)
+            start, ids = back[end]
+            out += ids if ids is not None else [self.v.byte_ids[b] for b in reversed(self.text[start:end].encode())]
             end = start
-        return [i for part in reversed(parts) for i in part]
+        out.reverse()
+        return out
 
 
 def best_ids(v: Vocabulary, text: str) -> tuple[int, ...]:
