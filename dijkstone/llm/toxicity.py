@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from dijkstone.llm.common import Powers, byte_slices, in_small_batches, plain_words, prefix_ends, ranges, span_hash, word_spans
 
-MAX_EXAMPLES = 3_000
+MAX_EXAMPLES = 2_000
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 #: Weight of a term that tells nothing apart, and summed similarity that the prior counts as in a vote.
