@@ -22,15 +22,17 @@ def normal_hash(c: Column) -> Column:
     return F.md5(F.trim(F.regexp_replace(c, r"\s+", " ")).cast("binary"))
 
 
-#: Question words and fillers that carry no content, and verbs of action (an excerpt to be extended by a table).
+#: Question words and fillers that carry no content, and verbs of action.
 STOP_WORDS = (
-    "de het een van in op is wat mag mogen mocht ik hier er kan kunnen kunt die dat voor met aan te en of wel niet hoe waar "
-    "mijn jouw onze uw zijn worden moet moeten deze dit wil wilt wilde willen als dan nog al maar ook zo gebruiken doen gaan "
-    "komen laten maken iets graag even eigenlijk over qua geldt gelden geldend geldende omtrent inzake betreft betreffende "
-    "regelgeving regels regel hierover welke welk wanneer waarom wie wiens hoeveel waarmee waarvoor waaraan waarbij waarin "
-    "waarop waarover waarnaar waardoor waaruit hiervoor hierbij hieronder daarbij daarvoor daarover alle elke elk iedere ieder "
-    "sommige enkele"
-).split()
+    "de", "het", "een", "van", "in", "op", "is", "wat", "mag", "mogen", "mocht", "ik", "hier", "er", "kan", "kunnen",
+    "kunt", "die", "dat", "voor", "met", "aan", "te", "en", "of", "wel", "niet", "hoe", "waar", "mijn", "jouw", "onze",
+    "uw", "zijn", "worden", "moet", "moeten", "deze", "dit", "wil", "wilt", "wilde", "willen", "als", "dan", "nog", "al",
+    "maar", "ook", "zo", "gebruiken", "doen", "gaan", "komen", "laten", "maken", "iets", "graag", "even", "eigenlijk",
+    "over", "qua", "geldt", "gelden", "geldend", "geldende", "omtrent", "inzake", "betreft", "betreffende", "regelgeving",
+    "regels", "regel", "hierover", "welke", "welk", "wanneer", "waarom", "wie", "wiens", "hoeveel", "waarmee", "waarvoor",
+    "waaraan", "waarbij", "waarin", "waarop", "waarover", "waarnaar", "waardoor", "waaruit", "hiervoor", "hierbij",
+    "hieronder", "daarbij", "daarvoor", "daarover", "alle", "elke", "elk", "iedere", "ieder", "sommige", "enkele",
+)
 
 
 def tokens(c: Column, stop_words: list[str] | None = None) -> Column:
@@ -102,11 +104,13 @@ def matches_prefixes(words: Column, query: Column) -> Column:
 def bm25(docs: DataFrame, query: DataFrame, id_col: str = "id", words: str = "words", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of documents for query terms (column term): BM25, in place of the ranking of a text-search engine.
 
-    Only the terms of the query are exploded and counted; the two corpus figures are one row.
+    Texts are cut down to the terms of the query before they are exploded and counted; the two corpus figures are one row.
     """
     sized = docs.select(F.col(id_col).alias("id"), words, F.size(words).alias("n"))
     corpus = sized.agg(F.count("*").alias("docs"), F.avg("n").alias("mean_n"))
-    hits = sized.select("id", "n", F.explode(words).alias("term")).join(F.broadcast(query.select("term").distinct()), "term")
+    asked = query.agg(F.collect_set("term").alias("__asked"))  # one row, as long as the query
+    held = F.filter(words, lambda w: F.array_contains("__asked", w))
+    hits = sized.crossJoin(F.broadcast(asked)).select("id", "n", F.explode(held).alias("term"))
     tf = hits.groupBy("id", "n", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # df has a row for each query term, corpus one

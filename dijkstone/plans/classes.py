@@ -6,8 +6,8 @@ from dijkstone.operators import classify as C
 from dijkstone.plans.registry import query
 
 TITLES = [
-    "Verleende omgevingsvergunning Dorpsstraat 1", "Ontvangen aanvraag omgevingsvergunning", "Besluit Omgevingsvergunning - Laan 125 in Arnhem", "Rectificatie kennisgeving", "Verlenging van de beslistermijn",
-    "Ingetrokken aanvraag", "Geweigerde vergunning", "Ontwerpbesluit windpark", "Geaccepteerde sloop", "Sloopmelding schuur", "Kennisgeving", "Vergunning van rechtswege", "",
+    "Verleende vergunning voor een steiger aan de kade", "Aanvraag ingekomen: carport", "Iets over de Brink", "Rectificatie van een eerder bericht", "De beslistermijn is verlengd: verlenging beslistermijn",
+    "Intrekking van een vergunning", "Weigering voor een dakopbouw", "Voornemen tot een zonneveld", "Geaccepteerde melding", "Melding van een sloop", "Algemene kennisgeving", "Van rechtswege: aanbouw", "",
 ]
 LABELS = ["verleend", "aanvraag", "overig", "rectificatie", "verlenging_beslistermijn", "ingetrokken", "geweigerd", "ontwerp", "melding_geaccepteerd", "melding", "kennisgeving", "van_rechtswege", None]
 
@@ -27,8 +27,8 @@ def _(t):
 
 
 BODIES = [
-    "Wij hebben een besluit genomen. De vergunning is geweigerd.", "De aanvraag is buiten behandeling gesteld omdat gegevens ontbreken.", "Dat kan pas als de vergunning is verleend.", "Besluit: Verleend", "Besluit: onbekend",
-    "De gemeente informeert omwonenden.", "Wij hebben besloten de vergunning niet te verlenen.", "Wij hebben besloten de vergunning te verlenen.", "Ontvangstdatum: 30 juni 2026",
+    "Na afweging van de belangen: de omgevingsvergunning is geweigerd.", "Het verzoek van de bewoner is buiten behandeling gelaten.", "U hoort van ons zodra de vergunning is verleend.", "Kenmerk 12\nBesluit : akkoord\nEinde",
+    "Besluit: nog open", "Op de markt is het morgen druk.", "Het college heeft besloten de omgevingsvergunning niet te verlenen.", "Het college heeft besloten om de vergunning te verlenen.", "Betreft een schuur\nOntvangstdatum : 3 mei",
 ]
 BODY_LABELS = ["geweigerd", "buiten_behandeling", None, "verleend", None, None, "geweigerd", "verleend", "aanvraag"]
 

@@ -87,8 +87,7 @@ def _(t):
 def _(t):
     from dijkstone.plans.counting import FORM
 
-    o = R.sort_by(FORM.apply(t.orders), {"date": ("o_orderdate", False)}, "date", "o_orderkey").limit(75)
-    rows = o.join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    rows = FORM.apply(t.orders).join(t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     return R.page(R.sort_by(rows, {"date": ("o_orderdate", False)}, "date", "o_orderkey"), 25, 50).select("o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice", "c_name")
 
 
