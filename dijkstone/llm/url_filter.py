@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dijkstone.llm.common import materialize, splittable_join
+from dijkstone.llm.common import discard, materialize, splittable_join
 
 RESULTS = ("host", "path", "rule", "verdict", "template", "purity")
 DEPTH = 8
@@ -71,7 +71,7 @@ def judge(
     raw = materialize(raw, "templates")
     deepest = raw.agg(F.max(F.size("segments"))).first()[0] or 0
 
-    tree = raw.withColumn("template", F.lit(""))
+    tree, before = raw.withColumn("template", F.lit("")), None
     for level in range(deepest):
         here = F.get("segments", F.lit(level))
         child = tree.where(here.isNotNull()).groupBy("host", "template", here.alias("segment")).agg(*sums)
@@ -84,8 +84,10 @@ def judge(
         literal = (F.col("n") >= LEAST_URLS) & (z >= LEAST_Z)
         chosen = both.select("host", "template", "segment", F.when(literal, F.col("segment")).otherwise("*").alias("as"))
         tree = tree.withColumn("segment", here).join(chosen, ["host", "template", "segment"], "left")
-        tree = tree.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))).drop("segment", "as")
-    tree = materialize(tree, "tree") if deepest else tree
+        below = tree.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "as"))).drop("segment", "as")
+        below = materialize(below, "tree")  # each level is one pass over the templates
+        discard(before)
+        tree = before = below
 
     sums_ = raw.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     overall = (sums_[0] - sums_[1] + 1) / (sums_[0] + 1)
