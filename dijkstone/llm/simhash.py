@@ -88,6 +88,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "print").select("id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of ids that join the documents of equal or near fingerprints to components; rows with a null id make none."""
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle).where("id is not null"), "prints")
+    classes = rows.groupBy("print").agg(F.min("id").alias("least"))
+    copies = splittable_join(rows, classes, "print").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    near = links(classes.select("print"), radius)
+    for side in ("a", "b"):
+        near = near.join(classes.select(F.col("print").alias(side), F.col("least").alias(f"id_{side}")), side)
+    return copies.union(near.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without those whose component has a smaller id. Rows with a null id stay, as do repeated rows of one id."""
     copies = near_duplicates(docs, id_col, text_col, **how).where("id <> component_id").select(F.col("id").alias("__gone")).distinct()

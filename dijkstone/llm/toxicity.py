@@ -214,6 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     count = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in examples.column("counts").chunks])
     handed = spark.sparkContext.broadcast(vocabulary)
     every = docs.select(text_col).mapInArrow(_frequency_rows(handed), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    handed.destroy()
     frequency, at = np.zeros(len(vocabulary) + 1, np.int64), every.column("term").to_numpy()
     frequency[at] = every.column("n").to_numpy()
     n_docs, frequency = frequency[-1], frequency[:-1]
