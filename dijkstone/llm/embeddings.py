@@ -11,7 +11,8 @@ spanning forest: all links are counted, none is lost to the components, and a de
 The number of blocks is at most ``max_blocks``, so their boxes can be broadcast; the directions come from a bounded sample
 and steer only what is skipped.
 
-Defined results: null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
+Defined results: ids are whole numbers; labels of other types (text, fractions) are told apart by their 64-bit hashes. Null
+labels, and vectors that are null, empty, zero or hold null or non-finite components, link with
 nothing. Vectors of different lengths don't link. Repeated rows (also of one id) are vectors like others. A null id takes
 part, and names a component only if that has no other. Extra columns pass through; one that has the name of a result
 column is replaced.
@@ -186,11 +187,13 @@ def near_duplicates(
     vector = F.col(vector_col).cast("array<double>")
     sound = F.col(label_col).isNotNull() & vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     sound = F.coalesce(sound, F.lit(False))
+    whole = dict(rows.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint")
+    label = F.col(label_col).cast("long") if whole else F.xxhash64(label_col)
     # 128 bits name a class of equal vectors of a label; unsound rows get none.
     name = F.struct(F.xxhash64(F.col(label_col), vector), F.xxhash64(vector, F.lit(7), F.col(label_col)))
     named = rows.withColumn("__class", F.when(sound, name.cast("struct<x:bigint,y:bigint>")))
     inside = named.where(F.col("__class").isNotNull())
-    classes = inside.groupBy("__class").agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("many"), F.first(F.col(label_col).cast("long")).alias("label"), F.first(vector).alias("vector"))
+    classes = inside.groupBy("__class").agg(F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("many"), F.first(label).alias("label"), F.first(vector).alias("vector"))
     classes = materialize(classes.withColumn("key", F.xxhash64("__class")), "vectors")
     n = classes.count()
     sizes = [r[0] for r in classes.groupBy(F.size("vector").alias("s")).count().orderBy(F.desc("count"), "s").limit(16).collect()]

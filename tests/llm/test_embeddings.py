@@ -57,3 +57,14 @@ def test_empty_and_repeated(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0], 3), (1, [1.0, 0.0], 3), (None, [1.0, 0.01], 3)], "vec_id long, embedding array<float>, label int")
     assert near_duplicates(df.limit(0)).collect() == []
     assert sorted((x.vec_id or 0, x.n_links, x.component_id) for x in near_duplicates(df).collect()) == [(0, 2, 1), (1, 2, 1), (1, 2, 1)]
+
+
+def test_labels_of_any_type(spark):
+    """Text labels work, and fractions with one whole part stay apart."""
+    from dijkstone.llm.embeddings import near_duplicates
+
+    v = [1.0, 2.0, 3.0]
+    for labels, kind in ((["a", "a", "b", None], "string"), ([1.2, 1.2, 1.5, None], "double")):
+        df = spark.createDataFrame([(i, v, x) for i, x in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
+        got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in near_duplicates(df).collect())
+        assert got == [(0, 1, 0, True), (1, 1, 0, False), (2, 0, 2, True), (3, 0, 3, True)]
