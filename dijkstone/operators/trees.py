@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dijkstone.sources.storage import materialize
+from dijkstone.sources.storage import discard, materialize
 
 
 def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 25) -> DataFrame:
@@ -44,11 +44,33 @@ def nearest_of_kind(nodes: DataFrame, kinds: list[str], keep: list[str], id_col:
     return hits.groupBy("id").agg(*best)
 
 
+def _levels(start: DataFrame, step, label: str, max_depth: int) -> list[DataFrame]:
+    """``start`` and what ``step`` makes of each level in turn, written level by level, until one is empty."""
+    levels = [start]
+    for depth in range(1, max_depth + 1):
+        here = materialize(step(levels[-1], depth), label)
+        if here.isEmpty():
+            discard(here)
+            break
+        levels.append(here)
+    return levels
+
+
+def climb(nodes: DataFrame, start: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 25) -> DataFrame:
+    """(id, ancestor, depth) as in ``ancestors``, of the ids of ``start`` (column id) only: the work grows with their paths."""
+    up = nodes.where(F.col(parent_col).isNotNull()).select(F.col(id_col).alias("ancestor"), F.col(parent_col).alias("__p"))
+    own = start.select("id").distinct().select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    step = lambda level, depth: level.join(up, "ancestor").select("id", F.col("__p").alias("ancestor"), F.lit(depth).alias("depth"))
+    return reduce(DataFrame.unionByName, _levels(own, step, "climb", max_depth)[1:], own.where("false"))
+
+
 def subtree(nodes: DataFrame, roots: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 25) -> DataFrame:
-    """(root, id, depth): all nodes at or below each root (column root)."""
-    below = ancestors(nodes, id_col, parent_col, max_depth).join(roots.select(F.col("root").alias("ancestor")).distinct(), "ancestor")
-    own = nodes.join(roots.select(F.col("root").alias(id_col)).distinct(), id_col, "left_semi").select(F.col(id_col).alias("root"), F.col(id_col).alias("id"), F.lit(0).alias("depth"))
-    return own.unionByName(below.select(F.col("ancestor").alias("root"), "id", "depth"))
+    """(root, id, depth): all nodes at or below each root (column root), walked down from the roots."""
+    down = nodes.where(F.col(parent_col).isNotNull()).select(F.col(parent_col).alias("id"), F.col(id_col).alias("__c"))
+    top = roots.select("root").distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("depth"))
+    own = top.join(nodes.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi").select("root", "id", "depth")
+    step = lambda level, depth: level.join(down, "id").select("root", F.col("__c").alias("id"), F.lit(depth).alias("depth"))
+    return reduce(DataFrame.unionByName, _levels(top, step, "subtree", max_depth)[1:], own)
 
 
 def subtree_text(nodes: DataFrame, roots: DataFrame, text: str, order: str, separator: str = " ", id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
@@ -65,7 +87,7 @@ def descendants_or(nodes: DataFrame, roots: DataFrame, kind: str, fallback: Data
 
 def most_specific(hits: DataFrame, nodes: DataFrame, key: list[str], id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 25) -> DataFrame:
     """Of the nodes hit for a key, those that aren't an ancestor of another one hit for it."""
-    up = ancestors(nodes, id_col, parent_col, max_depth).withColumnRenamed("id", id_col)
+    up = climb(nodes, hits.select(F.col(id_col).alias("id")), id_col, parent_col, max_depth).withColumnRenamed("id", id_col)
     covered = hits.select(*key, id_col).join(up, id_col).select(*key, F.col("ancestor").alias(id_col)).distinct()
     return hits.join(covered, [*key, id_col], "left_anti")
 
@@ -89,7 +111,7 @@ def flag_subtrees(nodes: DataFrame, flagged: Column, name: str, id_col: str = "i
 def changed_with_ancestors(nodes: DataFrame, changed: Column, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """Changed nodes and all above them: what a view of changes shows."""
     ids = nodes.where(changed).select(F.col(id_col).alias("id"))
-    up = ancestors(nodes, id_col, parent_col).join(ids, "id", "left_semi").select(F.col("ancestor").alias("id"))
+    up = climb(nodes, ids, id_col, parent_col).select(F.col("ancestor").alias("id"))
     return nodes.join(ids.union(up).distinct().withColumnRenamed("id", id_col), id_col, "left_semi")
 
 

@@ -102,11 +102,11 @@ def _(t):
     return T.changed_with_ancestors(nodes(t), (F.col("kind") == "order") & (F.col("ord") % 997 == 0)).select("id")
 
 
-@query("tree08_article_of_change", UP_SQL + " SELECT u.id, n.id AS article FROM up u JOIN nodes n ON u.ancestor = n.id WHERE n.kind = 'customer' AND u.id IN (SELECT id FROM nodes WHERE kind = 'order' AND ord % 101 = 0)")
+@query("tree08_article_of_change", UP_SQL + " SELECT u.id, n.id AS article FROM up u JOIN nodes n ON u.ancestor = n.id WHERE n.kind = 'customer' AND u.id IN (SELECT 'o' || o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def _(t):
     n = nodes(t)
-    hit = T.nearest_of_kind(n, ["customer"], []).select("id", F.col("customer.id").alias("article"))
-    return hit.join(n.where("kind = 'order' and ord % 101 = 0").select("id"), "id", "left_semi").where("article is not null")
+    changed = t.orders.where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+    return T.climb(n, changed).join(n.where("kind = 'customer'").select(F.col("id").alias("ancestor")), "ancestor").select("id", F.col("ancestor").alias("article"))
 
 
 @query(
@@ -120,7 +120,7 @@ def _(t):
 
 @query(
     "tree10_annotation_paths",
-    """SELECT DISTINCT * FROM (SELECT l_orderkey AS annotation, 'c' || o_custkey AS article, 'existing' AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49
+    """SELECT DISTINCT * FROM (SELECT l_orderkey AS annotation, 'c' || o_custkey AS article, 'existing' AS path FROM lineitem JOIN orders ON l_orderkey = o_orderkey
        UNION ALL SELECT o_orderkey, 'c' || o_custkey, 'delta' FROM orders WHERE o_orderstatus = 'P')""",
 )
 def _(t):
@@ -128,7 +128,7 @@ def _(t):
     articles = T.nearest_of_kind(n, ["customer"], []).select("id", F.col("customer.id").alias("article")).where("article is not null")
     element = lambda c: F.concat(F.lit("o"), F.col(c).cast("string")).alias("element")
     bound = {
-        "existing": t.lineitem.where("l_quantity > 49").select(F.col("l_orderkey").alias("annotation"), element("l_orderkey")),
+        "existing": t.lineitem.select(F.col("l_orderkey").alias("annotation"), element("l_orderkey")),
         "delta": t.orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("annotation"), element("o_orderkey")),
     }
     return T.annotation_articles(bound, articles)
