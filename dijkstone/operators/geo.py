@@ -180,3 +180,16 @@ def raster_sample(points: DataFrame, raster: DataFrame, value: str, x: str = "x"
     """Value of the raster cell of each point (cells by half-even rounding); negative values mean no data."""
     keyed = points.withColumns({"gx": F.bround(F.col(x) / step).cast("int"), "gy": F.bround(F.col(y) / step).cast("int")})
     return keyed.join(raster, ["gx", "gy"], "left").withColumn(value, F.when(F.col(value) >= 0, F.col(value)))
+
+
+#: Published coefficients of the national grid's polynomial in seconds of arc, by powers of dx and dy (100 km).
+DEGREES_NORTH = {(0, 1): 3235.65389, (2, 0): -32.58297, (0, 2): -0.2475, (2, 1): -0.84978, (0, 3): -0.0655, (2, 2): -0.01709, (1, 0): -0.00738, (4, 0): 0.0053, (2, 3): -0.00039, (4, 1): 0.00033, (1, 1): -0.00012}
+DEGREES_EAST = {(1, 0): 5260.52916, (1, 1): 105.94684, (1, 2): 2.45656, (3, 0): -0.81885, (1, 3): 0.05594, (3, 1): -0.05607, (0, 1): 0.01199, (3, 2): -0.00256, (1, 4): 0.00128, (0, 2): 0.00022, (2, 0): -0.00022, (5, 0): 0.00026}
+GRID_ORIGIN, DEGREES_ORIGIN = (155000.0, 463000.0), (5.38720621, 52.1551744)
+
+
+def to_degrees(x: Column, y: Column) -> Column:
+    """Struct (lon, lat) of metres in the national grid, by its polynomial (within a metre)."""
+    dx, dy = (x - GRID_ORIGIN[0]) / 100000.0, (y - GRID_ORIGIN[1]) / 100000.0
+    total = lambda k: sum((c * F.pow(dx, F.lit(p)) * F.pow(dy, F.lit(q)) for (p, q), c in k.items()), F.lit(0.0)) / 3600.0
+    return F.struct((DEGREES_ORIGIN[0] + total(DEGREES_EAST)).alias("lon"), (DEGREES_ORIGIN[1] + total(DEGREES_NORTH)).alias("lat"))

@@ -102,6 +102,16 @@ def _(t):
     return seen.select("n_nationkey", F.size(G.simplify(F.col("rings")[0], 10.0)).alias("n_points"))
 
 
+def _seconds(k):
+    return " + ".join(f"({c}) * power((x + 100000 - 155000) / 1e5, {p}) * power((y + 400000 - 463000) / 1e5, {q})" for (p, q), c in k.items())
+
+
+@query("geo11_degrees", f"WITH {POINTS_SQL} SELECT c_custkey, round(5.38720621 + ({_seconds(G.DEGREES_EAST)}) / 3600, 7)::DOUBLE AS lon, round(52.1551744 + ({_seconds(G.DEGREES_NORTH)}) / 3600, 7)::DOUBLE AS lat FROM points")
+def _(t):
+    p = points(t).withColumn("d", G.to_degrees(F.col("x") + 100000, F.col("y") + 400000))
+    return p.select("c_custkey", F.round("d.lon", 7).alias("lon"), F.round("d.lat", 7).alias("lat"))
+
+
 @query("geo12_wkt_centres", f"WITH {POINTS_SQL} SELECT c_custkey, x + 1 AS mx, y + 1 AS my FROM points")
 def _(t):
     at = lambda c, d: (F.col(c) + d).cast("string")
