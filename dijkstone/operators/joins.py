@@ -58,9 +58,15 @@ def ordered_requests(asked: DataFrame, table: DataFrame, key: str, position: str
 
 
 def as_of_pairs(before: DataFrame, after: DataFrame, keys: list[str], before_ts: str, after_ts: str, days: int) -> DataFrame:
-    """Pairs of equal keys in which ``before`` lies at most ``days`` days before ``after`` (a range condition on an equi-join)."""
+    """Pairs of equal keys in which ``before`` lies at most ``days`` days before ``after``.
+
+    Days are dealt into buckets as wide as the range, and a row of ``before`` is asked of its own bucket and the next: a busy
+    key meets its rows of that time, not all of them, and is spread over its buckets."""
+    bucket = lambda c: F.floor(F.unix_date(F.to_date(c)) / (days + 1))
+    asked = before.withColumn("__bucket", F.explode(F.array(bucket(before_ts), bucket(before_ts) + 1)))
+    met = asked.join(after.withColumn("__bucket", bucket(after_ts)), [*keys, "__bucket"]).drop("__bucket")
     gap = F.date_diff(F.col(after_ts), F.col(before_ts))
-    return before.join(after, keys).withColumn("gap_days", gap).where((F.col(before_ts) <= F.col(after_ts)) & gap.between(0, days))
+    return met.withColumn("gap_days", gap).where((F.col(before_ts) <= F.col(after_ts)) & gap.between(0, days))
 
 
 def mutual_nearest(pairs: DataFrame, left_id: str, right_id: str, gap: str) -> DataFrame:
@@ -71,6 +77,19 @@ def mutual_nearest(pairs: DataFrame, left_id: str, right_id: str, gap: str) -> D
     return once.withColumn("__n", F.row_number().over(w2)).where("__n = 1").drop("__n")
 
 
+def cases_in_tiers(requests: DataFrame, decisions: DataFrame, scope: str, number: str, ts: str, key: str, days: int) -> DataFrame:
+    """(scope, start, end, tier): requests and their decisions, by case number where both have one, else by nearness in time.
+
+    A number that has both is one case, from its first request to its first decision, if that isn't earlier; all its rows are
+    claimed. Of what no such number claims, mutually nearest rows of a scope at most ``days`` days apart are a case."""
+    first = lambda d, name: d.where(F.col(number).isNotNull()).groupBy(scope, number).agg(F.min(ts).alias(name))
+    both = first(requests, "start").join(first(decisions, "end"), [scope, number])
+    rest = lambda d, side: d.join(both.select(scope, number), [scope, number], "left_anti").select(scope, F.col(key).alias(f"__{side}"), F.col(ts).alias(side))
+    near = mutual_nearest(as_of_pairs(rest(requests, "start"), rest(decisions, "end"), [scope], "start", "end", days), "__start", "__end", "gap_days")
+    tier = lambda d, name: d.select(scope, "start", "end", F.lit(name).alias("tier"))
+    return tier(both.where("start <= end"), "number").unionByName(tier(near, "nearest"))
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
     """For each left row the values of the latest right row at or before it: one sort of the union, no pairs."""
     l = left.withColumns({"__ts": F.col(left_ts), "__side": F.lit(1)} | {f"__{v}": F.lit(None) for v in values})
@@ -81,11 +100,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, righ
     return out.select(*left.columns, *[F.col("__hit")[v].alias(v) for v in values])
 
 
-def equal_sets(left: DataFrame, left_id: str, right: DataFrame, right_id: str, member: str) -> DataFrame:
-    """Pairs of owners whose sets of members are equal: an equi-join on the sorted sets."""
-    a = left.groupBy(F.col(left_id).alias("left_id")).agg(F.array_sort(F.collect_set(member)).alias("members"))
-    b = right.groupBy(F.col(right_id).alias("right_id")).agg(F.array_sort(F.collect_set(member)).alias("members"))
-    return a.join(b, "members").select("left_id", "right_id", F.size("members").alias("n_members"))
+def equal_sets(df: DataFrame, owner: str, member: str) -> DataFrame:
+    """(id, first_id, n_owners, n_members): each owner with the least owner of the same set and their number; linear in owners."""
+    sets = set_classes(df, owner, member)
+    alike = sets.groupBy("class_id").agg(F.min("id").alias("first_id"), F.count("*").alias("n_owners"))
+    return sets.join(alike, "class_id").select("id", "first_id", "n_owners", "n_members")
 
 
 def set_classes(df: DataFrame, owner: str, member: str) -> DataFrame:

@@ -154,11 +154,20 @@ def nearest_centroid(vectors: DataFrame, vector: str, key: str, label: str, clas
 
 
 def word_overlap(a: DataFrame, b: DataFrame, key_a: str, key_b: str, words: str, least: int = 5, share: float = 0.3) -> DataFrame:
-    """Pairs of texts that share more than max(least, share x words of the first) distinct words of four letters or more."""
-    long = lambda d, k: d.select(k, F.explode(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4))).alias("w"))
-    n = a.select(key_a, F.size(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4))).alias("n"))
-    shared = long(a, key_a).join(long(b, key_b), "w").groupBy(key_a, key_b).agg(F.count("*").alias("shared"))
-    return shared.join(n, key_a).where(F.col("shared") > F.greatest(F.lit(least), share * F.col("n"))).select(key_a, key_b, "shared")
+    """Pairs of texts that share more than max(least, share x words of the first) distinct words of four letters or more.
+
+    Keys are unique. Of the words of the first that any of ``b`` holds, rarest first, a pair must share one before the last
+    few that it needs; only those are joined, so a word that stands everywhere brings no pairs. Then whole texts decide."""
+    long = lambda d, k, name: d.select(k, F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4)).alias(name))
+    left, right = long(a, key_a, "x"), long(b, key_b, "y")
+    met = right.select(key_b, F.explode("y").alias("w"))
+    asked = left.select(key_a, F.size("x").alias("n"), F.explode("x").alias("w")).join(met.groupBy("w").agg(F.count("*").alias("__in")), "w")
+    place, known = F.row_number().over(Window.partitionBy(key_a).orderBy("__in", "w")), F.count("*").over(Window.partitionBy(key_a))
+    most = F.greatest(F.lit(least), share * F.col("n"))
+    first = asked.select(key_a, "w", place.alias("__i"), (known - F.floor(most)).alias("__last")).where("__i <= __last")
+    pairs = first.select(key_a, "w").join(met, "w").select(key_a, key_b).distinct().join(left, key_a).join(right, key_b)
+    pairs = pairs.select(key_a, key_b, F.size("x").alias("n"), F.size(F.array_intersect("x", "y")).cast("long").alias("shared"))
+    return pairs.where(F.col("shared") > most).select(key_a, key_b, "shared")
 
 
 def match_vocabulary(texts: DataFrame, vocabulary: DataFrame, key: str, words: str, least: float = 0.5) -> DataFrame:

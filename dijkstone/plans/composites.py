@@ -24,15 +24,14 @@ def _(t):
     return K.names_in_texts(d, _names(t), "scope", "text", "name").select("doc_id", "scope", "name")
 
 
-@query("txt08_scoped_name_matches", f"WITH {NAMES_SQL} SELECT DISTINCT doc_id, name FROM documents JOIN (SELECT DISTINCT name FROM names) ON {MATCH} WHERE doc_id % 2 = 0")
+@query("txt08_scoped_name_matches", f"WITH {NAMES_SQL} SELECT DISTINCT doc_id, name FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH}")
 def _(t):
-    d = t.documents.where("doc_id % 2 = 0").select("doc_id", "text")
-    return K.names_by_word(d, _names(t).select("name").distinct(), "text", "name").select("doc_id", "name").distinct()
+    d = t.documents.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("of"), "text")
+    return K.names_by_word(d, _names(t), "text", "name").where("of = scope").select("doc_id", "name").distinct()
 
 
 @query("txt08_all_name_matches", f"WITH {NAMES_SQL} SELECT DISTINCT doc_id, name FROM documents JOIN (SELECT DISTINCT name FROM names) ON {MATCH}")
 def _(t):
-    """Over all documents; txt08_scoped_name_matches takes those of even ids only."""
     return K.names_by_word(t.documents.select("doc_id", "text"), _names(t).select("name").distinct(), "text", "name").select("doc_id", "name").distinct()
 
 
@@ -128,10 +127,13 @@ def _(t):
     return J.scoped_or_null(left, right, "k", "scope").select("o_custkey", "activity").distinct()
 
 
-@query("mv03_equal_places", "WITH s AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT l_partkey % 4)) AS m FROM lineitem WHERE l_quantity > 47 GROUP BY 1) SELECT a.id AS left_id, b.id AS right_id, len(a.m)::INTEGER AS n_members FROM s a JOIN s b USING (m) WHERE a.id % 3 = 0 AND b.id % 3 = 1")
+@query(
+    "mv03_equal_places",
+    """WITH s AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_suppkey % 4)) AS members FROM lineitem GROUP BY 1)
+       SELECT id, min(id) OVER w AS first_id, count(*) OVER w AS n_owners, len(members)::INTEGER AS n_members FROM s WINDOW w AS (PARTITION BY members)""",
+)
 def _(t):
-    s = t.lineitem.where("l_quantity > 47").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 4).alias("m"))
-    return J.equal_sets(s.where("id % 3 = 0"), "id", s.where("id % 3 = 1"), "id", "m")
+    return J.equal_sets(t.lineitem.select("l_orderkey", (F.col("l_suppkey") % 4).alias("m")), "l_orderkey", "m")
 
 
 @query(
@@ -140,7 +142,6 @@ def _(t):
        SELECT id, md5(array_to_string(list_transform(members, lambda m: length(m) || ':' || m), ',')) AS class_id, len(members)::INTEGER AS n_members FROM s""",
 )
 def _(t):
-    """The equal places of all owners; mv03_equal_places pairs two thirds of them with each other only."""
     return J.set_classes(t.lineitem.where("l_quantity > 47").select(F.col("l_suppkey").alias("id"), (F.col("l_partkey") % 4).alias("m")), "id", "m")
 
 

@@ -185,3 +185,23 @@ def _(t):
     d = mutual_nearest(pairs(t), "a_id", "b_id", "gap_days").join(b, "b_id")
     half = F.expr("cast(percentile_disc(0.5) WITHIN GROUP (ORDER BY gap_days) as bigint)")
     return d.groupBy("week").agg(F.count("*").alias("n"), half.alias("p50"), F.percentile("gap_days", 0.5).alias("median"), F.round(F.avg("gap_days"), 1).alias("mean"))
+
+
+@query(
+    "mv04_two_tiers",
+    """WITH e AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS number FROM events WHERE event_type IN ('signup', 'purchase')),
+         cases AS (SELECT user_id, number, min(ts) FILTER (WHERE event_type = 'signup') AS s, min(ts) FILTER (WHERE event_type = 'purchase') AS f FROM e WHERE number IS NOT NULL GROUP BY ALL HAVING s IS NOT NULL AND f IS NOT NULL),
+         rest AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM cases WHERE cases.user_id = e.user_id AND cases.number = e.number)),
+         p AS (SELECT a.event_id AS a_id, b.event_id AS b_id, a.ts AS s, b.ts AS f, date_diff('day', a.ts::DATE, b.ts::DATE) AS gap FROM rest a JOIN rest b USING (user_id) WHERE a.event_type = 'signup' AND b.event_type = 'purchase' AND a.ts <= b.ts AND gap <= 10),
+         one AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY b_id ORDER BY gap, a_id) = 1), two AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY gap, b_id) = 1),
+         c AS (SELECT 'number' AS tier, s, f FROM cases WHERE s <= f UNION ALL SELECT 'nearest', s, f FROM two)
+       SELECT tier, date_trunc('quarter', f)::TIMESTAMP AS quarter, count(*) AS n, quantile_cont(date_diff('day', s::DATE, f::DATE), 0.5)::DOUBLE AS median, max(date_diff('day', s::DATE, f::DATE))::INTEGER AS longest FROM c GROUP BY ALL""",
+)
+def _(t):
+    """Cases by their number first, the rest by nearness, by quarter of the decision."""
+    from dijkstone.operators.joins import cases_in_tiers
+
+    e = t.events.select("event_id", "user_id", "ts", "event_type", F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 7).alias("number"))
+    kind = lambda v: e.where(F.col("event_type") == v).drop("event_type")
+    c = cases_in_tiers(kind("signup"), kind("purchase"), "user_id", "number", "ts", "event_id", 10).withColumn("gap", F.date_diff("end", "start"))
+    return c.groupBy("tier", F.date_trunc("quarter", "end").alias("quarter")).agg(F.count("*").alias("n"), F.percentile("gap", 0.5).alias("median"), F.max("gap").alias("longest"))

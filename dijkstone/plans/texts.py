@@ -157,9 +157,9 @@ def _(t):
     return S.field_score(t.part, words, {"p_name": 1.0, "p_type": 0.5}, "p_partkey").withColumn("score", F.round("score", 6))
 
 
-@query("txt25_composite_score", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(0.5 * l_discount + 0.5 * l_tax, 4) AS score FROM lineitem WHERE l_quantity = 50")
+@query("txt25_composite_score", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(0.5 * l_discount + 0.5 * l_tax, 4) AS score FROM lineitem")
 def _(t):
-    return t.lineitem.where("l_quantity = 50").select("l_orderkey", "l_linenumber", "l_partkey", S.composite_score(F.col("l_discount"), F.col("l_tax")).alias("score"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", S.composite_score(F.col("l_discount"), F.col("l_tax")).alias("score"))
 
 
 @query("txt26_term_weight", f"WITH {CONCEPTS_SQL} SELECT term, round(CASE WHEN length(term) > 6 THEN 1.0 ELSE 0.5 END / (1 + ln(freq)) * 0.8, 6)::DOUBLE AS weight FROM freq")
@@ -209,6 +209,24 @@ def _(t):
     return S.fuse_ranks({"dense": dense, "sparse": sparse}, "vec_id").withColumn("score", F.round("score", 9))
 
 
+@query(
+    "txt31_retrieval",
+    f"""WITH {DENSE_SQL}, f AS (SELECT vec_id, sum(1.0 / (60 + rank)) AS s FROM (SELECT * FROM dense UNION ALL SELECT * FROM sparse) GROUP BY 1),
+        g AS (SELECT vec_id, source, round(s * CASE WHEN lang = 'en' THEN 0.55 ELSE 1.0 END, 9)::DOUBLE AS score FROM f JOIN documents ON doc_id = vec_id),
+        w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, vec_id) AS group_rank FROM g QUALIFY group_rank <= 8), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS overall_rank FROM w)
+        SELECT vec_id, source, score FROM r ORDER BY CASE WHEN overall_rank <= 10 THEN overall_rank ELSE 11 END, CASE WHEN overall_rank > 10 THEN group_rank ELSE 0 END, overall_rank LIMIT 20""",
+)
+def _(t):
+    """Dense and sparse ranks fused, one tier weighted less, at most eight of a source: the best ten, then ten by turns."""
+    from dijkstone.operators.ranking import two_rankings
+
+    dense, sparse = _lists(t)
+    fused = S.fuse_ranks({"dense": dense, "sparse": sparse}, "vec_id").join(t.documents.select(F.col("doc_id").alias("vec_id"), "source", "lang"), "vec_id")
+    weight = F.when(F.col("lang") == "en", S.CENTRAL_TIER_WEIGHT).otherwise(1.0)
+    scored = fused.withColumn("score", F.round(F.col("score") * weight, 9))
+    return two_rankings(scored, "source", F.col("score"), [F.col("vec_id")], 8, 20).select("vec_id", "source", "score")
+
+
 @query("txt32_covered_or_definition", "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 0) OR lang = 'es'")
 def _(t):
     d = t.documents.select("doc_id", "lang")

@@ -90,3 +90,67 @@ def test_content_hash_streams_a_hot_scope(spark):
     digest = lambda s: hashlib.md5("|".join(f"{k}:{t}" for k, t in sorted(p for p in s if p[0] is not None)).encode()).hexdigest()
     assert {x.scope: (x.hash, x.n) for x in out.collect()} == {s: (digest(p), len(p)) for s, p in parts.items()}
     assert A.content_hash(df.where("false"), ["scope"], "k", "t").collect() == []
+
+
+def test_pairs_within_days_and_tiers(spark):
+    """Buckets lose no pair and repeat none; a case number claims its rows before nearness does."""
+    import datetime
+
+    r, day = random.Random(3), lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d, hours=d % 5)
+    rows = [(i, r.randrange(3), r.choice([None, None, 1, 2, 3]), day(r.randrange(-40, 40))) for i in range(300)]
+    made = lambda x: spark.createDataFrame(x, "id long, s int, number int, ts timestamp")
+    a, b = rows[:150], rows[150:]
+    gap = lambda p, q: (q[3].date() - p[3].date()).days
+    near = lambda a, b: [(p, q) for p in a for q in b if p[1] == q[1] and p[3] <= q[3] and gap(p, q) <= 4]
+    left, right = made(a).selectExpr("id as a", "s", "ts as t"), made(b).selectExpr("id as b", "s", "ts as u")
+    got = sorted((x.a, x.b, x.gap_days) for x in J.as_of_pairs(left, right, ["s"], "t", "u", 4).collect())
+    assert got == sorted((p[0], q[0], gap(p, q)) for p, q in near(a, b)) and got
+
+    first = lambda x: {k: min(p[3] for p in x if (p[1], p[2]) == k) for k in {(p[1], p[2]) for p in x if p[2]}}
+    f, g = first(a), first(b)
+    want = [(k[0], f[k], g[k], "number") for k in f.keys() & g.keys() if f[k] <= g[k]]
+    rest = lambda x: [p for p in x if (p[1], p[2]) not in f.keys() & g.keys()]
+    best = {}
+    for p, q in near(rest(a), rest(b)):
+        best[q] = min(best.get(q, (99, 0, p)), (gap(p, q), p[0], p))
+    back = {}
+    for q, (n, _, p) in best.items():
+        back[p] = min(back.get(p, (99, 0, q)), (n, q[0], q))
+    want += [(p[1], p[3], q[3], "nearest") for p, (_, _, q) in back.items()]
+    assert sorted(map(tuple, J.cases_in_tiers(made(a), made(b), "s", "number", "ts", "id", 4).collect())) == sorted(want)
+
+
+def test_walks_from_a_few_nodes(spark):
+    """Subtrees and paths of some nodes are those of the whole closure, also in cycles, of orphans and of unknown nodes."""
+    from dijkstone.operators import trees as T
+
+    r = random.Random(6)
+    rows = [(i, None if i == 0 else r.randrange(i)) for i in range(60)] + [(100, 999), (200, 201), (201, 200)]
+    df = spark.createDataFrame(rows, "id long, parent_id long")
+    closure = {tuple(x) for x in T.ancestors(df, max_depth=12).collect()}
+    ids = [0, 7, 30, 59, 100, 200, 555, 999]
+    some = spark.createDataFrame([(i,) for i in ids + [7]], "id long")
+    assert sorted(map(tuple, T.climb(df, some, max_depth=12).collect())) == sorted(x for x in closure if x[0] in ids)
+    below = sorted(map(tuple, T.subtree(df, some.withColumnRenamed("id", "root"), max_depth=12).collect()))
+    assert below == sorted([(a, i, d) for i, a, d in closure if a in ids] + [(i, i, 0) for i in ids if i in dict(rows)])
+
+
+def test_word_overlap_of_all_pairs(spark):
+    from dijkstone.operators.scoring import word_overlap
+
+    r = random.Random(2)
+    text = lambda n: r.choices([f"word{i}" for i in range(40)], [40 - i for i in range(40)], k=n) + ["of"]
+    a, b = [(i, text(r.randint(0, 30))) for i in range(40)], [(i, text(r.randint(0, 60))) for i in range(40)] + [(99, [])]
+    got = sorted(map(tuple, word_overlap(spark.createDataFrame(a, "a int, w array<string>"), spark.createDataFrame(b, "b int, w array<string>"), "a", "b", "w").collect()))
+    long = lambda w: {x for x in w if len(x) >= 4}
+    assert got == sorted((i, j, len(long(x) & long(y))) for i, x in a for j, y in b if len(long(x) & long(y)) > max(5, 0.3 * len(long(x)))) and got
+
+
+def test_degrees_of_known_places(spark):
+    from pyspark.sql import functions as F
+
+    from dijkstone.operators.geo import to_degrees
+
+    row = spark.range(1).select(to_degrees(F.lit(155000.0), F.lit(463000.0)).alias("o"), to_degrees(F.lit(120700.723), F.lit(487525.502)).alias("w")).first()
+    assert (row.o.lon, row.o.lat) == (5.38720621, 52.1551744)
+    assert abs(row.w.lon - 4.88352559) < 1e-6 and abs(row.w.lat - 52.37453253) < 1e-6
