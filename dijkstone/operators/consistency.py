@@ -57,3 +57,10 @@ def first_branches(branches: list[tuple[str, DataFrame]], keys: list[str], fallb
     name, rest = fallback
     missing = rest.select(*keys).distinct().join(out.select(owner).distinct(), owner, "left_anti").withColumn("provenance", F.lit(name))
     return out.unionByName(missing)
+
+
+def dead_ends(found: DataFrame, links: list[DataFrame], key: str) -> DataFrame:
+    """One row: distinct keys that can be found, and those of them that no table of links names."""
+    linked = reduce(DataFrame.unionByName, [d.select(key) for d in links]).where(F.col(key).isNotNull()).distinct().withColumn("__l", F.lit(True))
+    known = found.select(key).distinct().join(linked, key, "left")
+    return known.agg(F.count("*").alias("n_found"), F.count_if(F.col("__l").isNull()).alias("n_dead"))

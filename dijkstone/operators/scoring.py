@@ -57,6 +57,14 @@ def concept_matches(terms: DataFrame, concepts: DataFrame, synonyms: DataFrame,
     return every.join(terms.select("term").distinct(), "term").groupBy("uri", "term").agg(F.min("source_rank").alias("source_rank"))
 
 
+def preselected(matches: DataFrame, concepts: DataFrame, schemes: list[str], limit: int) -> DataFrame:
+    """(uri, terms, n_terms, source_rank): concepts of the allowed schemes with all their terms; those of the most terms, the
+    best source and the least uri, at most ``limit``. A concept has no more terms than the request."""
+    allowed = matches.join(concepts.where(F.col("scheme").isin(schemes)).select("uri"), "uri", "left_semi")
+    rows = allowed.groupBy("uri").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.min("source_rank").alias("source_rank"))
+    return rows.withColumn("n_terms", F.size("terms")).orderBy(F.desc("n_terms"), "source_rank", "uri").limit(limit)
+
+
 def term_frequency(concepts: DataFrame, synonyms: DataFrame, keywords: DataFrame) -> DataFrame:
     """(term, freq): in how many concepts a term stands, in whichever role."""
     every = concepts.select("uri", F.lower("name").alias("term")).union(synonyms.select("uri", F.lower("synonym"))).union(keywords.select("uri", F.lower("keyword")))

@@ -157,6 +157,48 @@ def _(t):
     return out.select("n_name", F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"), A.percent(F.col("done"), F.col("orders")).alias("pct_done"))
 
 
+HEALTH_SQL = """o AS (SELECT o_custkey AS c_custkey, count(*) AS orders, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1),
+  d AS (SELECT c_nationkey, c_mktsegment, round(c_acctbal) AS balance FROM customer GROUP BY ALL HAVING count(*) > 1),
+  h AS (SELECT c.c_custkey, coalesce(orders, 0) AS orders, regexp_matches(right(c_name, 2), '^0[0-9]$') AS is_code, d.balance IS NOT NULL AS is_repeated, round(100.0 * done / nullif(orders, 0), 1)::DOUBLE AS pct
+    FROM customer c LEFT JOIN o USING (c_custkey) LEFT JOIN d ON d.c_nationkey = c.c_nationkey AND d.c_mktsegment = c.c_mktsegment AND d.balance = round(c.c_acctbal))"""
+
+
+def _owner_health(t):
+    """Per customer: orders, whether the name is a mere code, whether its traits repeat, and the share that is done."""
+    o = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    c = t.customer.select("c_custkey", "c_nationkey", "c_mktsegment", F.round("c_acctbal").alias("balance"), F.rlike(F.right("c_name", F.lit(2)), F.lit("^0[0-9]$")).alias("is_code"))
+    traits = ["c_nationkey", "c_mktsegment", "balance"]
+    repeated = c.groupBy(*traits).agg(F.count("*").alias("n")).where("n > 1").select(*traits, F.lit(True).alias("is_repeated"))
+    h = c.join(o, "c_custkey", "left").join(repeated, traits, "left")
+    return h.select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"), "is_code", F.coalesce("is_repeated", F.lit(False)).alias("is_repeated"), A.percent(F.col("done"), F.col("orders")).alias("pct"))
+
+
+@query("mv05_owner_health", f"WITH {HEALTH_SQL} SELECT c_custkey, orders, is_code, is_repeated, pct FROM h")
+def _(t):
+    return _owner_health(t)
+
+
+@query(
+    "mv05_data_health",
+    f"WITH {HEALTH_SQL} SELECT count(*) AS owners, count(*) FILTER (WHERE orders > 0) AS with_content, count(*) FILTER (WHERE is_code AND orders > 0) AS code_only, count(*) FILTER (WHERE is_repeated) AS repeated, round(avg(pct), 1) AS mean_pct FROM h",
+)
+def _(t):
+    some = F.col("orders") > 0
+    return _owner_health(t).agg(
+        F.count("*").alias("owners"), F.count_if(some).alias("with_content"), F.count_if(F.col("is_code") & some).alias("code_only"), F.count_if("is_repeated").alias("repeated"), F.round(F.avg("pct"), 1).alias("mean_pct")
+    )
+
+
+@query(
+    "mv05_link_health",
+    """WITH f AS (SELECT DISTINCT p_partkey AS k FROM part), l AS (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' UNION SELECT event_id FROM events WHERE event_type = 'error')
+       SELECT count(*) AS n_found, count(*) FILTER (WHERE l.k IS NULL) AS n_dead FROM f LEFT JOIN l USING (k)""",
+)
+def _(t):
+    links = [t.lineitem.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("k")), t.events.where("event_type = 'error'").select(F.col("event_id").alias("k"))]
+    return K.dead_ends(t.part.select(F.col("p_partkey").alias("k")), links, "k")
+
+
 @query(
     "mv06_load_status",
     """WITH r AS (SELECT event_type AS source, ts::DATE AS day, count(*) AS n, count(*) FILTER (WHERE value < 1) AS n_failed FROM events GROUP BY ALL)

@@ -107,6 +107,17 @@ def _(t):
     return _concepts(t)[0]
 
 
+@query(
+    "txt15_preselected",
+    f"""WITH {CONCEPTS_SQL} SELECT uri, list_sort(list(DISTINCT term)) AS terms, min(source_rank)::INTEGER AS source_rank, count(DISTINCT term)::INTEGER AS n_terms FROM m
+        WHERE uri IN (SELECT uri FROM concepts WHERE scheme IN ('PROMO', 'ECONOMY')) GROUP BY 1 ORDER BY n_terms DESC, source_rank, uri LIMIT 160""",
+)
+def _(t):
+    """At most four times the forty that are shown."""
+    concepts = t.part.select(F.col("p_partkey").alias("uri"), F.col("p_type").alias("scheme"))
+    return S.preselected(_concepts(t)[0], concepts, ["PROMO", "ECONOMY"], 160)
+
+
 @query("txt16_concept_scores", f"WITH {CONCEPTS_SQL} SELECT uri, round(score, 6) AS score FROM b")
 def _(t):
     return _concepts(t)[2].withColumn("score", F.round("score", 6))
