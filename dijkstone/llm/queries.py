@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dijkstone.llm import chat, decontaminate, embeddings, language, pieces, sharding, simhash, toxicity, url_filter
+from dijkstone.llm import alignment, chat, decontaminate, embeddings, language, merkle, pieces, sharding, simhash, toxicity, url_filter
 from dijkstone.llm.common import in_fold
 from dijkstone.llm.substring_dedup import remove_repeats
 
@@ -84,6 +84,26 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+LEAF_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*LEAF_FIELDS)
+    # The rows as they are presented: every fifth, by the hash of its id, has been tampered with.
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    presented = {"text": F.when(in_fold("doc_id", 5) == 0, lowered).otherwise(F.col("text"))}
+    return merkle.manifest(docs, "doc_id", "source", LEAF_FIELDS, presented).drop("path")
+
+
+#: Places of the vocabulary files that are aligned.
+BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", VOCABULARY
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, alignment.Vocabularies.load(BYTE_BPE, PIECE_BPE))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_substring_dedup": op2_substring_dedup,
@@ -95,6 +115,8 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 SQL: dict[str, str] = {}
@@ -239,3 +261,52 @@ FROM p LEFT JOIN t{d} t ON p.host = t.host AND p.segs = t.segs LEFT JOIN pure ON
 
 
 SQL["op5_url_filter"] = _url_sql()
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, by ``steps``, the list of the remainders of all bytes."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_remainder_sql = "list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))"
+_field_sql = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+_leaf_sql = lambda text: "sha256(" + " || ".join(_field_sql(text if c == "text" else c) for c in LEAF_FIELDS) + ")"
+#: Recursion from the leaves (tree, idx, n, h) of all trees to their roots, and each node with its siblings.
+_grow_sql = """{0}(tree, lvl, idx, n, h) AS (
+  SELECT tree, 0, idx, n, h FROM {1}
+  UNION ALL SELECT tree, lvl + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM {0} WHERE n > 1 GROUP BY tree, lvl, idx // 16, n
+), {0}_sides AS (
+  SELECT tree, lvl, idx, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM {0} WHERE n > 1 WINDOW w AS (PARTITION BY tree, lvl, idx // 16 ORDER BY idx)
+)"""
+SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE remainders AS (SELECT list({_remainder_sql} ORDER BY i) AS steps FROM range(256) t(i)),
+crc AS (SELECT k, {_crc32_sql("k")} AS crc FROM (SELECT DISTINCT doc_id::VARCHAR AS k FROM documents WHERE doc_id IS NOT NULL), remainders),
+rows AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS tree, {_leaf_sql("text")} AS h,
+         {_leaf_sql("(CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END)")} AS given
+  FROM documents LEFT JOIN crc ON k = doc_id::VARCHAR
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM rows
+),
+{_grow_sql.format("grown", "leaves")},
+subroots AS (
+  SELECT '' AS tree, tree AS of, h, row_number() OVER (ORDER BY tree::BLOB) - 1 AS idx, count(*) OVER () AS n FROM grown WHERE n = 1
+),
+{_grow_sql.format("crown", "subroots")},
+steps AS (
+  SELECT l.tree, l.idx, s.lvl, before, after FROM leaves l JOIN grown_sides s ON s.tree = l.tree AND s.idx = l.idx // (16 ** s.lvl)::BIGINT
+  UNION ALL
+  SELECT l.tree, l.idx, 100 + s.lvl, before, after FROM leaves l JOIN subroots r ON r.of = l.tree JOIN crown_sides s ON s.idx = r.idx // (16 ** s.lvl)::BIGINT
+), paths AS (SELECT tree, idx, list({{'before': before, 'after': after}} ORDER BY lvl) AS path FROM steps GROUP BY tree, idx),
+walk(tree, idx, d, left_) AS (
+  SELECT l.tree, l.idx, given, coalesce(path, []) FROM leaves l LEFT JOIN paths p ON p.tree = l.tree AND p.idx = l.idx
+  UNION ALL SELECT tree, idx, sha256(left_[1].before || d || left_[1].after), left_[2:] FROM walk WHERE len(left_) > 0
+)
+SELECT doc_id, l.h AS leaf, r.h AS subroot, t.h AS root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.before || x.after), ''), '')) AS proof_sha256,
+       d AS folded_root, d = t.h AS verified
+FROM leaves l JOIN subroots r ON r.of = l.tree JOIN (SELECT h FROM crown WHERE n = 1) t ON true
+JOIN (SELECT * FROM walk WHERE len(left_) = 0) w ON w.tree = l.tree AND w.idx = l.idx LEFT JOIN paths p ON p.tree = l.tree AND p.idx = l.idx
+"""
