@@ -38,9 +38,10 @@ from dijkstone.llm.common import in_small_batches, materialize, ranges, splittab
 
 SPACE = "▁"
 #: Bytes of text whose pairs are summed together, and that are aligned at once; words that a task remembers.
-BATCH_BYTES, SLICE_BYTES, REMEMBERED = 8_000_000, 400_000, 400_000
+BATCH_BYTES, SLICE_BYTES, REMEMBERED = 8_000_000, 400_000, 1_000_000
+#: Words that are encoded as one text.
+_TOGETHER = 500
 _ALONE = re.compile(r"(?<=\S) (?=\S)")
-_BESIDE = re.compile(r"(?:^|\s) | (?:\s|$)")
 
 
 def _byte_level() -> dict[str, int]:
@@ -72,6 +73,35 @@ def _pieces(model: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
+class _Bytes:
+    """The bytes of ids."""
+
+    def __init__(self, each: list[bytes]):
+        self.size = np.fromiter(map(len, each), np.int64, len(each))
+        self.at, self.blob = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(each), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        at, _ = ranges(self.at[ids], self.at[ids] + self.size[ids])
+        return self.blob[at].tobytes()
+
+
+class _Grown:
+    """An array to which values are added."""
+
+    def __init__(self, kind):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.held[: self.n]
+
+    def add(self, values: np.ndarray):
+        if self.n + len(values) > len(self.held):
+            self.held = np.concatenate((self.held, np.zeros(self.n + len(values), self.held.dtype)))
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+
 class Pair:
     """Both tokenizers with a memory of words. Words are numbered; the ids of all lie one after the other."""
 
@@ -89,7 +119,8 @@ class Pair:
         n = range(self.b.get_piece_size())
         pieces = [self.b.id_to_piece(i) for i in n]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.a_len, self.b_len = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.bytes = [_Bytes(x) for x in (self.a_bytes, self.b_bytes)]
+        self.a_len, self.b_len = (x.size for x in self.bytes)
         # What follows an id in the text of groups: the next of its side, the other side, the next group.
         self.a_said = np.array([f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|;"], object)
         self.b_said = np.array([f"{i}{end}" for i in n for end in ",|;"], object)
@@ -99,42 +130,62 @@ class Pair:
         self._forget()
 
     def _forget(self):
-        self.known, self.sound = {}, []
-        self.flat, self.ends = ([], []), ([0], [0])
-        self.arrays = None
+        self.known, self.sound = {}, _Grown(bool)
+        self.flat, self.ends = (_Grown(np.int32), _Grown(np.int32)), (_Grown(np.int64), _Grown(np.int64))
+        for e in self.ends:
+            e.add(np.zeros(1, np.int64))
 
     def words(self, text: str) -> list[str]:
         """A text as parts of which each stands behind one space."""
         if not self.cuts:
             return [text]
-        return _ALONE.split(text) if _BESIDE.search(text) else text.split(" ")
+        words = text.split()
+        return words if " ".join(words) == text else _ALONE.split(text)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The numbers of words; new ones are encoded. Only the numbers of the last call hold."""
         if len(self.known) > REMEMBERED:
             self._forget()
         new = list(dict.fromkeys(filterfalse(self.known.__contains__, words)))
-        for at in range(0, len(new), 1_000):
-            some = new[at : at + 1_000]
-            spaced = [" " + w for w in some]
-            of_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-            for w, s, a, b in zip(some, spaced, of_a, self.b.encode(some, num_threads=1)):
-                data = s.encode()
-                sound = b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b))
-                self.known[w] = len(self.sound)
-                self.sound.append(sound)
-                for side, ids in ((0, a), (1, b)):
-                    self.flat[side].extend(ids if sound else ())
-                    self.ends[side].append(len(self.flat[side]))
-        if new or self.arrays is None:
-            self.arrays = [(np.array(f, np.int64), np.array(e, np.int64)) for f, e in zip(self.flat, self.ends)]
+        # Words that begin or end with a space of some kind stand at the ends of texts; all others may follow each other.
+        single = [w for w in new if not self.cuts or not w or w[0].isspace() or w[-1].isspace()]
+        joined = [w for w in new if self.cuts and w and not w[0].isspace() and not w[-1].isspace()]
+        for at in range(0, len(joined), _TOGETHER):
+            if not self._learn(joined[at : at + _TOGETHER]):
+                single += joined[at : at + _TOGETHER]
+        for w in single:
+            if not self._learn([w]):
+                self._keep([w], [False], [np.zeros(0, np.int32)] * 2, [np.zeros(1, np.int64)] * 2)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def _learn(self, words: list[str]) -> bool:
+        """Encode words, one behind the other as in a text; no, if the tokens of a side don't join to their bytes, word by word."""
+        text = " ".join(words)
+        data = (" " + text).encode()
+        edges = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1)
+        ids = [np.array(x, np.int32) for x in (self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text))]
+        cuts = []
+        for table, side in zip(self.bytes, ids):
+            ends = np.cumsum(table.size[side])
+            cut = np.searchsorted(ends, edges)
+            if table.join(side) != data or not np.array_equal(ends[np.minimum(cut, len(ends) - 1)], edges):
+                return False
+            cuts.append(cut + 1)
+        self._keep(words, [True] * len(words), ids, cuts)
+        return True
+
+    def _keep(self, words, sound, ids, cuts):
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.sound.add(np.array(sound))
+        for flat, ends, side, cut in zip(self.flat, self.ends, ids, cuts):
+            ends.add(cut + flat.n)
+            flat.add(side)
+
     def tokens(self, numbers: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after the other, and for each the place of its word."""
-        flat, ends = self.arrays[side]
+        flat, ends = self.flat[side].values, self.ends[side].values
         at, of = ranges(ends[numbers], ends[numbers + 1])
-        return flat[at], of
+        return flat[at].astype(np.int64), of
 
 
 def jump(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +210,7 @@ def _aligned(pair: Pair, texts: list):
     numbers = pair.numbers(list(chain.from_iterable(parts)))
     doc = np.repeat(np.arange(n), sizes)
     good = np.ones(n, bool)
-    good[doc[~np.array(pair.sound, bool)[numbers]]] = False
+    good[doc[~pair.sound.values[numbers]]] = False
     numbers, doc = numbers[good[doc]], doc[good[doc]]
     (a, of_a), (b, of_b) = pair.tokens(numbers, 0), pair.tokens(numbers, 1)
     doc_a, doc_b = doc[of_a], doc[of_b]
@@ -277,7 +328,7 @@ def _grouped(handed):
                 out = []
                 for t in texts:
                     numbers = pair.numbers(pair.words(t) if t and SPACE not in t else [])
-                    sound = all(pair.sound[i] for i in numbers)
+                    sound = bool(pair.sound.values[numbers].all())
                     (a, _), (b, _) = (pair.tokens(numbers if sound else numbers[:0], side) for side in (0, 1))
                     label_a, label_b = jump(np.cumsum(pair.a_len[a]), np.cumsum(pair.b_len[b]))
                     ends = np.flatnonzero(label_b == np.arange(len(b)))
