@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dijkstone.llm import alignment, chat, decontaminate, embeddings, language, merkle, pieces, sharding, simhash, toxicity, url_filter
+from dijkstone.llm import alignment, chat, decontaminate, embeddings, language, merkle, pieces, pii, sharding, simhash, toxicity, url_filter
 from dijkstone.llm.common import in_fold
 from dijkstone.llm.substring_dedup import remove_repeats
 
@@ -95,6 +95,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, "doc_id", "source", LEAF_FIELDS, presented).drop("path")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.counted(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Places of the vocabulary files that are aligned.
 BYTE_BPE, PIECE_BPE = "/opt/tokenizers/byte_bpe_50k.json", VOCABULARY
 
@@ -116,6 +120,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pii": op12_pii,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
@@ -310,3 +315,58 @@ SELECT doc_id, l.h AS leaf, r.h AS subroot, t.h AS root, sha256(coalesce(array_t
 FROM leaves l JOIN subroots r ON r.of = l.tree JOIN (SELECT h FROM crown WHERE n = 1) t ON true
 JOIN (SELECT * FROM walk WHERE len(left_) = 0) w ON w.tree = l.tree AND w.idx = l.idx LEFT JOIN paths p ON p.tree = l.tree AND p.idx = l.idx
 """
+
+
+def _pii_sql() -> str:
+    """Each kind's matches with their places: texts are split at the matches, and lengths are summed."""
+    figures = "regexp_replace(hit, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(len({figures})), lambda i: CASE WHEN i % 2 = 0 THEN ({figures}[len({figures}) - i])::INTEGER ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][({figures}[len({figures}) - i])::INTEGER + 1] END)) % 10 = 0"
+    code = "replace(hit, ' ', '')"
+    order = f"string_split({code}[5:] || {code}[1:4], '')"
+    value = "strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1"
+    mod97 = f"list_reduce(list_prepend(0::BIGINT, list_transform({order}, lambda c: {value})), lambda acc, v: (acc * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"
+    # name, pattern, number of the pattern's group, test, score, whether it is always reported
+    specs = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max(list_transform(string_split(hit, '.'), lambda x: x::HUGEINT)) <= 255"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"CASE WHEN len({figures}) BETWEEN 12 AND 19 THEN {luhn} ELSE false END"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({figures}) BETWEEN 9 AND 15"),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", f"len({code}) BETWEEN 15 AND 34 AND {mod97}"),
+        ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT regexp_matches(hit, '^(?:000|666|9)|-00-|-0000$')"),
+        ("local_phone", r"\b0[0-9]{1,3}[ -][0-9]{3,4}[ -]?[0-9]{3,4}\b", "true"),
+    ]
+    parts, kept = [], []
+    for i, (name, pattern, stands) in enumerate(specs):
+        kind = pii.KINDS[i]
+        words = "(?:^|[^a-z])(?:" + "|".join(kind.context) + ")(?:[^a-z]|$)"
+        likely = f"regexp_matches(lower(gap[-{pii.BEFORE}:] || ' ' || coalesce(nxt, '')[1:{pii.AFTER}]), '{words}')"
+        score = f"{kind.score + (pii.CHECKSUM if kind.checked else 0)} + CASE WHEN {likely} THEN {pii.CONTEXT} ELSE 0 END"
+        parts.append(
+            f"""h{i} AS (
+  SELECT r, gap, hit, lead(gap) OVER w AS nxt, (sum(len(gap) + coalesce(len(hit), 0)) OVER w)::BIGINT AS e
+  FROM (SELECT r, unnest(regexp_split_to_array(text, '{pattern}')) AS gap, unnest(list_append(regexp_extract_all(text, '{pattern}'), NULL)) AS hit,
+               generate_subscripts(regexp_split_to_array(text, '{pattern}'), 1) AS i FROM docs WHERE regexp_matches(text, '{pattern}'))
+  WINDOW w AS (PARTITION BY r ORDER BY i)
+)"""
+        )
+        kept.append(f"SELECT r, {i} AS k, '{name}' AS kind, e - len(hit) AS s, e FROM h{i} WHERE hit IS NOT NULL AND {stands}" + ("" if kind.base else f" AND {score} >= {pii.LEAST_SCORE}"))
+    bases = [i for i, k in enumerate(pii.KINDS) if k.base]
+    alone = [i for i, k in enumerate(pii.KINDS) if not k.base and not k.checked]
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), {", ".join(parts)},
+found AS ({" UNION ALL ".join(kept)}),
+spans AS (
+  SELECT * FROM found f WHERE k NOT IN ({", ".join(map(str, alone))})
+    OR NOT EXISTS (SELECT 1 FROM found b WHERE b.r = f.r AND b.k IN ({", ".join(map(str, bases))}) AND b.s < f.e AND f.s < b.e)
+), told AS (
+  SELECT r, {", ".join(f"count(*) FILTER (WHERE k = {i}) AS n_{pii.KINDS[i].name}" for i in bases)},
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k IN ({", ".join(map(str, bases))})) AS base,
+         string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans
+  FROM spans GROUP BY r
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{pii.KINDS[i].name}, 0)::BIGINT AS n_{pii.KINDS[i].name}" for i in bases)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN told USING (r)
+"""
+
+
+SQL["op12_pii"] = _pii_sql()
