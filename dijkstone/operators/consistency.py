@@ -1,4 +1,4 @@
-"""Do texts and objects say the same? Name matches, signals and their classes."""
+"""Do texts and objects say the same? Signals and their classes; the names in texts are found by ``names``."""
 
 from __future__ import annotations
 
@@ -7,23 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dijkstone.functions.text import whole_word
-
-
-def names_in_texts(texts: DataFrame, names: DataFrame, scope: str, text: str, name: str, least: int = 5, maybe: Column | None = None) -> DataFrame:
-    """Pairs within a scope where the text holds the name as whole words. The scope is an equi-join key, so a hot scope is
-    shared out by adaptive execution; substring containment goes before the costlier pattern."""
-    pairs = texts.join(names.where(F.length(name) >= least), scope)
-    return pairs.where(F.contains(F.lower(text), F.lower(name))).where(whole_word(F.col(text), F.col(name)))
-
-
-def names_by_word(texts: DataFrame, names: DataFrame, text: str, name: str, least: int = 5) -> DataFrame:
-    """The same without a scope: the first word of a name meets the words of the texts, so texts x names are never formed."""
-    head = F.element_at(F.split(F.lower(name), r"(?U)[^\w]+"), 1)
-    keyed = names.where(F.length(name) >= least).withColumn("__w", head)
-    words = texts.withColumn("__w", F.explode(F.array_distinct(F.split(F.lower(text), r"(?U)[^\w]+"))))
-    return words.join(keyed, "__w").where(whole_word(F.col(text), F.col(name))).drop("__w")
-
 
 def consistency_class(annotated: Column, referenced: Column, named: Column, targets_match: Column, not_annotatable: Column) -> Column:
     """One of seven classes; the order of the branches decides, and an unknown reference counts differently in each.

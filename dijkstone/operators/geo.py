@@ -1,6 +1,6 @@
-"""Planar geometry: rings as arrays of struct<x,y>, a grid as the join key, exact tests as residuals.
+"""Planar geometry of single rows: rings as arrays of struct<x,y>, exact tests, grid cells as join keys of points.
 
-A spatial join is an equi-join on grid cells: polygons are exploded to the cells their box covers, points have one cell.
+Joins with polygons, their pieces and their unions are in ``polygons``.
 """
 
 from __future__ import annotations
@@ -66,15 +66,6 @@ def cover(df: DataFrame, cell: float) -> DataFrame:
     return df.withColumn("cx", span("min_x", "max_x")).withColumn("cy", span("min_y", "max_y"))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", rings: str = "rings", cell: float = 1000.0, boundary: bool = True) -> DataFrame:
-    """Pairs of a point and a polygon that holds it; ``boundary`` decides about points on an edge."""
-    cells = cover(with_box(polygons, rings), cell)
-    placed = points.withColumns({"cx": F.floor(F.col(x) / cell).cast("int"), "cy": F.floor(F.col(y) / cell).cast("int")})
-    near = placed.join(cells, ["cx", "cy"]).where(F.col(x).between(F.col("min_x"), F.col("max_x")) & F.col(y).between(F.col("min_y"), F.col("max_y")))
-    test = intersects if boundary else contains
-    return near.where(test(F.col(rings), F.col(x), F.col(y))).drop("cx", "cy", "min_x", "min_y", "max_x", "max_y")
-
-
 def within_distance(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
     """Pairs of points at most ``radius`` apart, with the distance: an equi-join on cells of that width and their neighbours."""
     home = left.withColumns({"cx": F.floor(F.col(lx) / radius).cast("int"), "cy": F.floor(F.col(ly) / radius).cast("int")})
@@ -110,12 +101,6 @@ def parse_wkt(text: Column) -> Column:
     return F.when(body != "", pair)
 
 
-def share_of_area(parts: DataFrame, owners: DataFrame, owner: str) -> DataFrame:
-    """Per owner the summed area of its parts and its share in per cent; parts must not overlap."""
-    summed = parts.groupBy(owner).agg(F.sum("area").alias("part_area"))
-    return owners.join(summed, owner, "left").withColumn("part_area", F.coalesce("part_area", F.lit(0.0))).withColumn("pct", F.round(100 * F.col("part_area") / F.nullif("area", F.lit(0.0)), 2))
-
-
 def tile_envelope(z: Column, x: Column, y: Column) -> Column:
     """Box of a tile; y counts from the top."""
     width = F.lit(TILE_RESOLUTION * TILE_PIXELS) / F.pow(F.lit(2.0), z)

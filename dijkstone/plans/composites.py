@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dijkstone.operators import aggregates as A
 from dijkstone.operators import consistency as K
 from dijkstone.operators import joins as J
+from dijkstone.operators import names as N
 from dijkstone.operators import ranking as R
 from dijkstone.operators import scoring as S
 from dijkstone.plans.registry import query
@@ -18,21 +19,25 @@ def _names(t):
     return t.nation.select(F.col("n_regionkey").alias("scope"), words.alias("name")).distinct()
 
 
+def _named(t):
+    """(doc_id, scope, name): the names of a document's scope that stand in its text."""
+    d = t.documents.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("of"), "text")
+    return N.found(d, _names(t), ["doc_id", "of"], on=F.col("of") == F.col("scope")).select("doc_id", "scope", "name")
+
+
 @query("txt07_name_matches", f"WITH {NAMES_SQL} SELECT doc_id, scope, name FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH}")
 def _(t):
-    d = t.documents.select("doc_id", "text", (F.col("doc_id") % 5).cast("int").alias("scope"))
-    return K.names_in_texts(d, _names(t), "scope", "text", "name").select("doc_id", "scope", "name")
+    return _named(t)
 
 
 @query("txt08_scoped_name_matches", f"WITH {NAMES_SQL} SELECT DISTINCT doc_id, name FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH}")
 def _(t):
-    d = t.documents.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("of"), "text")
-    return K.names_by_word(d, _names(t), "text", "name").where("of = scope").select("doc_id", "name").distinct()
+    return _named(t).select("doc_id", "name").distinct()
 
 
 @query("txt08_all_name_matches", f"WITH {NAMES_SQL} SELECT DISTINCT doc_id, name FROM documents JOIN (SELECT DISTINCT name FROM names) ON {MATCH}")
 def _(t):
-    return K.names_by_word(t.documents.select("doc_id", "text"), _names(t).select("name").distinct(), "text", "name").select("doc_id", "name").distinct()
+    return N.found(t.documents.select("doc_id", "text"), _names(t).select("name").distinct(), ["doc_id"])
 
 
 CONSISTENCY_SQL = f"""WITH {NAMES_SQL}, named AS (SELECT doc_id, name FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH}),
@@ -52,7 +57,7 @@ def _(t):
     n = F.col("doc_id") + F.length("name")
     good = t.labels.where("quality = 1").select("doc_id")
     signals = {
-        "named": K.names_in_texts(d, _names(t), "scope", "text", "name"),
+        "named": _named(t),
         "annotated": good.withColumn("scope", (F.col("doc_id") % 5).cast("int")).join(_names(t), "scope").where(n % 2 == 0),
         "referenced": scoped.where(n % 3 == 0),
     }
@@ -65,7 +70,7 @@ def _(t):
 @query("txt10_named_not_referenced", f"WITH {NAMES_SQL} SELECT doc_id, name FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH} AND (doc_id + length(name)) % 3 <> 0")
 def _(t):
     d = t.documents.select("doc_id", "text", (F.col("doc_id") % 5).cast("int").alias("scope"))
-    named = K.names_in_texts(d, _names(t), "scope", "text", "name").select("doc_id", "name")
+    named = _named(t).select("doc_id", "name")
     refs = d.select("doc_id", "scope").join(_names(t), "scope").where((F.col("doc_id") + F.length("name")) % 3 == 0).select("doc_id", "name")
     return named.join(refs, ["doc_id", "name"], "left_anti")
 
@@ -236,6 +241,4 @@ def _(t):
 
 @query("mv11_reference_consistency", f"WITH {NAMES_SQL} SELECT name, count(*) AS n, count(*) FILTER (WHERE (doc_id + length(name)) % 3 <> 0) AS unreferenced FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH} GROUP BY 1")
 def _(t):
-    d = t.documents.select("doc_id", "text", (F.col("doc_id") % 5).cast("int").alias("scope"))
-    named = K.names_in_texts(d, _names(t), "scope", "text", "name")
-    return named.groupBy("name").agg(F.count("*").alias("n"), F.count_if((F.col("doc_id") + F.length("name")) % 3 != 0).alias("unreferenced"))
+    return _named(t).groupBy("name").agg(F.count("*").alias("n"), F.count_if((F.col("doc_id") + F.length("name")) % 3 != 0).alias("unreferenced"))

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from dijkstone.operators import consistency as K
 from dijkstone.operators import joins as J
+from dijkstone.operators import names as N
 from dijkstone.plans.registry import query
 
 
@@ -145,19 +145,19 @@ def _(t):
     d = t.documents.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("of"), "text")
     name = F.get(F.array(*map(F.lit, NAMED)), F.col("n_nationkey") % 5)
     n = t.nation.select(F.col("n_regionkey").cast("int").alias("scope"), name.alias("name")).distinct()
-    return K.names_by_word(d, n, "text", "name").where("of = scope").select("doc_id", "scope", "name")
+    return N.found(d, n, ["doc_id", "of"], on=F.col("of") == F.col("scope")).select("doc_id", "scope", "name")
 
 
 @query(
     "jn13_whole_name_in_text",
-    r"""SELECT DISTINCT d.doc_id, n.n_regionkey AS scope, lower(n.n_name) AS name FROM documents d JOIN nation n ON d.doc_id % 5 = n.n_regionkey
-        WHERE contains(lower(d.text), lower(n.n_name)) AND regexp_matches(d.text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(n.n_name) || '($|[^\p{L}\p{N}_])')""",
+    r"""WITH n AS (SELECT DISTINCT string_split(lower(p_name), ' ')[1] AS name FROM part UNION SELECT DISTINCT regexp_extract(lower(text), '\pL{5,}') FROM documents WHERE text IS NOT NULL)
+        SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\pL\pM\pN_]+'))) AS name FROM documents) JOIN n USING (name) WHERE length(name) >= 5""",
 )
 def _(t):
-    """Names of nations between word boundaries, by pairs within the scope."""
-    d = t.documents.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("scope"), "text")
-    n = t.nation.select(F.col("n_regionkey").alias("scope"), F.lower("n_name").alias("name"))
-    return K.names_in_texts(d, n, "scope", "text", "name", least=0).select("doc_id", "scope", "name").distinct()
+    """Many names in whole texts: the first words of parts, and the first long word of each document."""
+    words = t.documents.where("text is not null").select(F.regexp_extract(F.lower("text"), r"\pL{5,}", 0).alias("name"))
+    n = t.part.select(F.split(F.lower("p_name"), " ")[0].alias("name")).union(words).distinct()
+    return N.found(t.documents.select("doc_id", "text"), n, ["doc_id"]).select("doc_id", "name")
 
 
 @query(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from dijkstone.operators import geo as G
+from dijkstone.operators import polygons as P
 from dijkstone.plans.registry import query
 
 #: Places of customers and boxes of nations, as both engines compute them.
@@ -14,15 +15,35 @@ def points(t):
     return t.customer.select("c_custkey", "c_nationkey", (F.col("c_custkey") * 7919 % 10007).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 10009).cast("double").alias("y"))
 
 
+def _square(a, b):
+    """A part of the square from (x0, y0) of width w, from a to b of the width both ways."""
+    lo_x, lo_y, hi_x, hi_y = F.col("x0") + F.col("w") * a, F.col("y0") + F.col("w") * a, F.col("x0") + F.col("w") * b, F.col("y0") + F.col("w") * b
+    return F.array(*[F.struct(p.alias("x"), q.alias("y")) for p, q in ((lo_x, lo_y), (hi_x, lo_y), (hi_x, hi_y), (lo_x, hi_y))])
+
+
 def areas(t):
     """Squares with a square hole in the middle third."""
     n = t.nation.select("n_nationkey", (F.col("n_nationkey") * 613 % 8000).cast("double").alias("x0"), (F.col("n_nationkey") * 1453 % 8000).cast("double").alias("y0"), (600 + F.col("n_nationkey") * 40).cast("double").alias("w"))
+    return n.withColumn("rings", F.array(_square(0.0, 1.0), _square(0.25, 0.5)))
+
+
+#: Plots of suppliers: squares with a square hole, of which many overlap.
+PLOTS_SQL = "plots AS (SELECT s_suppkey, s_nationkey AS g, (s_suppkey * 7919 % 5003)::DOUBLE AS x0, (s_suppkey * 104729 % 5009)::DOUBLE AS y0, (200 + s_suppkey % 8 * 100)::DOUBLE AS w FROM supplier)"
 
-    def square(a, b):
-        lo_x, lo_y, hi_x, hi_y = F.col("x0") + F.col("w") * a, F.col("y0") + F.col("w") * a, F.col("x0") + F.col("w") * b, F.col("y0") + F.col("w") * b
-        return F.array(*[F.struct(p.alias("x"), q.alias("y")) for p, q in ((lo_x, lo_y), (hi_x, lo_y), (hi_x, hi_y), (lo_x, hi_y))])
 
-    return n.withColumn("rings", F.array(square(0.0, 1.0), square(0.25, 0.5)))
+def plots(t):
+    k = F.col("s_suppkey")
+    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("g"), (k * 7919 % 5003).cast("double").alias("x0"), (k * 104729 % 5009).cast("double").alias("y0"), (200 + k % 8 * 100).cast("double").alias("w"))
+    return s.withColumn("rings", F.array(_square(0.0, 1.0), _square(0.25, 0.5)))
+
+
+def _union_sql(parts):
+    """The area that any of the squares with holes in ``parts`` (g, x0, y0, w) covers, by the cells between all their borders."""
+    lines = lambda c: " UNION ".join(f"SELECT g, {c} + {k} * w AS v FROM {parts}" for k in (0, 0.25, 0.5, 1))
+    inside = "x BETWEEN p.x0 AND p.x0 + p.w AND y BETWEEN p.y0 AND p.y0 + p.w AND NOT (x BETWEEN p.x0 + 0.25 * p.w AND p.x0 + 0.5 * p.w AND y BETWEEN p.y0 + 0.25 * p.w AND p.y0 + 0.5 * p.w)"
+    return f"""xs AS (SELECT g, v AS a, lead(v) OVER (PARTITION BY g ORDER BY v) AS b FROM ({lines("x0")})), ys AS (SELECT g, v AS a, lead(v) OVER (PARTITION BY g ORDER BY v) AS b FROM ({lines("y0")})),
+  fields AS (SELECT xs.g, (xs.a + xs.b) / 2 AS x, (ys.a + ys.b) / 2 AS y, (xs.b - xs.a) * (ys.b - ys.a) AS area FROM xs JOIN ys ON xs.g = ys.g WHERE xs.b IS NOT NULL AND ys.b IS NOT NULL),
+  unions AS (SELECT g, sum(area) AS area FROM fields f WHERE EXISTS (SELECT 1 FROM {parts} p WHERE p.g = f.g AND {inside}) GROUP BY g)"""
 
 
 IN = "x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + w AND NOT (x > x0 + w * 0.25 AND x < x0 + w * 0.5 AND y > y0 + w * 0.25 AND y < y0 + w * 0.5)"
@@ -30,7 +51,7 @@ IN = "x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + w AND NOT (x > x0 + w *
 
 @query("geo01_point_in_polygon", f"WITH {POINTS_SQL}, {AREAS_SQL} SELECT c_custkey, n_nationkey FROM points, areas WHERE {IN}")
 def _(t):
-    return G.points_in_polygons(points(t), areas(t).select("n_nationkey", "rings")).select("c_custkey", "n_nationkey")
+    return P.holders(points(t), areas(t).select("n_nationkey", "rings")).select("c_custkey", "n_nationkey")
 
 
 @query(
@@ -38,7 +59,41 @@ def _(t):
     f"WITH {POINTS_SQL}, {AREAS_SQL} SELECT c_custkey, n_nationkey FROM points, areas WHERE x > x0 AND x < x0 + w AND y > y0 AND y < y0 + w AND NOT (x >= x0 + w * 0.25 AND x <= x0 + w * 0.5 AND y >= y0 + w * 0.25 AND y <= y0 + w * 0.5)",
 )
 def _(t):
-    return G.points_in_polygons(points(t), areas(t).select("n_nationkey", "rings"), boundary=False).select("c_custkey", "n_nationkey")
+    return P.holders(points(t), areas(t).select("n_nationkey", "rings"), boundary=False).select("c_custkey", "n_nationkey")
+
+
+@query(
+    "geo01_mixed_sizes",
+    f"""WITH {POINTS_SQL}, {AREAS_SQL}, s AS (SELECT 'tiny' AS kind, s_suppkey AS id, (s_suppkey * 7919 % 10007 - 1)::DOUBLE AS x0, (s_suppkey * 104729 % 10009 - 1)::DOUBLE AS y0, 2.0 AS w FROM supplier
+        UNION ALL SELECT 'huge', r_regionkey, r_regionkey * 1000.0, -150000.0, 300000.0 FROM region UNION ALL SELECT 'area', * FROM areas)
+        SELECT c_custkey, kind, id FROM points JOIN s ON x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + w AND (kind <> 'area' OR NOT (x > x0 + w * 0.25 AND x < x0 + w * 0.5 AND y > y0 + w * 0.25 AND y < y0 + w * 0.5))""",
+)
+def _(t):
+    """Polygons from 2 metres to 300 kilometres wide in one join."""
+    k, shape = F.col("s_suppkey"), lambda d: d.select("kind", "id", F.array(_square(0.0, 1.0)).alias("rings"))
+    tiny = t.supplier.select(F.lit("tiny").alias("kind"), k.cast("long").alias("id"), (k * 7919 % 10007 - 1).cast("double").alias("x0"), (k * 104729 % 10009 - 1).cast("double").alias("y0"), F.lit(2.0).alias("w"))
+    huge = t.region.select(F.lit("huge").alias("kind"), F.col("r_regionkey").cast("long").alias("id"), (F.col("r_regionkey") * 1000.0).alias("x0"), F.lit(-150000.0).alias("y0"), F.lit(300000.0).alias("w"))
+    some = areas(t).select(F.lit("area").alias("kind"), F.col("n_nationkey").cast("long").alias("id"), "rings")
+    return P.holders(points(t), shape(tiny).union(shape(huge)).union(some)).select("c_custkey", "kind", "id")
+
+
+CORNERS = 720
+GEAR_SQL = f"SELECT s_suppkey, i, (40 + (i * 37 + s_suppkey) % 50) * cos(2 * pi() * i / {CORNERS}) AS x, (40 + (i * 37 + s_suppkey) % 50) * sin(2 * pi() * i / {CORNERS}) AS y FROM supplier, range({CORNERS}) r(i)"
+
+
+@query(
+    "geo02_subdivided",
+    f"""WITH p AS ({GEAR_SQL}), n AS (SELECT *, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM p WINDOW w AS (PARTITION BY s_suppkey ORDER BY i))
+        SELECT s_suppkey, round(abs(sum(x * y2 - x2 * y)) / 2, 3) AS area, true AS small FROM n GROUP BY 1""",
+)
+def _(t):
+    """Polygons of 720 corners in pieces of 256 at most, whose areas sum to theirs."""
+    far = lambda i: 40 + (i * 37 + F.col("s_suppkey")) % 50
+    at = lambda i: F.struct((far(i) * F.cos(2 * F.pi() * i / CORNERS)).alias("x"), (far(i) * F.sin(2 * F.pi() * i / CORNERS)).alias("y"))
+    gears = t.supplier.select("s_suppkey", F.array(F.transform(F.sequence(F.lit(0), F.lit(CORNERS - 1)), at)).alias("rings"))
+    area = F.aggregate("rings", F.lit(0.0), lambda s, r: s + G.area(r))
+    pieces = P.subdivide(gears).select("s_suppkey", area.alias("area"), F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r)).alias("n"))
+    return pieces.groupBy("s_suppkey").agg(F.round(F.sum("area"), 3).alias("area"), (F.max("n") <= P.MAX_VERTICES).alias("small"))
 
 
 @query("geo02_cell_cover", f"WITH {AREAS_SQL} SELECT n_nationkey, cx::INTEGER AS cx, cy::INTEGER AS cy FROM areas, range(0, 20) a(cx), range(0, 20) b(cy) WHERE cx BETWEEN floor(x0 / 500) AND floor((x0 + w) / 500) AND cy BETWEEN floor(y0 / 500) AND floor((y0 + w) / 500)")
@@ -64,19 +119,44 @@ def _(t):
     return G.nearest_band(G.within_distance(points(t), s, 600.0), "c_custkey").withColumn("distance", F.round("distance", 6))
 
 
-@query("geo05_share_of_area", f"WITH {AREAS_SQL} SELECT n_regionkey, round(sum(w * w), 2) AS part_area, round(100 * sum(w * w) / 25e6, 2) AS pct FROM areas JOIN nation USING (n_nationkey) GROUP BY 1")
+@query(
+    "geo05_share_of_area",
+    f"WITH {PLOTS_SQL}, {_union_sql('plots')} SELECT n_nationkey, count(s_suppkey) AS n_parts, round(coalesce(any_value(area), 0), 2) AS part_area, round(100 * coalesce(any_value(area), 0) / 25e6, 2) AS pct FROM nation LEFT JOIN plots ON plots.g = n_nationkey LEFT JOIN unions ON unions.g = n_nationkey GROUP BY 1",
+)
 def _(t):
-    parts = areas(t).withColumn("area", G.area(F.col("rings")[0])).join(t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey")
-    owners = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.lit(25e6).alias("area"))
-    return G.share_of_area(parts, owners, "n_regionkey").select("n_regionkey", F.round("part_area", 2).alias("part_area"), "pct")
+    """Plots of a nation overlap; what several cover counts once."""
+    owners = t.nation.select(F.col("n_nationkey").alias("g"), F.lit(25e6).alias("area"))
+    return P.shares(plots(t), owners, "g").select(F.col("g").alias("n_nationkey"), "n_parts", F.round("part_area", 2).alias("part_area"), "pct")
 
 
-@query("geo06_group_geometry", "SELECT n_regionkey, (2 * count(*))::INTEGER AS n_rings FROM nation GROUP BY 1")
+@query("geo06_group_geometry", f"WITH {PLOTS_SQL}, {_union_sql('plots')} SELECT g, round(any_value(area), 2) AS area, min(x0) AS min_x, min(y0) AS min_y, max(x0 + w) AS max_x, max(y0 + w) AS max_y FROM plots JOIN unions USING (g) GROUP BY g")
 def _(t):
-    from dijkstone.sources.tables import group_geometry
+    """The dissolved geometry of each group: pieces without overlap."""
+    box = [f(c).alias(name) for name, f, c in (("min_x", F.min, F.least("left0", "left1")), ("min_y", F.min, F.col("y0")), ("max_x", F.max, F.greatest("right0", "right1")), ("max_y", F.max, F.col("y1")))]
+    return P.dissolve(plots(t), "g").groupBy("g").agg(F.round(F.sum("area"), 2).alias("area"), *box)
+
 
-    members = areas(t).join(t.nation.select("n_nationkey", "n_regionkey"), "n_nationkey")
-    return group_geometry(members, "n_regionkey", "rings").select("n_regionkey", F.size("rings").alias("n_rings"))
+@query("src23_group_geometry", f"WITH {PLOTS_SQL}, {_union_sql('plots')} SELECT n_nationkey AS g, round(CASE WHEN n_nationkey % 3 = 0 THEN area ELSE power(600 + n_nationkey * 40, 2) * 15 / 16 END, 2) AS area FROM nation LEFT JOIN unions ON g = n_nationkey WHERE n_nationkey % 3 <> 0 OR area IS NOT NULL")
+def _(t):
+    """Groups keep the geometry that they have; where it is still unknown, their members' union takes its place."""
+    k = F.col("n_nationkey")
+    groups = areas(t).select(k.alias("g"), F.when(k % 3 != 0, F.col("rings")).alias("rings"))
+    piece = G.area(F.col("rings")[0]) - F.coalesce(G.area(F.get("rings", F.lit(1))), F.lit(0.0))
+    return P.group_geometry(groups, plots(t), "g").groupBy("g").agg(F.round(F.sum(piece), 2).alias("area"))
+
+
+@query(
+    "mv08_area_statistics",
+    f"""WITH {PLOTS_SQL}, {AREAS_SQL}, c AS (SELECT *, x0 + w * (0.5 - 0.375 / 16) / (15 / 16.0) AS cx, y0 + w * (0.5 - 0.375 / 16) / (15 / 16.0) AS cy FROM plots),
+        held AS (SELECT a.n_nationkey AS g, s_suppkey, c.x0, c.y0, c.w FROM areas a JOIN c ON cx > a.x0 AND cx < a.x0 + a.w AND cy > a.y0 AND cy < a.y0 + a.w), {_union_sql('held')}
+        SELECT n_nationkey, w * w AS area, (SELECT count(*) FROM held WHERE held.g = n_nationkey) AS n_parts, round(coalesce(unions.area, 0), 2) AS part_area, round(coalesce(unions.area, 0) / (w * w) * 100, 2) AS pct FROM areas LEFT JOIN unions ON unions.g = n_nationkey""",
+)
+def _(t):
+    """Of each municipality the number, the united area and the share of the plots whose centroid lies in it."""
+    towns = areas(t).select("n_nationkey", F.array(F.col("rings")[0]).alias("rings"), (F.col("w") * F.col("w")).alias("area"))
+    centred = plots(t).withColumn("c", P.centroid_of(F.col("rings"))).select("s_suppkey", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
+    held = P.holders(centred, towns.select("n_nationkey", "rings"), boundary=False).select("n_nationkey", "s_suppkey").join(plots(t).select("s_suppkey", "rings"), "s_suppkey")
+    return P.shares(held, towns.select("n_nationkey", "area"), "n_nationkey").select("n_nationkey", "area", "n_parts", F.round("part_area", 2).alias("part_area"), "pct")
 
 
 @query("geo07_extent", f"WITH {POINTS_SQL} SELECT c_nationkey, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM points GROUP BY 1")

@@ -77,11 +77,6 @@ def late_dimension(dimension: DataFrame, facts: DataFrame, key: str, kind: str =
     return dimension.unionByName(missing, allowMissingColumns=True)
 
 
-def group_geometry(members: DataFrame, group: str, rings: str) -> DataFrame:
-    """Geometry of a group: the rings of all its members together."""
-    return members.groupBy(group).agg(F.array_sort(F.flatten(F.collect_list(rings))).alias(rings))
-
-
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, sort_by: list[str] | None = None) -> None:
     """Parquet, in partitions if asked; sorted within files so that row-group statistics prune."""
     if sort_by:

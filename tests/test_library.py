@@ -13,6 +13,7 @@ from dijkstone.operators import classify as C
 from dijkstone.operators import consistency as K
 from dijkstone.operators import geo as G
 from dijkstone.operators import joins as J
+from dijkstone.operators import polygons
 from dijkstone.operators import predicates as P
 from dijkstone.operators import ranking as R
 from dijkstone.operators import scoring as S
@@ -74,8 +75,8 @@ def test_geometry(spark):
     areas = spark.range(1).select(F.explode(F.array(F.struct(F.lit("hole").alias("n"), hole.alias("rings")), F.struct(F.lit("ell").alias("n"), ell.alias("rings")))).alias("a")).select("a.*")
     pts = [(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 0.0, 5.0), (4, 10.0, 10.0), (5, 4.0, 5.0), (6, 25.0, 5.0), (7, 22.0, 9.0), (8, 24.0, 7.0), (9, 50.0, 50.0)]
     points = spark.createDataFrame(pts, "id int, x double, y double")
-    assert values(G.points_in_polygons(points, areas, cell=3.0), "id") == [(1,), (3,), (4,), (5,), (7,), (8,)]
-    assert values(G.points_in_polygons(points, areas, cell=3.0, boundary=False), "id") == [(1,), (7,)]
+    assert values(polygons.holders(points, areas), "id") == [(1,), (3,), (4,), (5,), (7,), (8,)]
+    assert values(polygons.holders(points, areas, boundary=False), "id") == [(1,), (7,)]
     one = spark.range(1)
     assert one.select(G.area(G.ring([(0, 0), (4, 0), (4, 3), (0, 3)]))).first()[0] == 12.0
     p = one.select(G.parse_wkt(F.lit("POINT (3 4)")), G.parse_wkt(F.lit("LINE")), G.simplify(G.ring([(0, 0), (1, 0), (2, 0), (9, 0)]), 2.0)).first()
