@@ -47,16 +47,17 @@ def _(t):
 
 @query(
     "cls04_case_number",
-    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'GU-Z2026-' || lpad((o_orderkey % 100000)::VARCHAR, 7, '0') WHEN 1 THEN 'OMV.24.' || o_orderkey WHEN 2 THEN NULL ELSE '2026-000' || o_orderkey END AS case_number FROM orders",
+    "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'KM-Z2031-' || lpad((o_orderkey % 100000)::VARCHAR, 7, '0') WHEN 1 THEN 'brug/' || o_orderkey || '.7' WHEN 2 THEN NULL WHEN 3 THEN '2031K' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') ELSE 'p' || o_orderkey || '-x' END AS case_number FROM orders",
 )
 def _(t):
     k = F.col("o_orderkey")
-    s = k.cast("string")
+    s, padded = k.cast("string"), lambda n, w: F.lpad((k % n).cast("string"), w, "0")
     text = (
-        F.when(k % 4 == 0, F.concat(F.lit("zaaknummer GU-Z2026-"), F.lpad((k % 100000).cast("string"), 7, "0"), F.lit(" blabla")))
-        .when(k % 4 == 1, F.concat(F.lit("Dossiernummer: OMV.24."), s, F.lit(".")))
-        .when(k % 4 == 2, F.lit("Zaaknummer:\nOmschrijving: iets"))
-        .otherwise(F.concat(F.lit("Referentienummer: 2026-000"), s))
+        F.when(k % 5 == 0, F.concat(F.lit("Over de steiger, bekend als KM-Z2031-"), padded(100000, 7), F.lit(", is besloten")))
+        .when(k % 5 == 1, F.concat(F.lit("In dit dossiernr. vindt u niets; zie kenmerk brug/"), s, F.lit(".7; en verder")))
+        .when(k % 5 == 2, F.lit("Kenmerk onbekend, aanvraagnummer volgt"))
+        .when(k % 5 == 3, F.concat(F.lit("Stuk 2031K"), padded(10000, 4), F.lit(" ligt ter inzage")))
+        .otherwise(F.concat(F.lit("Uw referentie: p"), s, F.lit("-x")))
     )
     return t.orders.select("o_orderkey", C.case_number(text).alias("case_number"))
 
