@@ -229,39 +229,36 @@ FROM v JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id
 
 
 def _url_sql() -> str:
-    """The template tree, one block of common table expressions for each level."""
+    """The template tree, one level for each step of the recursion."""
     u, split = url_filter, "string_split(regexp_replace(path, '^/', ''), '/')"
     digits = f"list_transform({split}, lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' ELSE s END)"
-    blocks, d = [], u.DEPTH
-    for i in range(d):
-        blocks.append(
-            f"""c{i} AS (SELECT host, template, segs[{i + 1}] AS seg, sum(n) AS n, sum(seen) AS seen, sum(bad) AS bad FROM t{i} WHERE len(segs) > {i} GROUP BY ALL),
-a{i} AS (SELECT *, sum(n) OVER w AS all_n, sum(seen) OVER w AS all_seen, sum(bad) OVER w AS all_bad FROM c{i} WINDOW w AS (PARTITION BY host, template)),
-e{i} AS (SELECT host, template, seg, CASE WHEN n >= greatest({u.LEAST_URLS}, all_n * {u.LEAST_SHARE}) AND
-  coalesce(abs(bad / nullif(seen, 0) - (all_bad - bad) / nullif(all_seen - seen, 0)) / nullif(sqrt(all_bad / nullif(all_seen, 0) * (1 - all_bad / nullif(all_seen, 0)) * (1 / nullif(seen, 0) + 1 / nullif(all_seen - seen, 0))), 0), 0) >= {u.LEAST_Z}
-  THEN seg ELSE '*' END AS lit FROM a{i}),
-t{i + 1} AS (SELECT t.host, t.segs, t.n, t.seen, t.bad, CASE WHEN len(segs) > {i} THEN t.template || '/' || e.lit ELSE t.template END AS template
-  FROM t{i} t LEFT JOIN e{i} e ON t.host = e.host AND t.template = e.template AND t.segs[{i + 1}] = e.seg)"""
-        )
     rules = sorted(RULES, key=lambda r: -len(r[1]))
     fits = lambda r: f"(host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND starts_with(path, '/{r.partition('/')[2]}')"
     case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[1])} THEN '{r[k]}'" for r in rules) + " END"
     k = u.PRIOR_PAGES
     return f"""
-WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*(/?[^?#]*)', 1) AS path FROM r),
-g AS (SELECT *, {digits} AS s FROM h),
-p AS (SELECT page_id, host, path, CASE WHEN len(s) > {d} THEN list_concat(s[1 : {d - 1}], [array_to_string(s[{d} :], '/')]) ELSE s END AS segs FROM g),
+p AS (SELECT *, {digits} AS segs FROM h),
 l AS (SELECT doc_id AS page_id, max((toxic = 1 OR quality = 0)::INTEGER) AS bad FROM labels GROUP BY 1),
 raw AS (SELECT host, segs, count(*) AS n, count(bad) AS seen, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN l USING (page_id) GROUP BY ALL),
-t0 AS (SELECT *, '' AS template FROM raw),
-{", ".join(blocks)},
+tree(level, host, segs, n, seen, bad, template) AS (
+  SELECT 0, host, segs, n, seen, bad, '' FROM raw
+  UNION ALL
+  SELECT level + 1, host, segs, n, seen, bad, CASE WHEN seg IS NULL THEN template ELSE template || '/' || CASE WHEN sn >= {u.LEAST_URLS} AND
+    coalesce(abs(sb / nullif(ss, 0) - (ab - sb) / nullif(a - ss, 0)) / nullif(sqrt(ab / nullif(a, 0) * (1 - ab / nullif(a, 0)) * (1 / nullif(ss, 0) + 1 / nullif(a - ss, 0))), 0), 0) >= {u.LEAST_Z} THEN seg ELSE '*' END END
+  FROM (
+    SELECT *, sum(n) OVER w AS sn, sum(seen) OVER w AS ss, sum(bad) OVER w AS sb, sum(seen) OVER v AS a, sum(bad) OVER v AS ab
+    FROM (SELECT *, segs[level + 1] AS seg FROM tree WHERE level < (SELECT max(len(segs)) FROM raw))
+    WINDOW w AS (PARTITION BY host, template, seg), v AS (PARTITION BY host, template, seg IS NULL)
+  )
+), leaves AS (SELECT * FROM tree WHERE level = (SELECT max(len(segs)) FROM raw)),
 o AS (SELECT coalesce((sum(seen) - sum(bad) + 1) / (sum(seen) + 1), 1) AS overall FROM raw),
 hosts AS (SELECT host, (sum(seen) - sum(bad) + {k} * any_value(overall)) / (sum(seen) + {k}) AS of_host FROM raw, o GROUP BY 1),
-pure AS (SELECT t.host, template, (sum(seen) - sum(bad) + {k} * any_value(of_host)) / (sum(seen) + {k}) AS purity FROM t{d} t JOIN hosts USING (host) GROUP BY ALL)
+pure AS (SELECT t.host, template, (sum(seen) - sum(bad) + {k} * any_value(of_host)) / (sum(seen) + {k}) AS purity FROM leaves t JOIN hosts USING (host) GROUP BY ALL)
 SELECT page_id, p.host, path, {case(1).replace("host", "p.host")} AS rule,
   coalesce({case(0).replace("host", "p.host")}, CASE WHEN purity < {u.LEAST_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, t.template, round(purity, 6) AS purity
-FROM p LEFT JOIN t{d} t ON p.host = t.host AND p.segs = t.segs LEFT JOIN pure ON pure.host = t.host AND pure.template = t.template
+FROM p LEFT JOIN leaves t ON p.host = t.host AND p.segs = t.segs LEFT JOIN pure ON pure.host = t.host AND pure.template = t.template
 """
 
 

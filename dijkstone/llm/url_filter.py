@@ -7,7 +7,8 @@ z-test) from that of its siblings; similar and rare branches merge into the wild
 towards its host's and that towards the overall purity, is below ``least_purity``.
 
 The tree is built from counts of distinct digit-free templates, aggregated before any shuffle; the pages themselves meet
-only the finished verdicts. Segments beyond ``depth`` count as one.
+only the finished verdicts. Levels are walked as long as some template has ``LEAST_URLS`` urls that go deeper; beyond that no
+branch can stay literal, so all further segments are wildcards.
 
 Defined results: a null url, or one without ``://``, has an empty host and an empty path, and is judged like any other
 host. Null labels and labels of unknown pages don't count; repeated pages count each. With no label everything without a
@@ -22,10 +23,7 @@ from pyspark.sql import functions as F
 from dijkstone.llm.common import discard, materialize, splittable_join
 
 RESULTS = ("host", "path", "rule", "verdict", "template", "purity")
-DEPTH = 8
 LEAST_URLS = 20
-#: Only the operator's SQL still asks for this share of the parent's urls as well: it differs beyond 2,000 urls a parent.
-LEAST_SHARE = 0.01
 LEAST_Z = 2.58
 #: Labelled pages that a prior counts as, and the purity below which a template is blocked.
 PRIOR_PAGES, LEAST_PURITY = 20.0, 0.7
@@ -50,29 +48,26 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def _segments(path: Column, depth: int) -> Column:
-    """Path segments with those that hold digits as wildcards; what lies deeper than ``depth`` is one segment."""
-    s = F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda x: F.when(F.rlike(x, F.lit("[0-9]")), "*").otherwise(x))
-    return F.when(F.size(s) > depth, F.concat(F.slice(s, 1, depth - 1), F.array(F.array_join(F.slice(s, depth, F.greatest(F.size(s) - depth + 1, F.lit(1))), "/")))).otherwise(s)
+def _segments(path: Column) -> Column:
+    """Path segments with those that hold digits as wildcards."""
+    return F.transform(F.split(F.regexp_replace(path, "^/", ""), "/"), lambda x: F.when(F.rlike(x, F.lit("[0-9]")), "*").otherwise(x))
 
 
 def judge(
-    pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "page_id", bad_col: str = "bad", depth: int = DEPTH
+    pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", label_id: str = "page_id", bad_col: str = "bad"
 ) -> DataFrame:
     """``pages`` with host, path, rule, verdict, template and purity. ``labels``: which pages (label_id) are bad (0 or 1)."""
     pages = pages.drop(*(c for c in RESULTS if c not in (id_col, url_col)))
     names = pages.columns
     host, path = host_and_path(F.col(url_col))
-    pages = pages.withColumns({"host": host, "path": path}).withColumn("__segments", _segments(F.col("path"), depth))
+    pages = pages.withColumns({"host": host, "path": path}).withColumn("__segments", _segments(F.col("path")))
     known = labels.where(F.col(label_id).isNotNull() & F.col(bad_col).isNotNull()).groupBy(F.col(label_id).alias("__id")).agg(F.max(F.col(bad_col).cast("int")).alias("__bad"))
     counted = pages.select(F.col(id_col).alias("__id"), "host", "__segments").join(known, "__id", "left")
     sums = [F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad")]
     raw = counted.groupBy("host", F.col("__segments").alias("segments")).agg(F.count("*").alias("n"), F.count("__bad").alias("seen"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("bad"))
     raw = materialize(raw, "templates")
-    deepest = raw.agg(F.max(F.size("segments"))).first()[0] or 0
-
-    tree, before = raw.withColumn("template", F.lit("")), None
-    for level in range(deepest):
+    tree, before, level = raw.withColumn("template", F.lit("")), None, 0
+    while not tree.where(F.size("segments") > level).groupBy("host", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_URLS).isEmpty():
         here = F.get("segments", F.lit(level))
         child = tree.where(here.isNotNull()).groupBy("host", "template", here.alias("segment")).agg(*sums)
         parent = child.groupBy("host", "template").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"))
@@ -88,6 +83,8 @@ def judge(
         below = materialize(below, "tree")  # each level is one pass over the templates
         discard(before)
         tree = before = below
+        level += 1
+    tree = tree.withColumn("template", F.concat("template", F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))))
 
     sums_ = raw.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
     overall = (sums_[0] - sums_[1] + 1) / (sums_[0] + 1)

@@ -41,3 +41,17 @@ def test_a_bad_branch_of_a_large_host_is_blocked(spark):
     out = judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), [])
     got = {(x.template, x.verdict): x.n for x in out.groupBy("template", "verdict").agg(F.count("*").alias("n")).collect()}
     assert got == {("/gd/*", "block"): 50, ("/*/*", "allow"): 9950}
+
+
+def test_deep_paths_long_urls_and_repeated_pages(spark):
+    """Twelve levels down a branch is still told apart; a path of thousands of segments takes no rounds of its own."""
+    deep = "/".join("abcdefghijkl")
+    urls = [(i, f"http://h.org/{deep}/{'spam' if i % 2 else 'shop'}/x") for i in range(400)]
+    urls += [(1000, "http://h.org/" + "/".join(["z"] * 5000)), (1000, "http://h.org/" + "/".join(["z"] * 5000)), (1, urls[1][1])]
+    labels = [(i, i % 2) for i in range(400)]
+    out = judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), [])
+    got = {x.page_id: x for x in out.collect()}
+    assert out.count() == len(urls)
+    assert got[1].verdict == "block" and got[2].verdict == "allow"
+    assert got[1].template == "/*" * 12 + "/spam/*" and got[2].template == "/*" * 12 + "/shop/*"
+    assert got[1000].template == "/*" * 5000  # judged by its host, half of which is bad
