@@ -1,5 +1,7 @@
 """Derived tables and reports that put several operators together."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dijkstone.operators import aggregates as A
@@ -9,6 +11,8 @@ from dijkstone.operators import names as N
 from dijkstone.operators import ranking as R
 from dijkstone.operators import scoring as S
 from dijkstone.plans.registry import query
+from dijkstone.sources.storage import shared_dir
+from dijkstone.sources.versions import Versions
 
 NAMES_SQL = "names AS (SELECT DISTINCT n_regionkey AS scope, CASE n_nationkey % 5 WHEN 0 THEN 'thing' WHEN 1 THEN 'erble' WHEN 2 THEN 'attion' WHEN 3 THEN 'nicht' ELSE 'ontion' END AS name FROM nation)"
 MATCH = "regexp_matches(text, '(?i)(^|[^\\p{L}\\p{N}_])' || name || '($|[^\\p{L}\\p{N}_])')"
@@ -242,3 +246,24 @@ def _(t):
 @query("mv11_reference_consistency", f"WITH {NAMES_SQL} SELECT name, count(*) AS n, count(*) FILTER (WHERE (doc_id + length(name)) % 3 <> 0) AS unreferenced FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH} GROUP BY 1")
 def _(t):
     return _named(t).groupBy("name").agg(F.count("*").alias("n"), F.count_if((F.col("doc_id") + F.length("name")) % 3 != 0).alias("unreferenced"))
+
+
+@query(
+    "mv12_refresh",
+    f"""WITH {NAMES_SQL}, named AS (SELECT doc_id, name FROM documents JOIN names ON doc_id % 5 = scope WHERE {MATCH})
+        SELECT 0::BIGINT AS place, 'unfit' AS step, count(*) AS n_rows FROM documents WHERE text IS NULL OR n_chars < 200
+        UNION ALL SELECT 1, 'hashes', count(DISTINCT md5(coalesce(text, ''))) FROM documents UNION ALL SELECT 2, 'names', count(*) FROM named
+        UNION ALL SELECT 3, 'consistency', count(DISTINCT name) FROM named WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE text IS NULL OR n_chars < 200)""",
+)
+def _(t):
+    """Derived tables refreshed step by step and published as one version; the rows are the run's ledger."""
+    steps = [
+        ("unfit", lambda read: t.documents.where("text is null or n_chars < 200").select("doc_id")),
+        ("hashes", lambda read: t.documents.select(F.md5(F.coalesce("text", F.lit(""))).alias("hash")).distinct()),
+        ("names", lambda read: _named(t)),
+        ("consistency", lambda read: read("names").join(read("unfit"), "doc_id", "left_anti").groupBy("name").agg(F.count("*").alias("n"))),
+    ]
+    versions = Versions(t.spark, f"{shared_dir(t.spark)}/refresh-{uuid.uuid4().hex}")
+    versions.refresh("run", steps)
+    lines = [(x["place"], x["step"], x["rows"]) for x in versions.ledger("run").values()]
+    return t.spark.createDataFrame(lines, "place long, step string, n_rows long")

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dijkstone.operators import patches as P
 from dijkstone.operators import trees as T
 from dijkstone.plans.registry import query
 
@@ -151,3 +152,38 @@ def _(t):
 )
 def _(t):
     return T.unique_labels(t.conversations, ["conv_id"], "role", "turn").select("conv_id", "turn", "label_id")
+
+
+EDITS_SQL = """edits AS (SELECT id, parent_id, heading, op, rank, event_id % 2 + 1 AS version FROM (
+  SELECT event_id, CASE event_type WHEN 'error' THEN 3 WHEN 'click' THEN 2 WHEN 'signup' THEN 1 END AS rank, event_type AS op,
+         CASE WHEN event_type = 'signup' THEN 'x' || event_id WHEN event_id % 10 = 0 THEN 'n' || user_id % 25 ELSE 'c' || (event_id % 1500 + 1) END AS id,
+         CASE WHEN event_type = 'click' AND event_id % 10 = 0 THEN 'r' || event_id % 5 WHEN event_type = 'click' THEN 'n' || user_id % 25 ELSE 'n' || user_id % 30 END AS parent_id, 'h' || event_id % 7 AS heading
+  FROM events WHERE event_id % 3 = 0 OR event_type = 'signup') WHERE rank IS NOT NULL AND (rank < 3 OR id LIKE 'c%'))"""
+
+
+def _version_sql(k, before):
+    """One version over the table ``before``: what is put, what dies below the removed, what is lost without a parent."""
+    return f"""
+  p{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank DESC, parent_id DESC, heading DESC) AS n FROM edits WHERE version = {k}) WHERE n = 1),
+  kept{k} AS (SELECT * FROM {before} WHERE id NOT IN (SELECT id FROM p{k} WHERE rank < 3)),
+  dead{k}(id) AS (SELECT id FROM p{k} WHERE rank = 3 UNION SELECT t.id FROM kept{k} t JOIN dead{k} d ON t.parent_id = d.id),
+  after{k} AS (SELECT * FROM kept{k} WHERE id NOT IN (SELECT id FROM dead{k}) UNION ALL SELECT id, parent_id, heading FROM p{k} WHERE rank < 3),
+  lost{k}(id) AS (SELECT a.id FROM after{k} a JOIN p{k} USING (id) WHERE a.parent_id NOT IN (SELECT id FROM after{k}) UNION SELECT c.id FROM after{k} c JOIN lost{k} l ON c.parent_id = l.id),
+  tree{k} AS (SELECT * FROM after{k} WHERE id NOT IN (SELECT id FROM lost{k}))"""
+
+
+@query("src17_patched_tree", f"WITH RECURSIVE {NODES_SQL}, tree0 AS (SELECT id, parent_id, heading FROM nodes), {EDITS_SQL}, {_version_sql(1, 'tree0')}, {_version_sql(2, 'tree1')} SELECT * FROM tree2")
+def _(t):
+    """The hierarchy after two versions of additions, changes and removals; views of an event are context and change nothing."""
+    e, kind = t.events.where("event_id % 3 = 0 or event_type = 'signup'"), F.col("event_type")
+    named = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    tenth, user = F.col("event_id") % 10 == 0, F.col("user_id")
+    patches = e.select(
+        F.when(kind == "signup", named("x", F.col("event_id"))).when(tenth, named("n", user % 25)).otherwise(named("c", F.col("event_id") % 1500 + 1)).alias("id"),
+        F.when((kind == "click") & tenth, named("r", F.col("event_id") % 5)).when(kind == "click", named("n", user % 25)).otherwise(named("n", user % 30)).alias("parent_id"),
+        named("h", F.col("event_id") % 7).alias("heading"),
+        F.when(kind == "error", P.REMOVE).when(kind == "click", P.CHANGE).when(kind == "signup", P.ADD).alias("op"),
+        (F.col("event_id") % 2 + 1).alias("version"),
+    )
+    patches = patches.where((F.col("op") != P.REMOVE) | F.startswith(F.col("id"), F.lit("c")))
+    return P.replay(nodes(t).select("id", "parent_id", "heading"), patches)
