@@ -19,7 +19,6 @@ ADD, CHANGE, REMOVE = "toevoegen", "wijzigen", "verwijderen"
 ACTIONS = {"voegtoe": ADD, "nieuweContainer": ADD, "verwijder": REMOVE, "verwijderContainer": REMOVE}
 #: What an item without an operation means by its kind; other kinds are context and are skipped.
 DEFAULTS = {"annotatie": ADD, "locatie": ADD}
-_DEPTH = 10_000
 
 
 def operation(action):
@@ -59,12 +58,12 @@ def patched(tree: DataFrame, patches: DataFrame, op: str = "op", id_col: str = "
 
     tree = tree.where(F.col(id_col).isNotNull())
     kept = materialize(tree.join(put.select(id_col), id_col, "left_anti"), "kept")  # moved nodes aren't below their old parents any more
-    dead = trees.subtree(kept, removed, id_col, parent_col, _DEPTH).select(F.col("id").alias(id_col)).distinct()
+    dead = trees.subtree(kept, removed, id_col, parent_col).select(F.col("id").alias(id_col)).distinct()
     after = materialize(kept.join(dead, id_col, "left_anti").select(*columns).unionByName(put), "after")
 
     there = after.select(F.col(id_col).alias(parent_col)).distinct()
     loose = after.join(put.select(id_col), id_col, "left_semi").where(F.col(parent_col).isNotNull()).join(there, parent_col, "left_anti")
-    lost = trees.subtree(after, loose.select(F.col(id_col).alias("root")), id_col, parent_col, _DEPTH).select(F.col("id").alias(id_col)).distinct()
+    lost = trees.subtree(after, loose.select(F.col(id_col).alias("root")), id_col, parent_col).select(F.col("id").alias(id_col)).distinct()
     return after.join(lost, id_col, "left_anti").select(*columns)
 
 

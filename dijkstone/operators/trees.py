@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from dijkstone.sources.storage import discard, materialize
 
 
+#: Levels of a walk that ends by itself; only a cycle would reach it.
+ANY_DEPTH = 10_000
+
+
 def ancestors(nodes: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 25) -> DataFrame:
     """(id, ancestor, depth): every ancestor of every node up to ``max_depth`` levels, the parent at depth 1."""
     first = nodes.where(F.col(parent_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(parent_col).alias("ancestor"), F.lit(1).alias("depth"))
@@ -64,7 +68,7 @@ def climb(nodes: DataFrame, start: DataFrame, id_col: str = "id", parent_col: st
     return reduce(DataFrame.unionByName, _levels(own, step, "climb", max_depth)[1:], own.where("false"))
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = 25) -> DataFrame:
+def subtree(nodes: DataFrame, roots: DataFrame, id_col: str = "id", parent_col: str = "parent_id", max_depth: int = ANY_DEPTH) -> DataFrame:
     """(root, id, depth): all nodes at or below each root (column root), walked down from the roots."""
     down = nodes.where(F.col(parent_col).isNotNull()).select(F.col(parent_col).alias("id"), F.col(id_col).alias("__c"))
     top = roots.select("root").distinct().select("root", F.col("root").alias("id"), F.lit(0).alias("depth"))
@@ -111,7 +115,7 @@ def flag_subtrees(nodes: DataFrame, flagged: Column, name: str, id_col: str = "i
 def changed_with_ancestors(nodes: DataFrame, changed: Column, id_col: str = "id", parent_col: str = "parent_id") -> DataFrame:
     """Changed nodes and all above them: what a view of changes shows."""
     ids = nodes.where(changed).select(F.col(id_col).alias("id"))
-    up = climb(nodes, ids, id_col, parent_col).select(F.col("ancestor").alias("id"))
+    up = climb(nodes, ids, id_col, parent_col, ANY_DEPTH).select(F.col("ancestor").alias("id"))
     return nodes.join(ids.union(up).distinct().withColumnRenamed("id", id_col), id_col, "left_semi")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from dijkstone.operators import geo as G
 from dijkstone.operators import polygons as P
+from dijkstone.operators import simplify as S
 from dijkstone.plans.registry import query
 
 #: Places of customers and boxes of nations, as both engines compute them.
@@ -176,6 +177,42 @@ def _(t):
     return p.select("c_custkey", "tile.tx", "tile.ty", G.level_for_zoom(F.col("z")).alias("level"), F.round(box["min_x"], 4).alias("min_x"))
 
 
+def _rough(t):
+    """Plots with 40 points an edge, off the line by less than 1; every third plot has a notch 50 deep in its first edge."""
+    k, w, x0, y0 = F.col("s_suppkey"), F.col("w"), F.col("x0"), F.col("y0")
+
+    def at(i):
+        edge, j = F.floor(i / 40), i % 40
+        notch = F.when(k % 3 == 0, 50 * (1 - F.abs(j - 20) / 20)).otherwise(0.0)
+        off = F.when(j == 0, 0.0).when(edge == 0, notch).otherwise(((j * 7 + k) % 10) / 10)
+        along = j / 40 * w
+        x = F.when(edge == 0, x0 + along).when(edge == 1, x0 + w - off).when(edge == 2, x0 + w - along).otherwise(x0 + off)
+        y = F.when(edge == 0, y0 + off).when(edge == 1, y0 + along).when(edge == 2, y0 + w - off).otherwise(y0 + w - along)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return plots(t).withColumn("rings", F.array(F.transform(F.sequence(F.lit(0), F.lit(159)), at)))
+
+
+SIMPLE_SQL = "(4 + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END)::INTEGER AS n_points, round(w * w - CASE WHEN s_suppkey % 3 = 0 THEN 25 * w ELSE 0 END, 3) AS area"
+
+
+def _told(df, *more):
+    return df.select("s_suppkey", F.size(F.col("rings")[0]).alias("n_points"), F.round(G.area(F.col("rings")[0]), 3).alias("area"), *more)
+
+
+@query("geo09_generalised", f"WITH {PLOTS_SQL} SELECT s_suppkey, {SIMPLE_SQL} FROM plots WHERE w >= 300")
+def _(t):
+    """Rings without the points that move a line by less than the tolerance; small plots aren't to be seen."""
+    rough = _rough(t)
+    return _told(S.generalise(rough.where("w >= 300").union(rough.where("w < 300").withColumn("rings", F.transform("rings", lambda r: F.slice(r, 1, 1)))), 1.0))
+
+
+@query("geo07_within_budget", f"WITH {PLOTS_SQL} SELECT s_suppkey, {SIMPLE_SQL}, CASE WHEN w >= 400 THEN 2.0 ELSE 8.0 END::DOUBLE AS tolerance FROM plots")
+def _(t):
+    """The finest step of the ladder that draws a plot, 800 pixels wide, in 100 characters."""
+    return _told(S.within_budget(_rough(t).withColumn("pixel", F.col("w") / 800), "pixel", budget=100), "tolerance")
+
+
 @query("geo09_visible", f"WITH {AREAS_SQL} SELECT n_nationkey, 4::INTEGER AS n_points FROM areas WHERE w >= 900")
 def _(t):
     seen = G.visible_at(G.with_box(areas(t), "rings"), 900.0)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from dijkstone.sources.storage import materialize
 from pyspark.sql import types as T
 
 
@@ -46,19 +50,23 @@ def geojson_features(spark: SparkSession, path: str, properties: str) -> DataFra
     return spark.read.option("multiLine", "true").schema(schema).json(path).select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry").alias("geometry"))
 
 
-def component_tree(df: DataFrame, key: str, payload: str, max_depth: int = 12) -> DataFrame:
+def component_tree(df: DataFrame, key: str, payload: str) -> DataFrame:
     """Flatten a JSON component tree (id, title, children) to nodes with parent, depth and pre-order place.
 
-    One level a step: every step explodes the children of the level before; levels are bounded by ``max_depth``.
+    One level a step, whatever the depth: every step explodes the children of the level before, which is written.
     """
     node = "struct<id:string,title:string,children:array<string>>"
     level = df.select(key, F.from_json(payload, node).alias("n"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.array(F.lit(0)).alias("place"))
-    out = level
-    for depth in range(1, max_depth):
+    out, depth = [], 0
+    while True:
+        level = materialize(level, "components")
+        out.append(level)
         kids = level.where(F.size("n.children") > 0).select(key, F.col("n.id").alias("parent_id"), "place", F.posexplode("n.children").alias("i", "json"))
+        if kids.isEmpty():
+            break
+        depth += 1
         level = kids.select(key, F.from_json("json", node).alias("n"), "parent_id", F.lit(depth).alias("depth"), F.concat("place", F.array("i")).alias("place"))
-        out = out.unionByName(level)
-    return out.where("n.id is not null").select(key, F.col("n.id").alias("id"), "parent_id", F.col("n.title").alias("title"), "depth", "place")
+    return reduce(DataFrame.unionByName, out).where("n.id is not null").select(key, F.col("n.id").alias("id"), "parent_id", F.col("n.title").alias("title"), "depth", "place")
 
 
 def fallback_rows(facts: DataFrame, main: str, other: str) -> DataFrame:
