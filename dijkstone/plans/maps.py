@@ -209,8 +209,8 @@ def _(t):
 
 @query("geo07_within_budget", f"WITH {PLOTS_SQL} SELECT s_suppkey, {SIMPLE_SQL}, CASE WHEN w >= 400 THEN 2.0 ELSE 8.0 END::DOUBLE AS tolerance FROM plots")
 def _(t):
-    """The finest step of the ladder that draws a plot, 800 pixels wide, in 100 characters."""
-    return _told(S.within_budget(_rough(t).withColumn("pixel", F.col("w") / 800), "pixel", budget=100), "tolerance")
+    """The finest step of the ladder that draws a plot, 800 pixels wide, in 72 characters."""
+    return _told(S.within_budget(_rough(t).withColumn("pixel", F.col("w") / 800), "pixel", budget=72), "tolerance")
 
 
 @query("geo09_visible", f"WITH {AREAS_SQL} SELECT n_nationkey, 4::INTEGER AS n_points FROM areas WHERE w >= 900")
