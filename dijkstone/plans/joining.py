@@ -150,6 +150,18 @@ def _(t):
 
 @query(
     "jn13_whole_name_in_text",
+    r"""SELECT DISTINCT d.doc_id, n.n_regionkey AS scope, lower(n.n_name) AS name FROM documents d JOIN nation n ON d.doc_id % 5 = n.n_regionkey
+        WHERE contains(lower(d.text), lower(n.n_name)) AND regexp_matches(d.text, '(?i)(^|[^\p{L}\p{N}_])' || regexp_escape(n.n_name) || '($|[^\p{L}\p{N}_])')""",
+)
+def _(t):
+    """Names of nations between word boundaries, within the scope."""
+    d = t.documents.select("doc_id", (F.col("doc_id") % 5).cast("int").alias("of"), "text")
+    n = t.nation.select(F.col("n_regionkey").alias("scope"), F.lower("n_name").alias("name"))
+    return N.found(d, n, ["doc_id", "of"], least=0, on=F.col("of") == F.col("scope")).select("doc_id", "scope", "name").distinct()
+
+
+@query(
+    "jn13_many_names",
     r"""WITH n AS (SELECT DISTINCT string_split(lower(p_name), ' ')[1] AS name FROM part UNION SELECT DISTINCT regexp_extract(lower(text), '\pL{5,}') FROM documents WHERE text IS NOT NULL)
         SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\pL\pM\pN_]+'))) AS name FROM documents) JOIN n USING (name) WHERE length(name) >= 5""",
 )
