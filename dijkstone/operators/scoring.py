@@ -161,6 +161,22 @@ def nearest_centroid(vectors: DataFrame, vector: str, key: str, label: str, clas
     return out if least is None else out.withColumn("nearest", F.when(F.col("similarity") >= least, F.col("nearest")))
 
 
+def text_fallback(texts: DataFrame, scopes: list[DataFrame], terms: list[str], key: str, fields: list[str], order: list[str], least: int = 5) -> DataFrame:
+    """Rows of the keys in any scope where a term begins a word of any field, the first in order for each key.
+
+    Terms of fewer letters than ``least`` say too little and go; without any other nothing is found. The scopes cut the texts
+    down before a text is searched.
+    """
+    kept = sorted({x.strip().lower() for x in terms if len(x.strip()) >= least})
+    if not kept:
+        return texts.where(F.lit(False))
+    pattern = r"(?iU)(?<!\w)(" + "|".join(re.escape(x) for x in kept) + ")"
+    within = reduce(DataFrame.unionByName, [s.select(key) for s in scopes]).distinct()
+    found = reduce(Column.__or__, [F.coalesce(F.rlike(f, F.lit(pattern)), F.lit(False)) for f in fields])
+    hits = texts.join(within, key, "left_semi").where(found)
+    return hits.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
 def word_overlap(a: DataFrame, b: DataFrame, key_a: str, key_b: str, words: str, least: int = 5, share: float = 0.3) -> DataFrame:
     """Pairs of texts that share more than max(least, share x words of the first) distinct words of four letters or more."""
     long = lambda d, k: d.select(k, F.explode(F.array_distinct(F.filter(words, lambda w: F.length(w) >= 4))).alias("w"))

@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for m in ("filters", "joining", "counting", "ranked", "hierarchy", "texts", "classes", "maps", "loads", "composites"):
+    for m in ("filters", "joining", "counting", "ranked", "hierarchy", "texts", "classes", "maps", "loads", "composites", "searches"):
         import_module(f"dijkstone.plans.{m}")
 
 
