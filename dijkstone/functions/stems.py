@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values of the published algorithm: vowels, letters that lose their accent, and endings that lose a letter.
@@ -100,7 +100,7 @@ def _single_vowel(w: Column) -> Column:
 
 
 def dutch_stem(word: Column) -> Column:
-    """The stem of a word; null stays null. For a few words, or inside lambdas: ``with_stems`` is faster on rows."""
+    """The stem of a word; null stays null."""
 
     def steps(w, p1, p2):
         third = lambda one: _let(_without_e(one, p1), lambda two: _let(_heid(two, p1, p2), lambda x: _derived(x, p1, p2, one != two)))
@@ -108,13 +108,3 @@ def dutch_stem(word: Column) -> Column:
 
     regions = lambda w: F.struct(w.alias("w"), *[p.alias(n) for n, p in zip(("p1", "p2"), _regions(w))])
     return _let(_let(_let(_marked(word), regions), lambda s: steps(s["w"], s["p1"], s["p2"])), _single_vowel)
-
-
-def with_stems(df: DataFrame, word: str, stem: str) -> DataFrame:
-    """``df`` with the stems of a column of words: a projection for each step, so that all is compiled and worked out once."""
-    w, p1, p2, one = "__w", "__p1", "__p2", "__one"
-    first, second = _regions(F.col(w))
-    marked = df.withColumn(w, _marked(F.col(word))).withColumns({p1: first, p2: second})
-    plural = marked.withColumn(one, _plural(F.col(w), F.col(p1))).withColumn(w, _without_e(F.col(one), F.col(p1)))
-    lost = plural.withColumn(one, F.col(one) != F.col(w)).withColumn(w, _heid(F.col(w), F.col(p1), F.col(p2)))
-    return lost.withColumn(w, _derived(F.col(w), F.col(p1), F.col(p2), F.col(one))).withColumn(stem, _single_vowel(F.col(w))).drop(w, p1, p2, one)

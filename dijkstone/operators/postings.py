@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dijkstone.functions.stems import dutch_stem, with_stems
+from dijkstone.functions.stems import dutch_stem
 from dijkstone.functions.text import tokens
 
 #: Fixed value: words of a search by beginnings.
@@ -15,9 +15,15 @@ HEAD = 2
 
 
 def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, at, term): every word of every text with its place, and how many words the text has."""
+    """(id, n, at, term): every word of every text with its place, and how many words the text has.
+
+    Each different word is stemmed once and joined back; both sides are shuffled by word unless the words are found to be few, so
+    that adaptive execution can split a frequent word.
+    """
     words = docs.select(F.col(key).alias("id"), tokens(F.col(text), []).alias("w"))
-    return with_stems(words.select("id", F.size("w").alias("n"), F.posexplode("w").alias("at", "word")), "word", "term").drop("word")
+    places = words.select("id", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
+    stems = words.select(F.explode("w").alias("word")).distinct().withColumn("term", dutch_stem(F.col("word")))
+    return places.join(stems, "word").drop("word")
 
 
 class Postings:

@@ -60,11 +60,11 @@ def _index(t):
 
 @query("txt04_stems", f"WITH {STEMS_SQL} SELECT DISTINCT word, term FROM stems JOIN (SELECT unnest(ws) AS word FROM k) USING (word)")
 def _(t):
-    from dijkstone.functions.stems import with_stems
+    from dijkstone.functions.stems import dutch_stem
     from dijkstone.functions.text import tokens
 
     words = t.documents.select(F.explode(tokens(F.col("text"), [])).alias("word")).distinct()
-    return with_stems(words, "word", "term")
+    return words.withColumn("term", dutch_stem(F.col("word")))
 
 
 @query("txt04_any_of_index", f"WITH {STEMS_SQL} SELECT doc_id, count(DISTINCT term) AS n_terms FROM places WHERE term IN {_asked(ANY)} GROUP BY 1")
