@@ -42,7 +42,7 @@ class Postings:
         return F.pmod(F.xxhash64(F.left(term, F.lit(HEAD))), F.lit(self.heads)).cast("int")
 
     def write(self, docs: DataFrame, key: str, text: str, slices: int = 32) -> Postings:
-        """Index all texts. One shuffle: a task takes a slice of the documents of a head, and counts and sorts there."""
+        """Index all texts. Words that have met their stems are shuffled once more: a task counts and sorts a slice of a head."""
         rows = occurrences(docs, key, text).withColumns({"head": self._head(F.col("term")), "slice": F.pmod(F.xxhash64("id"), F.lit(slices))})
         held = rows.repartition("head", "slice").groupBy("head", "slice", "term", "id", "n").agg(F.array_sort(F.collect_list("at")).alias("places"))
         held = held.withColumn("tf", F.size("places")).drop("slice").sortWithinPartitions("head", "term", "id")
