@@ -25,18 +25,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from dijkstone.operators.geo import inside, with_box
 from dijkstone.sources.storage import materialize
+from dijkstone.sources.tables import scattered
 
 MAX_VERTICES = 256
 #: Edges of a cell that are swept together; halvings of a cell in a round; rounds after which it is swept whatever it holds.
 CELL_EDGES, HALVINGS, ROUNDS = 400, 4, 5
 
+#: Points of the rows that are handed on together.
+_BATCH_POINTS = 50_000
 _POINTS = "array<array<struct<x:double,y:double>>>"
 _EDGES = "array<struct<ax:double,ay:double,bx:double,by:double>>"
 
@@ -48,24 +51,24 @@ def _half(ring: np.ndarray, axis: int, at: float, upper: bool) -> np.ndarray:
     keep = ring[:, axis] >= at if upper else ring[:, axis] <= at
     if keep.all():
         return ring
-    out, n = [], len(ring)
-    for i in range(n):
-        a, b, in_a, in_b = ring[i], ring[(i + 1) % n], keep[i], keep[(i + 1) % n]
-        if in_a:
-            out.append(a)
-        if in_a != in_b:
-            t = (at - a[axis]) / (b[axis] - a[axis])
-            p = a + t * (b - a)
-            p[axis] = at
-            out.append(p)
-    return _straightened(out)
-
-
-def _straightened(points: list[np.ndarray]) -> np.ndarray:
+    after = np.roll(keep, -1)
+    cut = np.flatnonzero(keep != after)
+    a, b = ring[cut], ring[(cut + 1) % len(ring)]
+    t = (at - a[:, axis]) / (b[:, axis] - a[:, axis])
+    p = a + t[:, None] * (b - a)
+    p[:, axis] = at
+    order = np.argsort(np.concatenate((2 * np.flatnonzero(keep), 2 * cut + 1)))
+    return _straightened(np.concatenate((ring[keep], p))[order])
+
+
+def _straightened(points: np.ndarray) -> np.ndarray:
     """A ring without repeated points and without those between others on one upright or level line. What ran outside of a
     box leaves many of these along its border."""
+    same = points[1:] == points[:-1]
+    if not same.all(axis=1).any() and not (same[1:] & same[:-1]).any():
+        return points
     out: list[tuple[float, float]] = []
-    for x, y in np.array(points).reshape(-1, 2).tolist():
+    for x, y in points.tolist():
         while out and (out[-1] == (x, y) or (len(out) > 1 and (out[-2][0] == out[-1][0] == x or out[-2][1] == out[-1][1] == y))):
             out.pop()
         out.append((x, y))
@@ -76,8 +79,12 @@ def clip(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> lis
     """The part of rings within a box (x0, y0, x1, y1); parts that only run along its border have no area and are dropped."""
     out = []
     for r in rings:
+        low, high = r.min(axis=0), r.max(axis=0)
+        if low[0] > box[2] or high[0] < box[0] or low[1] > box[3] or high[1] < box[1]:
+            continue
         for axis, at, upper in ((0, box[0], True), (0, box[2], False), (1, box[1], True), (1, box[3], False)):
-            r = _half(r, axis, at, upper)
+            if low[axis] < at if upper else high[axis] > at:
+                r = _half(r, axis, at, upper)
         if len(r) > 2 and np.ptp(r[:, 0]) > 0 and np.ptp(r[:, 1]) > 0:
             out.append(r)
     return out
@@ -88,6 +95,29 @@ def _rings(value) -> list[np.ndarray]:
     return [r for r in found if np.isfinite(r).all()]
 
 
+def _ring_lists(column: pa.ListArray) -> list[list[np.ndarray]]:
+    """Of each row the rings of three points or more, all of them finite."""
+    offsets, inner = column.offsets.to_numpy(), column.values
+    ends, there = inner.offsets.to_numpy(), inner.is_valid().to_numpy(zero_copy_only=False)
+    xy = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in inner.values.flatten()])
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(xy).all(axis=1))))
+    good = there & (ends[1:] - ends[:-1] > 2) & (bad[ends[1:]] == bad[ends[:-1]])
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    return [[] if gone else [xy[ends[k] : ends[k + 1]] for k in range(a, b) if good[k]] for gone, a, b in zip(null, offsets, offsets[1:])]
+
+
+def _lists(arrays, names: tuple[str, ...]) -> pa.ListArray:
+    """Arrays (n x names) as an Arrow list of structs for each."""
+    flat = np.concatenate(arrays).reshape(-1, len(names)) if len(arrays) else np.zeros((0, len(names)))
+    values = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, k])) for k in range(len(names))], names=list(names))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), values)
+
+
+def _polygons(many: list[list[np.ndarray]]) -> pa.ListArray:
+    """Polygons as an Arrow list of rings for each."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, many)]), pa.int32()), _lists([r for rings in many for r in rings], ("x", "y")))
+
+
 def _box(rings: list[np.ndarray]) -> tuple[float, float, float, float]:
     flat = np.concatenate(rings)
     return (*flat.min(axis=0), *flat.max(axis=0))
@@ -134,41 +164,42 @@ def pieces_of(rings: list[np.ndarray], max_vertices: int):
             todo += [(q, clip(part, q), edges) for q in _halves(b)]
 
 
-def _as_rows(rings: list[np.ndarray]):
-    return [[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]
-
-
 def subdivide(polygons: DataFrame, rings: str = "rings", max_vertices: int = MAX_VERTICES) -> DataFrame:
     """``polygons`` without ``rings``, a row for each piece: piece (number), min_x, min_y, max_x, max_y, last_x, last_y (the
     box also has its upper border), rings (clipped, max_vertices points at most) and edges."""
     names = [c for c in polygons.columns if c != rings]
     more = f"piece int, min_x double, min_y double, max_x double, max_y double, last_x boolean, last_y boolean, rings {_POINTS}, edges {_EDGES}"
     schema = T.StructType([*polygons.select(*names).schema, *T._parse_datatype_string(more)])
-    arrow = to_arrow_schema(T._parse_datatype_string(more))
+
+    def made(batch, of, rows):
+        number, boxes, tops, parts, edges = zip(*rows)
+        box, top = np.array(boxes, float), np.array(tops, float)
+        columns = [pa.array(number, pa.int32()), *(pa.array(np.ascontiguousarray(c)) for c in box.T), *(pa.array(box[:, k] == top[:, k]) for k in (2, 3))]
+        return _beside(batch, names, of, columns + [_polygons(parts), _lists(edges, ("ax", "ay", "bx", "by"))], schema.names)
 
     def run(batches):
         for batch in batches:
-            for i, value in enumerate(batch.column("__rings").to_pylist()):
-                whole = _rings(value)
-                if not whole:
-                    continue
-                top, rows = _box(whole), []
+            of, rows, size = [], [], 0
+            for i, whole in enumerate(_ring_lists(batch.column("__rings"))):
+                top = _box(whole) if whole else None
                 for k, (b, part, edges) in enumerate(pieces_of(whole, max_vertices)):
-                    told = [dict(zip(("ax", "ay", "bx", "by"), e)) for e in edges.tolist()]
-                    values = (k, *map(float, b), bool(b[2] == top[2]), bool(b[3] == top[3]), _as_rows(part), told)
-                    rows.append(dict(zip(arrow.names, values)))
-                    if len(rows) >= 500:
-                        yield _beside(batch, names, i, pa.RecordBatch.from_pylist(rows, arrow))
-                        rows = []
-                yield _beside(batch, names, i, pa.RecordBatch.from_pylist(rows, arrow))
+                    of.append(i)
+                    rows.append((k, b, top, part, edges))
+                    size += sum(map(len, part)) + 2 * len(edges)
+                    if size >= _BATCH_POINTS:
+                        yield made(batch, of, rows)
+                        of, rows, size = [], [], 0
+            if rows:
+                yield made(batch, of, rows)
 
-    return polygons.select(*names, F.col(rings).cast(_POINTS).alias("__rings")).mapInArrow(run, schema)
+    spread = scattered(polygons.select(*names, F.col(rings).cast(_POINTS).alias("__rings")))
+    return spread.mapInArrow(run, schema)
 
 
-def _beside(batch, names, i, made):
-    """Row ``i`` of a batch beside each row that was made of it."""
-    at = pa.array([i] * made.num_rows, pa.int32())
-    return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *made.columns], names=[*names, *made.schema.names])
+def _beside(batch, names, of, columns, all_names):
+    """Columns that were made of the rows ``of`` of a batch beside these."""
+    at = pa.array(of, pa.int32())
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *columns], names=all_names)
 
 
 # ---------------------------------------------------------------- quadtree keys
@@ -292,28 +323,38 @@ def _parts(rings, box, cell: int, halvings: int):
             yield from _parts(part, half, 2 * cell + side, halvings - 1)
 
 
-def _cut(arrow: pa.Schema):
+def _cut(names: list[str]):
     """Members of cells in the parts of their cell."""
 
+    def made(batch, of, rows):
+        cells, boxes, parts = zip(*rows)
+        columns = [pa.array(cells, pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in np.array(boxes, float).T), _polygons(parts)]
+        columns += [pa.array([sum(map(len, p)) for p in parts], pa.int32()), pa.array([_covers(p, b) for p, b in zip(parts, boxes)])]
+        return _beside(batch, ["grp"], of, columns, names)
+
     def run(batches):
         for batch in batches:
-            for i, row in enumerate(batch.to_pylist()):
-                rows = []
-                for cell, box, part in _parts(_rings(row["rings"]), (row["x0"], row["y0"], row["x1"], row["y1"]), row["cell"], HALVINGS):
-                    values = (cell, *map(float, box), _as_rows(part), sum(map(len, part)), _covers(part, box))
-                    rows.append(dict(zip(arrow.names, values)))
-                if rows:
-                    yield _beside(batch, ["grp"], i, pa.RecordBatch.from_pylist(rows, arrow))
+            cells, boxes = batch.column("cell").to_pylist(), zip(*(batch.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1")))
+            of, rows, size = [], [], 0
+            for i, (rings, cell, box) in enumerate(zip(_ring_lists(batch.column("rings")), cells, boxes)):
+                for row in _parts(rings, box, cell, HALVINGS):
+                    of.append(i)
+                    rows.append(row)
+                    size += sum(map(len, row[2]))
+                    if size >= _BATCH_POINTS:
+                        yield made(batch, of, rows)
+                        of, rows, size = [], [], 0
+            if rows:
+                yield made(batch, of, rows)
 
     return run
 
 
 def _swept(cell: pa.Table) -> pa.Table:
     """The trapezoids of one cell."""
-    rows = cell.to_pylist()
-    x0, y0, x1, y1 = (rows[0][c] for c in ("x0", "y0", "x1", "y1"))
-    full = any(r["covers"] for r in rows)
-    t = np.array([[y0, y1, x0, x0, x1, x1]]) if full else sweep([_rings(r["rings"]) for r in rows])
+    x0, y0, x1, y1 = (cell.column(c)[0].as_py() for c in ("x0", "y0", "x1", "y1"))
+    full = pc.any(cell.column("covers")).as_py()
+    t = np.array([[y0, y1, x0, x0, x1, x1]]) if full else sweep(_ring_lists(cell.column("rings").combine_chunks()))
     group = cell.column("grp").take(pa.array([0] * len(t), pa.int32()))
     return pa.Table.from_arrays([group, *map(pa.array, t.T)], names=["grp", *(c.split()[0] for c in _SHAPE.split(", "))])
 
@@ -344,7 +385,7 @@ def dissolve(members: DataFrame, group: str, rings: str = "rings", cell_edges: i
         rest = met.where(~full).select(*own)
         if turn == ROUNDS or rest.isEmpty():
             break
-        now = rest.mapInArrow(_cut(to_arrow_schema(cell)), schema)
+        now = scattered(rest).mapInArrow(_cut(schema.names), schema)
     ready = done[0]
     for d in done[1:]:
         ready = ready.union(d)

@@ -6,6 +6,7 @@ from dijkstone.operators import geo as G
 from dijkstone.operators import polygons as P
 from dijkstone.operators import simplify as S
 from dijkstone.plans.registry import query
+from dijkstone.sources.tables import scattered
 
 #: Places of customers and boxes of nations, as both engines compute them.
 POINTS_SQL = "points AS (SELECT c_custkey, c_nationkey, (c_custkey * 7919 % 10007)::DOUBLE AS x, (c_custkey * 104729 % 10009)::DOUBLE AS y FROM customer)"
@@ -91,7 +92,7 @@ def _(t):
     """Polygons of 720 corners in pieces of 256 at most, whose areas sum to theirs."""
     far = lambda i: 40 + (i * 37 + F.col("s_suppkey")) % 50
     at = lambda i: F.struct((far(i) * F.cos(2 * F.pi() * i / CORNERS)).alias("x"), (far(i) * F.sin(2 * F.pi() * i / CORNERS)).alias("y"))
-    gears = t.supplier.select("s_suppkey", F.array(F.transform(F.sequence(F.lit(0), F.lit(CORNERS - 1)), at)).alias("rings"))
+    gears = scattered(t.supplier.select("s_suppkey")).select("s_suppkey", F.array(F.transform(F.sequence(F.lit(0), F.lit(CORNERS - 1)), at)).alias("rings"))
     area = F.aggregate("rings", F.lit(0.0), lambda s, r: s + G.area(r))
     pieces = P.subdivide(gears).select("s_suppkey", area.alias("area"), F.aggregate("rings", F.lit(0), lambda s, r: s + F.size(r)).alias("n"))
     return pieces.groupBy("s_suppkey").agg(F.round(F.sum("area"), 3).alias("area"), (F.max("n") <= P.MAX_VERTICES).alias("small"))

@@ -16,6 +16,13 @@ def table(spark: SparkSession, base: str, name: str, schema: T.StructType | None
     return reader.parquet(f"{base}/{name}.parquet")
 
 
+def scattered(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as the session shuffles to, by a hash of its rows. A small file whose rows each become much
+    work is one split, and adaptive execution would gather a shuffle without a number for its few bytes."""
+    plain = [c for c in df.columns if "map<" not in df.schema[c].dataType.simpleString()]
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *plain)
+
+
 def xml_rows(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str) -> DataFrame:
     """Rows of XML files by their tag (also .gz), with a schema, so nothing is read twice."""
     return spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true").schema(schema).load(path)

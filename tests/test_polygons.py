@@ -122,3 +122,23 @@ def test_shares_and_centroids(spark):
     assert got == {"a": (2, 13.0, 13.0), "b": (1, 4.5, 0.0), "c": (0, 0.0, 0.0)}
     at = {x.id: (round(x.c.x, 9), round(x.c.y, 9)) for x in spark.createDataFrame(shapes, SHAPE).select("id", P.centroid_of(F.col("rings")).alias("c")).collect()}
     assert at == {0: (2.0, 2.0), 1: (1.0, 1.0), 2: (1.0, 1.0)}
+
+
+def test_one_split_of_polygons_is_cut_in_many_tasks(spark):
+    shapes = [(i, "g", [star(random.Random(i), 40, 0, 0, 10)]) for i in range(64)]
+    df = spark.createDataFrame(rows(shapes), SHAPE).coalesce(1)
+    out = P.subdivide(df, max_vertices=16)
+    assert out.select("id", F.spark_partition_id().alias("p")).distinct().select("p").distinct().count() > 1
+    got = {x.id: x.n for x in out.groupBy("id").agg(F.count("*").alias("n")).collect()}
+    assert got == {i: len(list(P.pieces_of([np.array(s[0], float)], 16))) for i, _, s in shapes}
+
+
+def test_rings_with_gaps_are_left_out():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    at = lambda *p: [{"x": x, "y": y} for x, y in p]
+    fine = at((0.0, 0.0), (1.0, 0.0), (0.0, 1.0))
+    column = pa.array([None, [], [None, fine], [[*fine, None], at((0.0, None), *square(0, 0, 1)), fine[:2]], [fine, fine]], kind)
+    for part in (column, column.slice(1, 4), column.slice(2, 1)):
+        assert [len(r) for r in P._ring_lists(part)] == [0, 0, 1, 0, 2][part.offset : part.offset + len(part)]
