@@ -405,7 +405,8 @@ def shares(members: DataFrame, owners: DataFrame, owner: str, rings: str = "ring
     counts = members.groupBy(owner).agg(F.count("*").alias("n_parts"))
     out = owners.join(counts, owner, "left").join(union_area(members, owner, rings), owner, "left")
     part = F.coalesce("union_area", F.lit(0.0))
-    pct = F.when(F.col("area") > 0, F.round(100 * part / F.col("area"), 2)).otherwise(0.0)
+    # As SQL engines round doubles: 1.275 is less than its digits say, so it becomes 1.27.
+    pct = F.when(F.col("area") > 0, F.round(100 * part / F.col("area") * 100) / 100).otherwise(0.0)
     return out.withColumns({"n_parts": F.coalesce("n_parts", F.lit(0)), "part_area": part, "pct": pct}).drop("union_area")
 
 

@@ -142,3 +142,10 @@ def test_rings_with_gaps_are_left_out():
     column = pa.array([None, [], [None, fine], [[*fine, None], at((0.0, None), *square(0, 0, 1)), fine[:2]], [fine, fine]], kind)
     for part in (column, column.slice(1, 4), column.slice(2, 1)):
         assert [len(r) for r in P._ring_lists(part)] == [0, 0, 1, 0, 2][part.offset : part.offset + len(part)]
+
+
+def test_shares_are_rounded_as_doubles(spark):
+    """1.275 % in doubles is a little less, so SQL says 1.27."""
+    owners = spark.createDataFrame([("a", 25e6)], "grp string, area double")
+    shapes = rows([(0, "a", [[(0, 0), (637.5, 0), (637.5, 500), (0, 500)]])])
+    assert [x.pct for x in P.shares(spark.createDataFrame(shapes, SHAPE), owners, "grp").collect()] == [1.27]
