@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dijkstone.operators.geo import visible_at, with_box
+from dijkstone.sources.tables import scattered
 
 #: Tolerances in pixels that are tried in turn, and the characters that a drawing may have.
 LADDER, BUDGET = (0.5, 2.0, 8.0), 60_000
@@ -27,8 +28,10 @@ def _distance(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of points from the segment a-b."""
     d, v = b - a, points - a
     long = float(d @ d)
-    t = np.clip(v @ d / long, 0, 1) if long else np.zeros(len(points))
-    return np.hypot(*(v - t[:, None] * d).T)
+    if not long:
+        return np.hypot(v[:, 0], v[:, 1])
+    t = np.minimum(np.maximum(v @ d / long, 0), 1)
+    return np.hypot(v[:, 0] - t * d[0], v[:, 1] - t * d[1])
 
 
 def kept_points(line: np.ndarray, tolerance: float) -> np.ndarray:
@@ -85,7 +88,7 @@ def generalise(df: DataFrame, tolerance: float, rings: str = "rings") -> DataFra
     box = ("min_x", "min_y", "max_x", "max_y")
     seen = visible_at(with_box(df.drop(*box), rings), tolerance).drop(*box)
     names, schema, run = _mapped(seen, rings, "", lambda value, _: (None if value is None else _rings(value, tolerance),))
-    return seen.select(*names, F.col(rings).cast(_POINTS), F.lit(0.0).alias("__none")).mapInArrow(run, schema)
+    return scattered(seen.select(*names, F.col(rings).cast(_POINTS), F.lit(0.0).alias("__none"))).mapInArrow(run, schema)
 
 
 def _characters(rings) -> int:
@@ -107,7 +110,7 @@ def within_budget(df: DataFrame, pixel: str, rings: str = "rings", budget: int =
 
     given = df.drop("tolerance")
     names, schema, run = _mapped(given, rings, ", tolerance double", each)
-    return given.select(*names, F.col(rings).cast(_POINTS), F.col(pixel).cast("double").alias("__pixel")).mapInArrow(run, schema)
+    return scattered(given.select(*names, F.col(rings).cast(_POINTS), F.col(pixel).cast("double").alias("__pixel"))).mapInArrow(run, schema)
 
 
 def source_hash(rings: str = "rings"):

@@ -35,7 +35,7 @@ PLOTS_SQL = "plots AS (SELECT s_suppkey, s_nationkey AS g, (s_suppkey * 7919 % 5
 
 def plots(t):
     k = F.col("s_suppkey")
-    s = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("g"), (k * 7919 % 5003).cast("double").alias("x0"), (k * 104729 % 5009).cast("double").alias("y0"), (200 + k % 8 * 100).cast("double").alias("w"))
+    s = scattered(t.supplier.select("s_suppkey", "s_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("g"), (k * 7919 % 5003).cast("double").alias("x0"), (k * 104729 % 5009).cast("double").alias("y0"), (200 + k % 8 * 100).cast("double").alias("w"))
     return s.withColumn("rings", F.array(_square(0.0, 1.0), _square(0.25, 0.5)))
 
 

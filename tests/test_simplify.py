@@ -46,3 +46,14 @@ def test_only_changed_sources_are_made_again(spark):
     marked = stored.withColumn("rings", S.F.when(S.F.col("id") == 1, S.F.array().cast(S._POINTS)).otherwise(S.F.col("rings")))  # to be recognised
     new = spark.createDataFrame(rows([(1, [square], 1.0), (2, [other], 1.0), (4, [square], 1.0)]), SHAPE)
     assert {x.id: [len(r) for r in x.rings] for x in S.refreshed(marked, new, "id", 1.0).collect()} == {1: [], 2: [4], 4: [4]}
+
+
+def test_one_split_is_drawn_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from dijkstone.operators import simplify as S
+
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 100.0, "y": 0.0}, {"x": 100.0, "y": 100.0}, {"x": 0.0, "y": 100.0}]
+    df = spark.createDataFrame([(i, 1.0, [ring]) for i in range(64)], "id long, pixel double, rings array<array<struct<x:double,y:double>>>").coalesce(1)
+    for out in (S.within_budget(df, "pixel"), S.generalise(df, 1.0)):
+        assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and out.count() == 64
