@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dijkstone.sources.storage import materialize
+
 #: Fixed values of the national tile pyramid: origin (top left), resolution at zoom 0, pixels of a tile, deepest zoom.
 TILE_MIN_X, TILE_MAX_Y, TILE_RESOLUTION, TILE_PIXELS, TILE_MAX_ZOOM = -285401.92, 903401.92, 3440.640, 256, 14
 
@@ -75,6 +77,41 @@ def within_distance(left: DataFrame, right: DataFrame, radius: float, lx: str =
     return home.join(spread, ["cx", "cy"]).withColumn("distance", d).where(F.col("distance") <= radius).drop("cx", "cy")
 
 
+#: Halvings of the radius at most, and points of a cell in use, on average, at which halving ends.
+NEAREST_LEVELS, NEAREST_MEAN = 16, 2
+
+
+def nearest_within(left: DataFrame, right: DataFrame, radius: float, lx: str = "x", ly: str = "y", rx: str = "rx", ry: str = "ry") -> DataFrame:
+    """Rows of ``left`` with a point of ``right`` at most ``radius`` away, and the distance of the nearest.
+
+    Each place asks the points around it within a narrow width first, halvings of the radius at which few points share a cell,
+    and the next wider one only if none was that near. So pairs grow with the places, not with the points within the radius;
+    where many points crowd together, places that are farther from them than the width see all of the crowd.
+    """
+    stops = materialize(right.select(F.col(rx).alias("__rx"), F.col(ry).alias("__ry")).where("__rx is not null and __ry is not null").distinct(), "stops")
+    cell = lambda c, w: F.floor(F.col(c) / w).cast("long")
+    used = stops.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(NEAREST_LEVELS)))).withColumn("w", radius / F.pow(F.lit(2.0), F.col("level")))
+    cells = {r.level: r.n for r in used.select("level", cell("__rx", F.col("w")).alias("cx"), cell("__ry", F.col("w")).alias("cy")).distinct().groupBy("level").agg(F.count("*").alias("n")).collect()}
+    total = stops.count()
+    finest = next((k for k in range(NEAREST_LEVELS) if total <= NEAREST_MEAN * cells.get(k, 0)), NEAREST_LEVELS if total else 0)
+    todo, done = left.select(F.col(lx).alias("__x"), F.col(ly).alias("__y")).where("__x is not null and __y is not null").distinct(), []
+    near = F.sqrt(F.pow(F.col("__x") - F.col("__rx"), 2) + F.pow(F.col("__y") - F.col("__ry"), 2))
+    for level in range(finest, -1, -1):
+        width = radius / 2.0**level
+        at = F.array(*[F.struct((cell("__rx", width) + i).alias("cx"), (cell("__ry", width) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        spread = stops.withColumn("__c", F.explode(at)).select("__rx", "__ry", "__c.cx", "__c.cy")
+        asked = todo.withColumns({"cx": cell("__x", width), "cy": cell("__y", width)}).join(spread, ["cx", "cy"], "left")
+        step = materialize(asked.groupBy("__x", "__y").agg(F.min(F.when(near <= width, near)).alias("distance")), "nearest")
+        done.append(step.where("distance is not null"))
+        todo = step.where("distance is null").select("__x", "__y")
+        if todo.isEmpty():
+            break
+    found = done[0]
+    for d in done[1:]:
+        found = found.union(d)
+    return left.join(found, (F.col(lx) == F.col("__x")) & (F.col(ly) == F.col("__y"))).drop("__x", "__y")
+
+
 def nearest_band(pairs: DataFrame, key: str, stop: float = 250.0) -> DataFrame:
     """Per key the least distance and its band: 0 inside, up to ``stop`` stop, else warn."""
     d = F.col("distance")

@@ -118,7 +118,7 @@ def _(t):
 )
 def _(t):
     s = t.supplier.select("s_suppkey", (F.col("s_suppkey") * 7919 % 9973).cast("double").alias("rx"), (F.col("s_suppkey") * 6997 % 9967).cast("double").alias("ry"))
-    return G.nearest_band(G.within_distance(points(t), s, 600.0), "c_custkey").withColumn("distance", F.round("distance", 6))
+    return G.nearest_band(G.nearest_within(points(t), s, 600.0), "c_custkey").withColumn("distance", F.round("distance", 6))
 
 
 @query(

@@ -149,3 +149,20 @@ def test_shares_are_rounded_as_doubles(spark):
     owners = spark.createDataFrame([("a", 25e6)], "grp string, area double")
     shapes = rows([(0, "a", [[(0, 0), (637.5, 0), (637.5, 500), (0, 500)]])])
     assert [x.pct for x in P.shares(spark.createDataFrame(shapes, SHAPE), owners, "grp").collect()] == [1.27]
+
+
+def test_nearest_among_many_sees_few_pairs(spark, monkeypatch):
+    from dijkstone.operators import geo as G
+
+    r = random.Random(8)
+    left = [(i, r.uniform(-900, 900), r.uniform(-900, 900)) for i in range(300)] + [(300, None, 1.0), (301, 5000.0, 0.0), (302, 0.0, 0.0), (303, 0.0, 0.0)]
+    right = [(r.uniform(-900, 900), r.uniform(-900, 900)) for _ in range(400)] + [(0.0, 0.0), (None, 1.0), (2000.0, 2000.0), (5000.0, 600.0)] + [(1500 + r.random(), 1500 + r.random()) for _ in range(200)]
+    ls, rs = spark.createDataFrame(left, "id long, x double, y double"), spark.createDataFrame(right, "rx double, ry double")
+    got = {x.id: x.distance for x in G.nearest_within(ls, rs, 600.0).collect()}
+    want = {}
+    for i, x, y in left:
+        d = [math.sqrt((x - a) ** 2 + (y - b) ** 2) for a, b in right if x is not None and a is not None]
+        if d and min(d) <= 600:
+            want[i] = min(d)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    assert G.nearest_within(ls, rs.where("false"), 600.0).count() == 0
