@@ -186,8 +186,18 @@ def word_overlap(a: DataFrame, b: DataFrame, key_a: str, key_b: str, words: str,
 
 
 def match_vocabulary(texts: DataFrame, vocabulary: DataFrame, key: str, words: str, least: float = 0.5) -> DataFrame:
-    """(key, entry, score): vocabulary entries by the share of their words that a text holds, through an inverted index."""
+    """(key, entry, score): vocabulary entries by the share of their words that a text holds, through an inverted index.
+
+    An entry that needs h of its m words is met by one of its m - h + 1 rarest at least, so only these are in the index, and a
+    word that all entries have finds none. A text meets an entry at the first of these that it holds, and counts there.
+    """
     entries = vocabulary.select("entry", F.explode("entry_words").alias("w")).distinct()
-    size = entries.groupBy("entry").agg(F.count("*").alias("n"))
-    hits = texts.select(key, F.explode(F.array_distinct(words)).alias("w")).join(entries, "w").groupBy(key, "entry").agg(F.count("*").alias("hit"))
-    return hits.join(size, "entry").withColumn("score", F.col("hit") / F.col("n")).where(F.col("score") >= least).select(key, "entry", "score")
+    rare = entries.join(entries.groupBy("w").agg(F.count("*").alias("df")), "w", "left")
+    told = rare.groupBy("entry").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("df", "w")))).alias("s"))
+    need = F.greatest(F.lit(1), F.ceil(least * F.col("n") - 1e-9)).cast("int")
+    told = told.select("entry", "n", F.col("s.w").alias("entry_words"), F.slice("s.w", F.lit(1), F.greatest(F.size("s") - need + 1, F.lit(0))).alias("first"))
+    index = told.withColumn("w", F.explode("first"))
+    met = texts.select(key, F.col(words).alias("held"), F.explode(F.array_distinct(words)).alias("w")).join(index, "w")
+    met = met.where(F.get(F.filter("first", lambda x: F.array_contains("held", x)), F.lit(0)) == F.col("w"))
+    score = F.size(F.array_intersect("held", "entry_words")) / F.col("n")
+    return met.withColumn("score", score).where(F.col("score") >= least).select(key, "entry", "score")

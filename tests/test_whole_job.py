@@ -154,3 +154,24 @@ def test_degrees_of_known_places(spark):
     row = spark.range(1).select(to_degrees(F.lit(155000.0), F.lit(463000.0)).alias("o"), to_degrees(F.lit(120700.723), F.lit(487525.502)).alias("w")).first()
     assert (row.o.lon, row.o.lat) == (5.38720621, 52.1551744)
     assert abs(row.w.lon - 4.88352559) < 1e-6 and abs(row.w.lat - 52.37453253) < 1e-6
+
+
+def test_vocabulary_match_makes_no_rows_of_common_words(spark):
+    import math
+    import random
+
+    from dijkstone.operators import scoring as S
+
+    r = random.Random(3)
+    texts = [(i, ["nation", *(str(r.randrange(12)) for _ in range(r.randrange(5))), None][: r.randrange(8)]) for i in range(60)]
+    entries = [(f"e{i}", ["nation", *(str(r.randrange(12)) for _ in range(r.randrange(4)))]) for i in range(20)] + [("null", [None, "3"]), ("e0", ["7"])]
+    t, v = spark.createDataFrame(texts, "id long, w array<string>"), spark.createDataFrame(entries, "entry string, entry_words array<string>")
+    of = {}
+    for e, w in entries:
+        of.setdefault(e, set()).update(w)
+    for least in (0.0, 0.34, 0.5, 0.51, 1.0):
+        want = {(i, e): s for i, w in texts for e, ws in of.items() for s in [len(set(w) & ws - {None}) / len(ws)] if s and s >= least}
+        out = S.match_vocabulary(t, v, "id", "w", least)
+        got = out.collect()
+        assert len(got) == len(want) and all(math.isclose(x.score, want[x.id, x.entry]) for x in got)
+        assert "Aggregate [id" not in out._jdf.queryExecution().optimizedPlan().toString()
