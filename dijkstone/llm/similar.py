@@ -1,12 +1,12 @@
 """Near copies by the Jaccard similarity of their sets of word shingles.
 
 MinHash bands propose, and the exact similarity of the whole sets decides. A pair of similarity s shares a band with
-probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8, and more above. No bucket is capped and none is paired with itself;
-all work is linear in the members of buckets. The members of a bucket are compared with its first hub, the one that meets
-most others in all its buckets, such as the text that a family was copied from; those unlike it with the next ``HUBS - 1``
-hubs, so that of up to ``HUBS`` members all are compared; and those unlike all of these meet again, in the same way, in the
-finer buckets of any two bands that they share. A link is lost only if its ends are no hubs, one is unlike all hubs of what
-they share, and they aren't joined through others.
+probability 1 - (1 - s ** ROWS) ** BANDS: 0.9996 at 0.8, and more above. No bucket is capped and none is paired with itself.
+The members of a bucket are compared with its first hub, the one that meets most others in all its buckets, such as the text
+that a family was copied from; those unlike it with the next ``HUBS - 1`` hubs; and those unlike all of these meet again, in
+the same way, in the finer buckets of any two bands that they share. All that is linear in the members of buckets and joins
+most families. Hubs leave pairs out, so what shares a bucket and isn't joined yet goes through an exact join (``_apart``):
+every similar pair that shares a band is joined, directly or through others.
 
 Defined results: words are parted by ASCII white space and A-Z count as a-z, as in ``simhash``. A text of fewer words than
 ``shingle`` is one shingle; null and empty texts have the same, empty set. Sets are equal where their 64-bit hashes are.
@@ -98,6 +98,36 @@ def _stars(members: DataFrame, known: DataFrame, label: str) -> tuple[DataFrame,
     return near[0].union(near[1]), left.where(~F.array_contains("hubs", F.col("key"))).drop("hubs")
 
 
+def _apart(members: DataFrame, near: DataFrame, known: DataFrame) -> DataFrame:
+    """All similar pairs (a, b) of the keys that share a bucket with one that ``near`` doesn't join them to, unless it joins
+    the two.
+
+    Shingles have one order, rarest first. Two sets that have ``least`` shingles in common share one of the first
+    size - least + 1 of either. Of similar sets the smaller holds 8/9 of its own in common, and the larger 8/10. At their
+    first common shingle what follows must still suffice.
+    """
+    parts = connected_components(near, "near-cc").withColumnRenamed("id", "key")
+    now = materialize(members.select("bucket", "key").join(parts, "key", "left").withColumn("part", F.coalesce("component", "key")).drop("component"), "parts")
+    mixed = now.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
+    asked = splittable_join(now, mixed, "bucket").select("key", "part").distinct()
+    held = materialize(known.join(asked, "key").select("key", "part", F.size("values").alias("n"), F.explode("values").alias("shingle")), "apart")
+    counts = held.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = splittable_join(held, counts, "shingle").groupBy("key", "part", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))  # a text's own
+    shared = shared.withColumn("own", F.col("n") - F.size("s"))  # shingles of no other text come first
+    most = F.greatest(F.expr(f"n - ({LEAST_TENTHS} * n + 9) div 10 + 1 - own"), F.lit(0)).cast("int")
+    first = shared.select("key", "part", "n", "own", F.posexplode(F.slice("s", F.lit(1), most)).alias("i", "e")).select("key", "part", "n", F.expr("own + i").alias("at"), "e.shingle")
+    first = materialize(first, "first")
+    several = first.groupBy("shingle").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("shingle")
+    first = materialize(splittable_join(first, several, "shingle"), "first")
+    twice, both = 2 * LEAST_TENTHS, 10 + LEAST_TENTHS
+    less = first.where(f"at <= n - ({twice} * n + {both - 1}) div {both}").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("key", "part", "n", "at")])
+    more = first.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("key", "part", "n", "at")])
+    fit = (F.col("part_a") != F.col("part_b")) & (F.struct("n_a", "key_a") < F.struct("n_b", "key_b")) & (10 * F.col("n_a") >= LEAST_TENTHS * F.col("n_b"))
+    fit = fit & (both * F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= LEAST_TENTHS * (F.col("n_a") + F.col("n_b")))
+    pairs = less.join(more, "shingle").where(fit).select(F.greatest("key_a", "key_b").alias("a"), F.least("key_a", "key_b").alias("b")).distinct()
+    return _similar(pairs, known)
+
+
 def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """Pairs (a, b) of ids that join the near copies of ``docs`` to components."""
     rows = materialize(sets(docs, id_col, text_col, shingle), "bands")
@@ -120,7 +150,8 @@ def edges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     finer = one.select("key", "weight", "x", F.explode(F.slice("buckets", F.col("i") + 2, F.size("buckets"))).alias("y"))
     last, _ = _stars(finer.select(F.xxhash64("x", "y").alias("bucket"), "key", "weight"), known, "last")
     by = lambda c: classes.select(F.col("key").alias(c), F.col("least").alias(f"id_{c}"))
-    named = near.union(last).join(by("a"), "a").join(by("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    joined = near.union(last)
+    named = joined.union(_apart(members, joined, known)).join(by("a"), "a").join(by("b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return copies.union(named)
 
 

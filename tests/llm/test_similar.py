@@ -65,3 +65,38 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b c d"), (None, None), (7, "a b c d"), (7, "a b c d"), (8, "A b  c d")], "doc_id long, text string")
     assert sorted(str(x.doc_id) for x in similar.keep_one_of_each(df).collect()) == ["7", "7", "None", "None"]
     assert similar.keep_one_of_each(df.where("false")).collect() == []
+
+
+def test_no_pair_of_a_bucket_is_left_out(spark, monkeypatch):
+    """All sets are in one bucket; pairs of which no member is a hub, or each is like another hub, are joined as well."""
+    r, held = random.Random(3), {}
+    new = lambda n: [r.getrandbits(60) for _ in range(n)]
+    for k in range(14):
+        held[k] = new(90)
+    common = new(70)
+    for k in range(14, 20):
+        held[k] = common + new(17)  # 0.67 among each other
+    for k in (9, 12, 17):
+        held[20 + k] = held[k][:-r.randint(0, 8)] + new(8)
+    held[50], held[51] = held[0][:82] + new(8), held[0][6:] + new(3)
+    held[52], held[53] = held[51][9:] + new(9), held[51][18:] + new(3)
+    held[54] = held[52][9:]
+
+    def sets(docs, id_col, text_col, shingle, whole=False):
+        rows = docs.select(id_col).collect()
+        return spark.createDataFrame([(i, i, sorted(held[i]) if whole else [1]) for (i,) in rows], "id long, key long, values array<long>")
+
+    monkeypatch.setattr(similar, "sets", sets)
+    want = {(a, b) for a in held for b in held if a > b and alike(set(held[a]), set(held[b]))}
+    parts = similar.connected_components(similar.edges(spark.createDataFrame([(i, "") for i in held], "doc_id long, text string")))
+    part = dict(map(tuple, parts.collect()))
+    assert len(want) > 6 and all(part.get(a) is not None and part.get(a) == part.get(b) for a, b in want)
+    assert set(part) == {i for p in want for i in p} and len(set(part.values())) == len(set(map(tuple, _closed(want))))
+
+
+def _closed(pairs):
+    groups = []
+    for p in map(set, pairs):
+        met = [g for g in groups if g & p]
+        groups = [g for g in groups if not g & p] + [p.union(*met)]
+    return [sorted(g) for g in groups]
