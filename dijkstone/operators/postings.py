@@ -2,54 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dijkstone.functions.stems import dutch_stem
+from dijkstone.functions.stems import ACCENTED, PLAIN, dutch_stem
 from dijkstone.functions.text import tokens
 
 #: Fixed value: words of a search by beginnings.
 MOST_PREFIXES = 10
-#: Letters of a term by which its partition is found.
+#: Letters of a term by which its partition is found; stems keep them, but for accents.
 HEAD = 2
 
 
-def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, at, term): every word of every text with its place, and how many words the text has.
-
-    Each different word is stemmed once and joined back; both sides are shuffled by word unless the words are found to be few, so
-    that adaptive execution can split a frequent word.
-    """
-    words = docs.select(F.col(key).alias("id"), tokens(F.col(text), []).alias("w"))
-    places = words.select("id", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
-    stems = words.select(F.explode("w").alias("word")).distinct().withColumn("term", dutch_stem(F.col("word")))
-    return places.join(stems, "word").drop("word")
+def _spelled(letters: str) -> list[str]:
+    """The letters with all accents that a stem loses."""
+    return ["".join(x) for x in product(*[[c, *(a for a, p in zip(ACCENTED, PLAIN) if p == c)] for c in letters])]
 
 
 class Postings:
     """The index below a folder.
 
-    Postings (term, id, n, tf, places) lie in ``heads`` partitions by the first letters of the term, sorted by term, so a search
-    lists the partitions of its terms alone and the statistics of the files exclude most of these. A frequent term is spread over
-    ``slices`` tasks and files by document. Texts of a key are one row; null texts and texts without words have no postings, but
-    null texts count as documents.
+    Postings (word, id, n, tf, places) lie in ``heads`` partitions by the first letters of the word without accents, sorted by
+    word; the vocabulary (word, term) lies in the same partitions, sorted by term. A stem begins with the same letters as its
+    words, so a search lists the partitions of its terms alone, finds their words in the vocabulary, and the statistics of the
+    files exclude most postings. A frequent word is spread over ``slices`` tasks and files by document. Texts of a key are one
+    row; null texts and texts without words have no postings, but null texts count as documents.
     """
 
     def __init__(self, spark: SparkSession, path: str, heads: int = 32):
         self.spark, self.path, self.heads = spark, path.rstrip("/"), heads
 
     def _head(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(F.left(term, F.lit(HEAD))), F.lit(self.heads)).cast("int")
-
-    def write(self, docs: DataFrame, key: str, text: str, slices: int = 32) -> Postings:
-        """Index all texts. Words that have met their stems are shuffled once more: a task counts and sorts a slice of a head."""
-        rows = occurrences(docs, key, text).withColumns({"head": self._head(F.col("term")), "slice": F.pmod(F.xxhash64("id"), F.lit(slices))})
-        held = rows.repartition("head", "slice").groupBy("head", "slice", "term", "id", "n").agg(F.array_sort(F.collect_list("at")).alias("places"))
-        held = held.withColumn("tf", F.size("places")).drop("slice").sortWithinPartitions("head", "term", "id")
+        return F.pmod(F.xxhash64(F.left(F.translate(term, ACCENTED, PLAIN), F.lit(HEAD))), F.lit(self.heads)).cast("int")
+
+    def write(self, docs: DataFrame, key: str, text: str, slices: int | None = None) -> Postings:
+        """Index all texts. They are dealt over ``slices`` (the session's shuffle partitions) by document, and that is the one
+        shuffle of words: a task counts and sorts its documents. Each different word is stemmed once, from what is written."""
+        n = slices or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).repartition(n, "id")
+        rows = dealt.select("id", tokens(F.col("text"), []).alias("w")).select("id", F.size("w").alias("n"), F.posexplode_outer("w").alias("at", "word"))
+        # An inner explode would also ask before the shuffle whether there are words, and so part all texts twice.
+        held = rows.where("word is not null").groupBy("id", "n", "word").agg(F.sort_array(F.collect_list("at")).alias("places"))
+        held = held.select("word", "id", "n", "places", F.size("places").alias("tf"), self._head(F.col("word")).alias("head")).sortWithinPartitions("head", "word", "id")
         held.write.partitionBy("head").parquet(f"{self.path}/postings")
-        sizes = docs.agg(F.count("*").alias("docs"), F.avg(F.size(tokens(F.col(text), []))).alias("mean_n"))
         no_id = F.lit(None).cast(held.schema["id"].dataType).alias("id")  # tells a reader the type, also of an empty index
-        sizes.select("docs", "mean_n", no_id).write.parquet(f"{self.path}/corpus")
+        total = self.spark.read.schema("tf int").parquet(f"{self.path}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+        sizes = docs.agg(F.count("*").alias("docs"), F.count(text).alias("texts")).crossJoin(F.broadcast(total))  # one row
+        sizes.select("docs", F.try_divide("words", "texts").alias("mean_n"), no_id).write.parquet(f"{self.path}/corpus")
+        words = self.held().select("head", "word").distinct().select("word", dutch_stem(F.col("word")).alias("term"), "head")
+        words.sortWithinPartitions("head", "term").write.partitionBy("head").parquet(f"{self.path}/vocabulary")
         return self
 
     def corpus(self) -> DataFrame:
@@ -57,11 +61,23 @@ class Postings:
         return self.spark.read.parquet(f"{self.path}/corpus").select("docs", "mean_n")
 
     def held(self) -> DataFrame:
-        """All postings."""
+        """All postings, by word."""
         of_id = self.spark.read.parquet(f"{self.path}/corpus").schema["id"].dataType.simpleString()
-        schema = f"term string, id {of_id}, n int, places array<int>, tf int, head int"
+        schema = f"word string, id {of_id}, n int, places array<int>, tf int, head int"
         return self.spark.read.schema(schema).parquet(f"{self.path}/postings")
 
+    def vocabulary(self) -> DataFrame:
+        """(word, term) of all words."""
+        return self.spark.read.schema("word string, term string, head int").parquet(f"{self.path}/vocabulary")
+
+    def _of(self, words: DataFrame, terms: list[tuple[str, int]], heads: list[int] | None) -> DataFrame:
+        """(term, id, n, tf, places): postings of these words of the vocabulary, which begin like the terms."""
+        begins = {x for t, _ in terms for x in _spelled(t[:HEAD])}
+        held = self.held() if heads is None else self.held().where(F.col("head").isin(heads))
+        held = held.where(reduce(lambda x, y: x | y, [F.startswith("word", F.lit(x)) for x in sorted(begins)], F.lit(False)))
+        met = held.join(words, ["head", "word"]).groupBy("term", "id", "n")
+        return met.agg(F.sum("tf").cast("int").alias("tf"), F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+
     def asked(self, words: list[str]) -> list[tuple[str, int]]:
         """Stems of a caller's words, each once, with their partitions."""
         rows = self.spark.range(1).select(F.explode(F.array(*map(F.lit, words)).cast("array<string>")).alias("w")).select(dutch_stem(F.trim("w")).alias("t"))
@@ -69,7 +85,9 @@ class Postings:
 
     def of_terms(self, terms: list[tuple[str, int]]) -> DataFrame:
         """Postings of these terms."""
-        return self.held().where(F.col("head").isin([h for _, h in terms]) & F.col("term").isin([t for t, _ in terms]))
+        heads = sorted({h for _, h in terms})
+        words = self.vocabulary().where(F.col("head").isin(heads) & F.col("term").isin([t for t, _ in terms]))
+        return self._of(words, terms, heads)
 
     def of_prefixes(self, terms: list[tuple[str, int]]) -> DataFrame:
         """Postings of all terms that begin with one of these; a beginning of one letter may lie in any partition."""
@@ -77,7 +95,8 @@ class Postings:
         for t, h in terms:
             here = F.startswith("term", F.lit(t))
             fit = fit | ((F.col("head") == h) & here if len(t) >= HEAD else here)
-        return self.held().where(fit)
+        heads = None if any(len(t) < HEAD for t, _ in terms) else sorted({h for _, h in terms})
+        return self._of(self.vocabulary().where(fit), terms, heads)
 
     def any_of(self, words: list[str]) -> DataFrame:
         """(id, n_terms): texts with any of the words, and how many of their stems they hold."""

@@ -170,3 +170,24 @@ def test_fallback_takes_words_from_their_start(spark):
     assert found([" MESTopslag", "vee"]) == [(1, 2), (2, 3)]
     assert found(["vee", "van "]) == [] == found([])
     assert found(["(mest", "niets"]) == [(2, 3)]
+
+
+def test_stems_keep_the_letters_of_their_partition(spark):
+    from dijkstone.operators.postings import HEAD, _spelled
+
+    r = random.Random(8)
+    parts = ["a", "ä", "e", "ë", "è", "é", "i", "ï", "o", "ó", "y", "j", "k", "kk", "d", "t", "s", "en", "heden", "lijk", "ß", "中", "&", "-", "7", "aa", "oo"]
+    words = ["".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(5000)]
+    words = [w for w in words if len(w) > 1]
+    assert [(w, s) for w, s in zip(words, stems(spark, words)) if not any(w.startswith(x) for x in _spelled(s[:HEAD])) or len(s) < HEAD] == []
+
+
+def test_words_are_shuffled_as_texts_only(spark, tmp_path, monkeypatch):
+    """One exchange, of documents, before the postings are written."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())), write(self, path, *a, **k))[1])
+    Postings(spark, str(tmp_path / "i")).write(spark.createDataFrame([(1, "bomen kappen"), (2, None)], "doc long, body string"), "doc", "body", slices=3)
+    plan = next(p for path, p in plans if path.endswith("/postings"))
+    assert plan.count("Exchange ") == 1 and "Exchange hashpartitioning(id" in plan and plan.index("Generate") < plan.index("Exchange ")
