@@ -390,7 +390,9 @@ def dissolve(members: DataFrame, group: str, rings: str = "rings", cell_edges: i
     for d in done[1:]:
         ready = ready.union(d)
     shape = T.StructType([T.StructField("grp", kind), *T._parse_datatype_string(_SHAPE)])
-    out = ready.groupBy("grp", "cell").applyInArrow(_swept, shape)
+    # Cells are few bytes and much work: by a number, adaptive execution doesn't gather them in one task.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = ready.repartition(tasks, "grp", "cell").groupBy("grp", "cell").applyInArrow(_swept, shape)
     area = (F.col("y1") - F.col("y0")) * (F.col("right0") - F.col("left0") + F.col("right1") - F.col("left1")) / 2
     return out.withColumn("area", area).withColumnRenamed("grp", group)
 

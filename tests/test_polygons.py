@@ -166,3 +166,10 @@ def test_nearest_among_many_sees_few_pairs(spark, monkeypatch):
             want[i] = min(d)
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
     assert G.nearest_within(ls, rs.where("false"), 600.0).count() == 0
+
+
+def test_cells_are_swept_by_all_tasks(spark):
+    r = random.Random(9)
+    shapes = [(i, "ab"[i % 2], [square(r.randrange(3000), r.randrange(3000), 50)]) for i in range(400)]
+    out = P.dissolve(spark.createDataFrame(rows(shapes), SHAPE), "grp", cell_edges=40)
+    assert out.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
