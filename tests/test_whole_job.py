@@ -175,3 +175,15 @@ def test_vocabulary_match_makes_no_rows_of_common_words(spark):
         got = out.collect()
         assert len(got) == len(want) and all(math.isclose(x.score, want[x.id, x.entry]) for x in got)
         assert "Aggregate [id" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_topics_of_whole_texts(spark, tmp_path):
+    """Texts that begin alike are all clustered, however late they differ; only equal ones count once."""
+    heads = [f"begin{k} lang{k % 5} " * n for k, n in enumerate([1, 2, 30, 300, 3000] * 6)]
+    texts = [h + end for h in heads for end in ("brug over water", "water over brug", "kap van een boom", "x")]
+    docs = [(10 * i + copy, x) for i, x in enumerate(texts) for copy in (3, 1, 2)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = entry.queries()["txt36_topics"](spark, str(tmp_path)).collect()
+    got = {x.doc_id: x.topic for x in rows}
+    assert sorted(x.doc_id for x in rows) == [10 * i + 1 for i in range(len(texts))]
+    assert all(got[40 * k + 1] == got[40 * k + 11] for k in range(len(heads)))  # same words in another order
